@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from . import quality_rules as op1
+from . import simhash as op7
+from . import wordpiece as op6
 from .common import table
 
 
@@ -11,5 +13,17 @@ def op1_quality_rules(spark, sf_dir):
     return op1.quality_rules(docs).drop("text")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+def op6_token_counts(spark, sf_dir):
+    return op6.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_near_dedup(spark, sf_dir):
+    return op7.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op6_token_counts": op6_token_counts,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+}
 ORACLES = {"op1_quality_rules": op1.oracle_sql()}
