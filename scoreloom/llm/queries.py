@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import importance as op5
+from . import packing as op10
 from . import quality_rules as op1
 from . import simhash as op7
 from . import wordpiece as op6
@@ -13,6 +15,10 @@ def op1_quality_rules(spark, sf_dir):
     return op1.quality_rules(docs).drop("text")
 
 
+def op5_quality_classifier(spark, sf_dir):
+    return op5.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark, sf_dir):
     return op6.token_counts(table(spark, sf_dir, "documents"))
 
@@ -21,9 +27,15 @@ def op7_simhash_near_dedup(spark, sf_dir):
     return op7.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_best_fit_packing(spark, sf_dir):
+    return op10.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES = {"op1_quality_rules": op1.oracle_sql()}
