@@ -66,3 +66,23 @@ def let(value: Column, body) -> Column:
 
     The lambda of a higher-order function binds it; the optimizer can't inline it again."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+class Memo(dict):
+    """make(key) of short strings, kept in two generations of at most `size` each: memory stays bounded, and what is
+    used often survives when the older generation goes."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.size:
+                self.older = self.copy()
+                self.clear()
+            self[key] = value
+        return value

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import Memo, text_or_empty, written
 
 #: Buckets of each of the three kinds of n-grams.
 BUCKETS = 1 << 15
@@ -25,6 +25,7 @@ MAX_TARGET = 20_000
 #: The sample's size, unless a share is given: as many rows as have a key of the labelled-good documents' FLOOR
 #: quantile less MARGIN, or more. So hardly a document like the good ones falls outside the sample.
 FLOOR, MARGIN = 0.001, 15.0
+#: Words that each Python worker keeps with their hash and shape, in each of two generations.
 KEPT_WORDS = 400_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,19 +39,12 @@ def _shape(word: str) -> int:
     return case | min(other, 3) << 2 | (letters == 0) << 4 | (len(word) > len(core)) << 5
 
 
-class _Words(dict):
-    """Word -> 48 bits of its hash and its shape, kept per Python worker; emptied when full."""
+def _described(word: str) -> int:
+    """48 bits of the word's hash, and its shape."""
+    return (xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 16) << 8 | _shape(word)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        value = (xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 16) << 8 | _shape(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
 
-
-_WORDS = _Words()
+_WORDS = Memo(_described, KEPT_WORDS)
 
 
 def features(text: str, buckets: int = BUCKETS) -> np.ndarray:

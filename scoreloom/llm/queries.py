@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import bpe as op8
 from . import importance as op5
 from . import packing as op10
 from . import quality_rules as op1
@@ -27,6 +28,10 @@ def op7_simhash_near_dedup(spark, sf_dir):
     return op7.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_byte_bpe(spark, sf_dir):
+    return op8.bpe_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark, sf_dir):
     return op10.pack(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_byte_bpe": op8_byte_bpe,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES = {"op1_quality_rules": op1.oracle_sql()}

@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import Memo, text_or_empty
 
 MARK = "▁"  # starts the first piece of a word in the vocabulary
 _BYTE = re.compile(r"<0x[0-9A-F]{2}>")
-#: Words kept with their counts by each Python worker; beyond that the store is emptied and filled again.
+#: Words that each Python worker keeps with their counts, in each of two generations.
 KEPT_WORDS = 400_000
 
 
@@ -116,22 +116,6 @@ def automaton(path: str) -> LongestMatch:
     return LongestMatch(read_vocabulary(path))
 
 
-class _Counts(dict):
-    """Word -> pieces; filled on demand, emptied when full."""
-
-    def __init__(self, machine: LongestMatch):
-        super().__init__()
-        self.machine = machine
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        n = self.machine.count(MARK + word)
-        if len(word) <= 64:
-            self[word] = n
-        return n
-
-
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(id_col, n_words, n_tokens) for every row of df: words are runs without white space, of the whole text.
 
@@ -141,7 +125,8 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = df.select(df[id_col].alias("id"), text_or_empty(df, text_col).alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts(automaton(path))
+        machine = automaton(path)
+        counts = Memo(lambda word: machine.count(MARK + word), KEPT_WORDS)
         for b in batches:
             words = [0] * b.num_rows
             tokens = [0] * b.num_rows
