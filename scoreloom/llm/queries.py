@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from . import bpe as op8
 from . import importance as op5
+from . import media as op9
 from . import packing as op10
 from . import quality_rules as op1
 from . import simhash as op7
 from . import wordpiece as op6
-from .common import table
+from .common import new_path, table
 
 
 def op1_quality_rules(spark, sf_dir):
@@ -32,6 +33,10 @@ def op8_byte_bpe(spark, sf_dir):
     return op8.bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_media_columns(spark, sf_dir):
+    return op9.media_columns(table(spark, sf_dir, "documents"), new_path(spark, "media"))
+
+
 def op10_best_fit_packing(spark, sf_dir):
     return op10.pack(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_media_columns": op9_media_columns,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES = {"op1_quality_rules": op1.oracle_sql()}
