@@ -86,3 +86,14 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def hash_sample(df: DataFrame, id_col: str, most: int, salt: str) -> DataFrame:
+    """At most `most` rows of df, those of the smallest hash of their id: the same rows whatever the partitioning.
+
+    A filter on the hash leaves about twice as many first, so that no task gathers more than that at any size."""
+    n = df.count()
+    order = F.xxhash64(F.col(id_col).cast("string"), F.lit(salt))
+    if n > 4 * most:
+        df = df.filter(order < F.lit(int(2**64 * 2 * most / n) - 2**63))
+    return df.orderBy(order, id_col).limit(most)

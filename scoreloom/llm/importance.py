@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, text_or_empty, written
+from .common import Memo, hash_sample, text_or_empty, written
 
 #: Buckets of each of the three kinds of n-grams.
 BUCKETS = 1 << 15
@@ -106,9 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Only the ids of that bounded sample are broadcast; the counts come back as at most 6 * buckets rows. Without
     labelled-good documents all ratios are 0."""
-    order = F.xxhash64(F.col(id_col).cast("string"), F.lit("importance"))
     known = labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(id_col).distinct()
-    good = [r[0] for r in known.orderBy(order, id_col).limit(MAX_TARGET).collect()]
+    good = [r[0] for r in hash_sample(known, id_col, MAX_TARGET, "importance").collect()]
     own = docs.select(docs[id_col].alias("own"), text_or_empty(docs, text_col).alias("text"))
     marked = own.join(F.broadcast(_ids(own, good)), "own", "left").withColumn("target", F.col("good").isNotNull())
     counts = _bucket_counts(marked, buckets).toPandas()

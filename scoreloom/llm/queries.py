@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from . import bpe as op8
 from . import importance as op5
+from . import langid as op3
 from . import media as op9
 from . import packing as op10
 from . import quality_rules as op1
 from . import simhash as op7
+from . import toxicity as op2
 from . import wordpiece as op6
 from .common import new_path, table
 
@@ -17,6 +19,14 @@ def op1_quality_rules(spark, sf_dir):
     return op1.quality_rules(docs).drop("text")
 
 
+def op2_toxicity(spark, sf_dir):
+    return op2.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark, sf_dir):
+    return op3.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark, sf_dir):
     return op5.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +53,8 @@ def op10_best_fit_packing(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
+    "op3_language_id": op3_language_id,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
