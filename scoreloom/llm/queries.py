@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import bpe as op8
+from . import html_extract as op4
 from . import importance as op5
 from . import langid as op3
 from . import media as op9
@@ -27,6 +28,10 @@ def op3_language_id(spark, sf_dir):
     return op3.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark, sf_dir):
+    return op4.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_classifier(spark, sf_dir):
     return op5.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
+    "op4_html_extraction": op4_html_extraction,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
