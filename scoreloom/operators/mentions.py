@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.evidence import evidence_rows, section
 from ..functions.fuzzy import best_of, ratio
 from ..functions.text import COMPANY_LIKE, COMPANY_PHRASE, FUZZY_MIN_LENGTH, FUZZY_THRESHOLD, GENERIC_PHRASES, SECTIONS, canonical_key, norm, norm_company
+from ..sources.stored import stored
 from .entities import _grams, companies_in
 
 OTHER_FIELDS = ("Primary OEMs", "Category", "Primary Facility Type", "Supplier or Affiliation Type", "EV Supply Chain Role", "Classification Method")
@@ -54,13 +55,14 @@ def _field_grams(kb: DataFrame) -> DataFrame:
     return whole.unionByName(grams.select("rank", "kind", "field", "value", F.col("g.gram").alias("phrase"), F.lit(1).alias("part")).filter("phrase <> value")).distinct()
 
 
-def classify(found: DataFrame, keys: list[str], kb: DataFrame, aliases: DataFrame) -> DataFrame:
+def classify(found: DataFrame, keys: list[str], kb: DataFrame, aliases: DataFrame, keep=stored) -> DataFrame:
     """found with classification, matched_kb_company, similarity, match_kind, matched_field and matched_value.
 
     Candidates are classified once a text and source. The steps, each an equality join (n-grams of the knowledge
     table's values, not a comparison of all with all): generic phrase, known company, value of another field, near
     spelling (over blocks of names), part of a name, company-like, else no company."""
     tidy = F.regexp_replace(F.regexp_replace(F.col("mention_text"), r"\s+", " "), r"^[*`\"' .,:;|]+|[*`\"' .,:;|]+$", "")
+    found = keep(found)  # read once for its texts and once for its rows
     texts = found.select("mention_text", "first_source").distinct().withColumn("cand", tidy)
     texts = texts.withColumns({"cand_norm": norm(F.col("cand")), "cand_key": canonical_key(F.col("cand"))})
     labels = kb.sparkSession.createDataFrame([(c,) for c in [*SECTIONS, "row_id", *kb.columns]], "label string").select(norm(F.col("label")).alias("label")).distinct()
@@ -68,7 +70,7 @@ def classify(found: DataFrame, keys: list[str], kb: DataFrame, aliases: DataFram
     texts = texts.join(generic, "cand_norm", "left").withColumn("generic", F.coalesce("is_label", F.lit(False)) | F.col("cand_norm").isin(*GENERIC_PHRASES) | (F.col("cand_key") == "")).drop("is_label")
 
     known = companies_in(texts.select("cand").distinct(), ["cand"], "cand", aliases).select("cand", F.get("companies", F.lit(0)).alias("known"))
-    texts = texts.join(known, "cand", "left")
+    texts = keep(texts.join(known, "cand", "left"))
 
     several = F.size(F.split("cand_norm", " ")) >= 2
     field = texts.filter(~F.col("generic") & F.col("known").isNull() & (F.length("cand_norm") >= 5)).select("cand_norm").distinct()
@@ -76,7 +78,7 @@ def classify(found: DataFrame, keys: list[str], kb: DataFrame, aliases: DataFram
     # Products: the longest value first; others: whole values before parts, then the smallest value.
     order = F.struct("rank", F.when(F.col("rank") == 1, F.lit(0)).otherwise(F.col("part")), F.when(F.col("rank") == 1, -F.length("value")).otherwise(F.lit(0)), "value")
     best = hits.groupBy("cand_norm").agg(F.min_by(F.struct("kind", "field", "value"), order).alias("hit"))
-    texts = texts.join(best, "cand_norm", "left")
+    texts = keep(texts.join(best, "cand_norm", "left"))
 
     names = kb.filter("Company is not null").groupBy("Company").agg(F.min("row_id").alias("kb_ord")).withColumn("kb_key", canonical_key(F.col("Company"))).filter("kb_key <> ''")
     open_keys = texts.filter(~F.col("generic") & F.col("known").isNull() & F.col("hit").isNull()).select("cand_key").distinct()
@@ -140,7 +142,7 @@ def class_counts(classified: DataFrame, answers: DataFrame, keys: list[str]) ->
     return answers.select(*keys).join(counts, keys, "left").na.fill(0, [f"n_{c}" for c in CLASSES])
 
 
-def row_id_checks(answers: DataFrame, keys: list[str], kb: DataFrame, aliases: DataFrame, response: str = "response") -> DataFrame:
+def row_id_checks(answers: DataFrame, keys: list[str], kb: DataFrame, aliases: DataFrame, response: str = "response", keep=stored) -> DataFrame:
     """A row for each Evidence row with a row id: whether the company there is the one of the knowledge table's row.
 
     Near spellings are looked at only for rows that nothing plainer has matched."""
@@ -155,7 +157,7 @@ def row_id_checks(answers: DataFrame, keys: list[str], kb: DataFrame, aliases: D
         .when((norm(c) == norm(k)) | (norm_company(c) == norm_company(k)), "exact")
         .when(F.array_contains("companies", k), "alias")
     )
-    staged = joined.withColumn("plain", plain)
+    staged = keep(joined.withColumn("plain", plain))
     near = staged.filter("plain is null").select("claimed_company", "kb_company").distinct().withColumn("near", ratio(canonical_key(c), canonical_key(k)))
     out = staged.join(near, ["claimed_company", "kb_company"], "left")
     fuzzy = F.col("near") >= FUZZY_THRESHOLD

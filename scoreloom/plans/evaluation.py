@@ -10,17 +10,21 @@ from ..functions.text import extract_count, extract_numbers, half_even, inline_t
 from ..operators.entities import alias_table, companies_in, counties_in
 from ..operators.mentions import class_counts, classify, mentions, row_id_checks
 from ..operators.scoring import answered, composite, count_scores, differences, entity_basis, field_accuracy, field_checks, id_scores, numeric_recall, set_scores
+from ..sources.stored import stored
 
 KEYS = ["arm", "model_name", "question_number"]
 FIELDS = ["Category", "Industry Group", "Location", "Primary Facility Type", "EV Supply Chain Role", "Primary OEMs", "Employment", "Product / Service", "EV / Battery Relevant"]
 
 
-def scored_answers(answers: DataFrame, gold: DataFrame, kb: DataFrame) -> DataFrame:
+def scored_answers(answers: DataFrame, gold: DataFrame, kb: DataFrame, keep=stored) -> DataFrame:
     """A row an answer that has a gold record: its extracted parts, scores and counters.
 
+    keep: how the few tables that several branches read are stored (written to the shared folder, unless callers say otherwise).
+
     answers: KEYS, response, status, prompt_eval_count, runtime_seconds. gold: question_number, gold_companies,
     gold_counties, gold_count. The small gold table is joined by key and left to Spark to broadcast."""
-    aliases = alias_table(kb)
+    answers, kb = keep(answers), keep(kb)
+    aliases = keep(alias_table(kb))
     counties = kb.select(F.trim(F.regexp_extract("Location", r"(?s),(.*)$", 1)).alias("county")).filter("county <> ''").distinct().withColumn("alias", norm(F.col("county")))
     base = answers.join(gold.drop("question", "county"), "question_number").join(gold.select("question_number", F.col("question").alias("gold_question")), "question_number")
     found = base.join(companies_in(base, KEYS, "response", aliases), KEYS).join(counties_in(base, KEYS, "response", counties), KEYS)
@@ -42,10 +46,10 @@ def scored_answers(answers: DataFrame, gold: DataFrame, kb: DataFrame) -> DataFr
         counted["count_correct"].alias("count_correct"), half_even(F.col("numeric_recall"), 4).alias("numeric_recall"), F.col("sections.format_core_ok").alias("format_core_ok"),
         F.size(ids["valid_ids"]).alias("valid_id_count"), F.size(ids["bad_ids"]).alias("bad_id_count"), ids["duplicate_ids"].alias("duplicate_ids"), ids["count_matches_ids"].alias("count_matches_ids"), "inline_thinking_leak",
     )
+    flat = keep(flat)
     checks = field_accuracy(field_checks(flat, KEYS, kb, [f for f in FIELDS if f in kb.columns]), KEYS)
-    named = mentions(flat, KEYS)
-    classes = class_counts(classify(named, KEYS, kb, aliases), flat, KEYS)
-    rows = row_id_checks(flat, KEYS, kb, aliases).groupBy(*KEYS).agg(
+    classes = class_counts(classify(mentions(flat, KEYS), KEYS, kb, aliases, keep), flat, KEYS)
+    rows = row_id_checks(flat, KEYS, kb, aliases, keep=keep).groupBy(*KEYS).agg(
         F.count("*").alias("row_id_checked"), F.count_if(F.col("status") == "mismatch").alias("row_id_mismatches"), F.count_if(F.col("status") == "bad_row_id").alias("bad_row_ids"), F.count("*").alias("evidence_mentions")
     )
     out = flat.join(checks, KEYS, "left").join(classes, KEYS).join(rows, KEYS, "left")
