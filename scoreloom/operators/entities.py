@@ -43,16 +43,36 @@ def _grams(tokens: Column, longest: int) -> Column:
     return let(tokens, runs)
 
 
+def _key(tokens: Column, at: Column | int, n: int) -> list[Column]:
+    """Two hashes (64 and 32 bits) of n tokens from a position: what runs of words meet by, instead of their text."""
+    run = [F.get(tokens, F.lit(at + k) if isinstance(at, int) else at + k) for k in range(n)]
+    return [F.xxhash64(F.lit(n), *run).alias("key"), F.hash(*run, F.lit(n)).alias("check")]
+
+
 def occurrences(texts: DataFrame, keys: list[str], text: str, aliases: DataFrame, alias: str = "alias") -> DataFrame:
     """Rows of aliases found in the texts as whole tokens: keys, start, stop and the aliases' columns.
 
-    The longest alias (in tokens) is asked for once; texts are cut into runs of up to as many tokens, which an
-    equality join meets with the aliases. Spark broadcasts these only where its size check allows."""
-    longest = aliases.agg(F.max(F.size(F.split(alias, " ")))).first()[0] or 0
-    if not longest:
-        return texts.select(*keys, F.lit(0).alias("start"), F.lit(0).alias("stop")).crossJoin(aliases.limit(0)).limit(0)
-    grams = texts.select(*keys, F.explode(_grams(F.split(norm(F.col(text)), " "), longest)).alias("g")).select(*keys, "g.start", "g.stop", F.col("g.gram").alias(alias))
-    return grams.join(aliases, alias)
+    Texts are cut into runs of as many tokens as aliases have (these few lengths are asked for once); an equality
+    join of hashes meets them with the aliases. Spark broadcasts these only where its size check allows."""
+    words = F.split(alias, " ")
+    lengths = sorted(r[0] for r in aliases.select(F.size(words).alias("n")).distinct().collect())
+    if not lengths:
+        return texts.select(*keys, F.lit(0).alias("start"), F.lit(0).alias("stop")).limit(0).join(aliases.limit(0), F.lit(False))
+    none = F.array().cast("array<struct<start:int,stop:int,key:bigint,check:int>>")
+
+    def runs(t: Column) -> Column:
+        def each(n: int) -> Column:
+            at = F.sequence(F.lit(0), F.size(t) - n)
+            return F.when(F.size(t) >= n, F.transform(at, lambda i: F.struct(i.alias("start"), (i + n).alias("stop"), *_key(t, i, n)))).otherwise(none)
+
+        return F.flatten(F.array(*[each(n) for n in lengths])) if len(lengths) > 1 else each(lengths[0])
+
+    asked = aliases
+    for c, k in (("key", 0), ("check", 1)):
+        value = F.coalesce(*[F.when(F.size(words) == n, _key(words, 0, n)[k]) for n in lengths])
+        asked = asked.withColumn(f"__{c}", value)
+    grams = texts.select(*keys, F.explode(let(F.split(norm(F.col(text)), " "), runs)).alias("g")).select(*keys, "g.start", "g.stop", "g.key", "g.check")
+    return grams.join(asked, (F.col("key") == F.col("__key")) & (F.col("check") == F.col("__check"))).drop("key", "check", "__key", "__check")
 
 
 def greedy(spans: Column) -> Column:
