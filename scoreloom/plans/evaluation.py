@@ -78,6 +78,11 @@ def model_summary(scores: DataFrame) -> DataFrame:
     return ranked(grouped.withColumn("research_score", half_even(score, 4)).withColumns({k: v for k, v in rounded.items()}), "research_score")
 
 
+def split_means(scores: DataFrame, keys: list[str], value: str, flag: str) -> DataFrame:
+    """Rows, and the mean of value over flagged and over other rows, in one pass."""
+    return scores.groupBy(*keys).agg(F.count("*").alias("answers"), F.avg(F.when(F.col(flag), F.col(value))).alias("mean_flagged"), F.avg(F.when(~F.col(flag), F.col(value))).alias("mean_other"))
+
+
 def ranked(df: DataFrame, score: str, name: str = "rank_by_research_score") -> DataFrame:
     """Rank from 1 of the highest score; equal scores share the lowest rank. For summaries: a row a model."""
     return df.withColumn(name, F.rank().over(W.orderBy(F.desc_nulls_last(score))))

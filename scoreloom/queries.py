@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .functions import evidence as ev
 from .functions import text as tx
 from .operators import entities as en
+from .operators import gold as go
 from .operators import mentions as me
 from .operators import scoring as sc
 from .plans import evaluation, inference, judge, synth
@@ -287,6 +288,42 @@ def near_spelling_by_distance(spark, sf_dir):
     return near.groupBy("row_id").agg(F.min_by("Company", F.struct("distance", "Company")).alias("near"), F.min("distance").alias("distance"))
 
 
+@query(f"""WITH {KB}, q AS (SELECT s_nationkey, county, count(*) AS n, min(company) AS one FROM kb GROUP BY 1, 2)
+SELECT CAST(s_nationkey AS INT) AS question_number, n AS gold_count, CASE WHEN s_nationkey % 3 = 0 THEN n ELSE 1 END AS companies, 1 AS counties, CASE s_nationkey % 2 WHEN 0 THEN 'lookup' ELSE 'list_or_lookup_judge_recommended' END AS kind FROM q""")
+def gold_records(spark, sf_dir):
+    """Gold answers of three forms: a line a company, "only company", a county's line."""
+    kb = synth.knowledge(spark, sf_dir)
+    g = synth.gold(spark, sf_dir)
+    one = F.array_min("gold_companies")
+    n = F.format_string("There are %d suppliers in %s.\n", F.size("gold_companies"), F.col("county"))
+    body = (
+        F.when(F.col("question_number") % 3 == 0, F.array_join(F.transform("gold_companies", lambda c: F.concat(F.lit("- "), c, F.lit(" | Tier: 1 [note]"))), "\n"))
+        .when(F.col("question_number") % 3 == 1, F.concat(F.lit("Role: x | Only company: "), one))
+        .otherwise(F.concat(F.lit("Some County: "), one, F.lit("\nOEM Footprint")))
+    )
+    q = F.when(F.col("question_number") % 2 == 0, "Which county has them?").otherwise("Where is the risk?")
+    gold = g.select("question_number", q.alias("question"), F.concat(n, body).alias("golden_answer"))
+    counties = g.select("county", tx.norm(F.col("county")).alias("alias"))
+    r = go.gold_records(gold, en.alias_table(kb), counties)
+    return r.select("question_number", F.col("gold_count").cast("bigint").alias("gold_count"), F.size("gold_companies").cast("bigint").alias("companies"), F.size("gold_counties").alias("counties"), F.col("question_type").alias("kind"))
+
+
+@query(f"WITH {EXPECTED} SELECT arm, model_name, CAST(question_number AS INT) AS question_number, CASE WHEN faked AND NOT failed THEN 1 ELSE 0 END AS unknown FROM per")
+def unknown_mentions(spark, sf_dir):
+    """Made-up companies by answer (misspelled names of firms, which the rule finds too, are left out)."""
+    kb = synth.knowledge(spark, sf_dir)
+    answers = synth.answers(spark, sf_dir)
+    rows = go.unknown_mentions(answers, evaluation.KEYS, en.alias_table(kb)).filter("mention not like 'Firm%'")
+    return answers.select(*evaluation.KEYS).join(rows.groupBy(*evaluation.KEYS).agg(F.count("*").alias("unknown")), evaluation.KEYS, "left").na.fill(0, ["unknown"])
+
+
+@query("SELECT lang, count(*) AS answers, round(avg(CASE WHEN quality = 1 THEN n_chars END), 4) AS mean_judged, round(avg(CASE WHEN quality = 0 THEN n_chars END), 4) AS mean_other FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+def split_means(spark, sf_dir):
+    """Means of the judged and the other rows in one pass."""
+    d = t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(t(spark, sf_dir, "labels"), "doc_id")
+    return evaluation.split_means(d.withColumn("flag", F.col("quality") == 1), ["lang"], "n_chars", "flag").select("lang", "answers", F.round("mean_flagged", 4).alias("mean_judged"), F.round("mean_other", 4).alias("mean_other"))
+
+
 # ---------------------------------------------------------------- set scores and fields
 
 
