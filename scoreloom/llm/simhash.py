@@ -183,7 +183,8 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     they stay, all of them, and drop no other row."""
     ids = near_duplicates(df.filter(df[id_col].isNotNull()), id_col, text_col)
     own = written(ids.filter(F.col("component_id") == F.col(id_col)).groupBy(id_col).count(), "kept-ids")
-    out = df.join(own.select(id_col), id_col, "left_semi")
+    # The ids grow with the table: a sort-merge join at every size, never a broadcast of them.
+    out = df.join(own.select(id_col).hint("merge"), id_col, "left_semi")
     if not own.filter("count > 1").isEmpty():
         out = out.dropDuplicates([id_col])
     return out.select(df.columns).unionByName(df.filter(df[id_col].isNull()))
