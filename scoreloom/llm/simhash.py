@@ -170,7 +170,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = written(docs.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
     linked = components(links(nodes.select("fp"), bucket))
     named = nodes.join(linked.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    # Written, so that both sides of the join below are dealt out by it and Spark can split a component of very many.
+    smallest = written(named.groupBy("label").agg(F.min("first").alias("component_id")), "components")
     by_fp = written(named.select("fp", "label").join(smallest, "label").select("fp", "component_id"), "fingerprint-components")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return docs.join(by_fp, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
