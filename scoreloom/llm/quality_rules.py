@@ -56,9 +56,9 @@ RULES = (
     Rule("long_enough", "n_words", "one", low=20_000),
     Rule("word_length", "word_chars", "n_words", low=2_000, high=15_000),
     Rule("symbols", "n_symbols", "n_words", high=100),
-    Rule("stop_words", "n_stop_words", "one", low=2_000),
+    Rule("stop_words", "n_stop_words", "one", low=1_000),
     Rule("stop_word_share", "n_stop_words", "n_words", low=20),
-    Rule("dup_lines", "n_dup_lines", "n_lines", high=300),
+    Rule("dup_lines", "n_dup_lines", "n_lines", high=500),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", high=900),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", high=300),
     Rule("repeated_words", "n_repeat_words", "n_words", high=300),
