@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, hash_sample, text_or_empty
+from .common import Memo, hash_sample, text_or_empty, written
 
 #: Most labelled rows that the chain is fitted on, in the order of a hash of their id.
 MAX_FIT = 6_000
@@ -121,23 +121,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     told = hash_sample(told.filter("own is not null"), "own", max_fit, "toxicity").dropDuplicates(["own"])
     text = docs.select(F.col(id_col).alias("own"), text_or_empty(docs, text_col).alias("text"))
 
+    ys = [f"y{k}" for k in range(len(names))]
+    # max_fit rows of numbers: the size of what is broadcast is bounded. A repeated id keeps its rows, up to the bound.
+    chosen = text.join(F.broadcast(told), "own").orderBy(F.xxhash64(F.col("own").cast("string")), "own").limit(max_fit).select("text", F.xxhash64("text").alias("h"), *ys)
+    chosen = written(chosen.repartition(16), "toxicity-sample")
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = pa.array([sorted(features(t.as_py())) for t in b.column(0)], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([lists, *b.columns[1:]], names=["words", *b.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(features(t.as_py())) for t in b.column(0)], pa.list_(pa.string()))], names=["words"])
 
-    ys = [f"y{k}" for k in range(len(names))]
-    # max_fit rows of numbers: the size of what is broadcast is bounded. A repeated id keeps its rows, up to the bound.
-    chosen = text.join(F.broadcast(told), "own").orderBy(F.xxhash64(F.col("own").cast("string")), "own").limit(max_fit).select("text", *ys)
-    sample = chosen.mapInArrow(split, "words array<string>, " + ", ".join(f"{y} int" for y in ys)).toPandas()
-    sample = sample.iloc[np.random.default_rng(11).permutation(len(sample))]
-    found: dict[str, int] = {}
-    for ws in sample["words"]:
-        for w in ws:
-            found[w] = found.get(w, 0) + 1
-    often = sorted((w for w, n in found.items() if n >= MIN_TEXTS and w), key=lambda w: (-found[w], w))[:MAX_WORDS]
+    found = chosen.select("text").mapInArrow(split, "words array<string>").select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    often = [r[0] for r in found.filter(F.col("n") >= MIN_TEXTS).orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()]
     numbers = {w: k for k, w in enumerate(often)}
-    rows = [np.fromiter((numbers[w] for w in ws if w in numbers), np.int64) for ws in sample["words"]]
+    shared = docs.sparkSession.sparkContext.broadcast(numbers)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [sorted({shared.value[f] for f in features(t.as_py()) if f in shared.value}) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), *b.columns[1:]], names=["at", *b.schema.names[1:]])
+
+    # Numbers of features come to the driver, at most max_fit lists of them; their words stay where they are.
+    sample = chosen.mapInArrow(counted, "at array<int>, h long, " + ", ".join(f"{y} int" for y in ys)).toPandas()
+    sample = sample.sort_values(["h", *ys], kind="stable").iloc[np.random.default_rng(11).permutation(len(sample))]
+    rows = [np.asarray(at, np.int64) for at in sample["at"]]
     fold = np.arange(len(rows)) % folds
     extra, weights, thresholds = np.zeros((len(rows), 0)), [], []
     for k, y_name in enumerate(ys):
