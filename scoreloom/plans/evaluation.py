@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import extract_count, extract_numbers, half_even, inline_thinking, norm, requested_fields, section_flags, supporting_ids
 from ..operators.entities import alias_table, companies_in, counties_in
+from ..operators.gold import unknown_mentions
 from ..operators.mentions import class_counts, classify, mentions, row_id_checks
 from ..operators.scoring import answered, composite, count_scores, differences, entity_basis, field_accuracy, field_checks, id_scores, numeric_recall, set_scores
 from ..sources.stored import stored
@@ -52,9 +53,10 @@ def scored_answers(answers: DataFrame, gold: DataFrame, kb: DataFrame, keep=stor
     rows = row_id_checks(flat, KEYS, kb, aliases, keep=keep).groupBy(*KEYS).agg(
         F.count("*").alias("row_id_checked"), F.count_if(F.col("status") == "mismatch").alias("row_id_mismatches"), F.count_if(F.col("status") == "bad_row_id").alias("bad_row_ids"), F.count("*").alias("evidence_mentions")
     )
-    out = flat.join(checks, KEYS, "left").join(classes, KEYS).join(rows, KEYS, "left")
+    legacy = unknown_mentions(flat, KEYS, aliases).groupBy(*KEYS).agg(F.count("*").alias("unknown_mentions"))
+    out = flat.join(checks, KEYS, "left").join(classes, KEYS).join(rows, KEYS, "left").join(legacy, KEYS, "left")
     fp = F.col("n_industry_group_false_positive") + F.col("n_product_service_false_positive") + F.col("n_kb_supported_non_company_field")
-    return out.na.fill(0, ["row_id_checked", "row_id_mismatches", "bad_row_ids", "evidence_mentions"]).withColumn("non_company_fp", fp)
+    return out.na.fill(0, ["row_id_checked", "row_id_mismatches", "bad_row_ids", "evidence_mentions", "unknown_mentions"]).withColumn("non_company_fp", fp)
 
 
 def model_summary(scores: DataFrame) -> DataFrame:
@@ -68,14 +70,15 @@ def model_summary(scores: DataFrame) -> DataFrame:
         F.avg("field_value_accuracy").alias("field_value_accuracy"), flag("format_core_ok").alias("format_core_ok_rate"),
         rate("n_true_out_of_kb_hallucination").alias("true_hallucination_rate"), F.avg("n_true_out_of_kb_hallucination").alias("avg_true_hallucinations"),
         rate("n_misspelled_kb_company").alias("misspelled_rate"), F.avg("n_misspelled_kb_company").alias("avg_misspelled"), rate("non_company_fp").alias("non_company_fp_rate"), F.avg("non_company_fp").alias("avg_non_company_fp"),
-        rate("row_id_mismatches").alias("row_id_mismatch_rate"), F.avg("row_id_mismatches").alias("avg_row_id_mismatch"), F.sum("row_id_checked").alias("total_row_ids_checked"), F.sum("row_id_mismatches").alias("total_row_id_mismatches"),
+        rate("unknown_mentions").alias("legacy_unknown_rate"), rate("row_id_mismatches").alias("row_id_mismatch_rate"), F.avg("row_id_mismatches").alias("avg_row_id_mismatch"), F.sum("row_id_checked").alias("total_row_ids_checked"), F.sum("row_id_mismatches").alias("total_row_id_mismatches"),
         F.count_if("inline_thinking_leak").alias("inline_thinking_leaks"), F.avg("runtime_seconds").alias("avg_runtime_seconds"), F.sum("runtime_seconds").alias("total_runtime_seconds"),
         F.min("prompt_eval_count").alias("prompt_eval_min"), F.median("prompt_eval_count").alias("prompt_eval_median"), F.max("prompt_eval_count").alias("prompt_eval_max"),
     )
     c = F.col
     score = composite(c("mean_entity_f1"), c("count_accuracy_rate"), c("field_value_accuracy"), c("true_hallucination_rate"), c("format_core_ok_rate"), c("reliability"))
+    legacy = composite(c("mean_entity_f1"), c("count_accuracy_rate"), c("field_value_accuracy"), c("legacy_unknown_rate"), c("format_core_ok_rate"), c("reliability"))
     rounded = {n: half_even(F.col(n), 4) for n, k in grouped.dtypes if k == "double"}
-    return ranked(grouped.withColumn("research_score", half_even(score, 4)).withColumns({k: v for k, v in rounded.items()}), "research_score")
+    return ranked(grouped.withColumns({"research_score": half_even(score, 4), "research_score_legacy": half_even(legacy, 4)}).withColumns({k: v for k, v in rounded.items()}), "research_score")
 
 
 def split_means(scores: DataFrame, keys: list[str], value: str, flag: str) -> DataFrame:
