@@ -5,8 +5,8 @@ found from left to right: a token that ends here is the last one if it may stand
 that it leaves. Following the stored tokens back from the end gives the encoding. The state of a text can be kept:
 appended bytes go on from it, and after an edit only what lies behind the last unchanged prefix is worked out again.
 
-Which tokens end where comes from a trie over the reversed tokens; whether two tokens may stand next to each other
-from the merges that the ranks imply."""
+Which tokens end where comes from an automaton over all tokens; whether two tokens may stand next to each other from
+the merges that the ranks imply."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -51,28 +52,29 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.lengths = {rank: len(token) for token, rank in ranks.items()}
+        self.longest = max(map(len, ranks), default=0)
         self.parts: dict[int, tuple[int, int]] = {}  # of a token that a merge makes: the two tokens merged
         self.adjacent: dict[int, bool] = {}  # by left << 32 | right
-        # Built in the order of ranks, so that the shorter tokens' encodings are there when they are asked for.
-        self.trie: list[dict[int, int]] = [{}]  # by reversed bytes
-        self.ends: list[int] = [-1]
-        for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
+        self.matcher = ahocorasick.Automaton()  # over bytes written as characters of the same number
+        for token, rank in ranks.items():
             if len(token) > 1:
-                last = self.last_tokens(token)
-                right = last[-1]
-                left = last[len(token) - len(self.tokens[right]) - 1] if right >= 0 and len(self.tokens[right]) < len(token) else -1
-                # A token is made by a merge if what the earlier ranks leave of it are two tokens.
-                if right < 0 or left < 0 or len(self.tokens[left]) + len(self.tokens[right]) != len(token):
-                    continue  # no merge leads to it: only the whole piece can be this token
-                self.parts[rank] = (left, right)
-            at = 0
-            for byte in reversed(token):
-                at = self.trie[at].setdefault(byte, len(self.trie))
-                if at == len(self.trie):
-                    self.trie.append({})
-                    self.ends.append(-1)
-            self.ends[at] = rank
-        self.adjacent.clear()  # answers from a table that wasn't whole
+                two = self._merged(token, rank)
+                if len(two) != 2:
+                    continue  # no merge leads to it: only a whole piece can be this token
+                self.parts[rank] = two
+            self.matcher.add_word(token.decode("latin-1"), rank)
+        self.matcher.make_automaton()
+
+    def _merged(self, token: bytes, below: int) -> tuple[int, ...]:
+        """What merges of lower rank than `below` make of a token's bytes."""
+        now = [token[i : i + 1] for i in range(len(token))]
+        while len(now) > 1:
+            rank, i = min((self.ranks.get(now[i] + now[i + 1], below), i) for i in range(len(now) - 1))
+            if rank >= below:
+                break
+            now[i : i + 2] = [now[i] + now[i + 1]]
+        return tuple(self.ranks[x] for x in now)
 
     def fits(self, left: int, right: int) -> bool:
         """Whether BPE leaves the two tokens standing next to each other: no merge across their border comes earlier
@@ -109,29 +111,25 @@ class PrefixEncoder:
 
         known: the last tokens of a beginning of piece, which is not worked out again: appending bytes costs only
         these bytes."""
-        trie, ends, adjacent, fits = self.trie, self.ends, self.adjacent, self.fits
+        lengths, adjacent, fits = self.lengths, self.adjacent, self.fits
         last = list(known or ())
-        for stop in range(len(last), len(piece)):
-            at, i, found = 0, stop, []
-            while i >= 0:
-                at = trie[at].get(piece[i])
-                if at is None:
-                    break
-                token = ends[at]
-                if token >= 0:
-                    found.append((i, token))
-                i -= 1
-            for i, token in reversed(found):  # at most one fits, most often the longest
-                if i == 0:
-                    break
-                left = last[i - 1]
-                if left >= 0:
-                    fit = adjacent.get(left << 32 | token)
-                    if fits(left, token) if fit is None else fit:
-                        break
-            else:
-                token = -1
-            last.append(token)
+        begun = len(last)
+        last += [-1] * (len(piece) - begun)
+        # Tokens that end behind `begun` start no more than the longest token before it.
+        cut = max(0, begun - self.longest)
+        for stop, token in self.matcher.iter(piece[cut:].decode("latin-1")):
+            stop += cut
+            if stop < begun or last[stop] >= 0:
+                continue  # at most one token fits
+            before = stop - lengths[token]
+            if before < 0:
+                last[stop] = token
+                continue
+            left = last[before]
+            if left >= 0:
+                fit = adjacent.get(left << 32 | token)
+                if fits(left, token) if fit is None else fit:
+                    last[stop] = token
         return last
 
     def edited(self, piece: bytes, last: list[int], new: bytes) -> list[int]:
