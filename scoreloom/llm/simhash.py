@@ -177,12 +177,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(by_fp, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose id is their component's smallest, with df's columns.
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", near=near_duplicates) -> DataFrame:
+    """The rows of df whose id is their component's smallest, with df's columns; near finds the components.
 
     Of rows that share an id one stays (any, where they differ). Rows with a null id can't stand for a component;
     they stay, all of them, and drop no other row."""
-    ids = near_duplicates(df.filter(df[id_col].isNotNull()), id_col, text_col)
+    ids = near(df.filter(df[id_col].isNotNull()), id_col, text_col)
     own = written(ids.filter(F.col("component_id") == F.col(id_col)).groupBy(id_col).count(), "kept-ids")
     # The ids grow with the table: a sort-merge join at every size, never a broadcast of them.
     out = df.join(own.select(id_col).hint("merge"), id_col, "left_semi")
