@@ -84,14 +84,17 @@ def pack(
     items = items.withColumn("shard", F.pmod(F.xxhash64(*key), F.lit(shards)).cast("int"))
     full = F.greatest(F.lit(0), F.floor((F.col("words") - 1) / capacity)).cast("int")
     items = items.withColumn("full", full)
-    wholes = items.filter("full > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
-    # A number of its own for each full bin of the shard: from the row's id hash and piece, below 0.
-    wholes = wholes.select("id", "piece", F.lit(capacity).cast("long").alias("size"), "shard", (-1 - F.abs(F.xxhash64("id", "cluster", "piece") % (1 << 61))).alias("bin"))
     parts = items.select("id", "source", "cluster", (F.col("words") - F.col("full") * capacity).alias("size"), F.col("full").alias("piece"), "shard")
+    # The id as a string comes back exactly; pandas would make large numbers inexact beside a null id.
+    parts = parts.withColumn("name", F.col("id").cast("string"))
 
     def packed(shard: pd.DataFrame) -> pd.DataFrame:
-        return pack_shard(shard, capacity)[["id", "piece", "size", "shard", "bin"]]
-
-    kind = items.schema["id"].dataType.simpleString()
-    small = parts.groupBy("shard").applyInPandas(packed, f"id {kind}, piece int, size long, shard int, bin long")
-    return small.unionByName(wholes).withColumnRenamed("id", id_col)
+        last = pack_shard(shard, capacity).reset_index(drop=True)[["name", "piece", "size", "shard", "bin"]]
+        # Full pieces are counted over the shard's rows, so that repeated rows have bins of their own too.
+        full = last.loc[last.index.repeat(last["piece"])]
+        full = full.assign(piece=full.groupby(level=0).cumcount().astype("int32"), size=capacity, bin=range(-1, -1 - len(full), -1))
+        return pd.concat([last, full]) if len(full) else last
+
+    kind = items.schema["id"].dataType
+    rows = parts.groupBy("shard").applyInPandas(packed, "name string, piece int, size long, shard int, bin long")
+    return rows.select(F.col("name").cast(kind).alias(id_col), "piece", "size", "shard", "bin")

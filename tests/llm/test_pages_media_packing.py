@@ -188,3 +188,15 @@ def test_packing_of_odd_rows(odd_docs, no_docs, spark):
     rows = packing.pack(hot, capacity=50, shard_items=100).collect()
     assert len(rows) == 800 and max(Counter(r.shard for r in rows).values()) < 250
     assert len({(r.shard, r.bin) for r in rows if r.doc_id == 1}) == 700
+
+
+def test_full_pieces_of_repeated_rows_have_bins_of_their_own(spark):
+    long_text = " ".join(f"w{i}" for i in range(250))
+    large = 2**60 + 1
+    rows = [(large, long_text, "a")] * 3 + [(None, long_text, "a")] * 2 + [(2, "short", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(df, capacity=100).collect()
+    check_packing(df, got, 100)
+    full = [r for r in got if r.bin < 0]
+    assert len(full) == 10 and len({(r.shard, r.bin) for r in full}) == 10
+    assert Counter((r.doc_id, r.piece) for r in full) == {(large, 0): 3, (large, 1): 3, (None, 0): 2, (None, 1): 2}
