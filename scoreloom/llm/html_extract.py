@@ -5,9 +5,10 @@ called boilerplate: they become the capacities of its edges from the source and
 blocks near each other in the document tree are joined by smoothness edges. The minimum cut, found by maximum flow,
 is the labelling of least total cost; blocks on the source's side are the main text.
 
-The classifier adds two parts: what the nearest telling element around a block says (a fixed table of element names
-and of words in class, id and role), and a logistic model of the block's own text (length, links, signs, capitals),
-trained on blocks of a bounded sample of pages for which the first part is sure."""
+The classifier is a logistic model over what a block is like (length, links, signs, capitals, heading, list) and what
+the class words and the headings above it say, as one bounded feature among others. Its weights are fitted on a
+bounded sample of pages that have an article or main element, with the blocks inside as content and those outside as
+boilerplate. Elements that mean content or boilerplate by themselves add a fixed amount."""
 
 from __future__ import annotations
 
@@ -16,6 +17,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,15 @@ from pyspark.sql import functions as F
 
 from .common import hash_sample, text_or_empty
 
-#: Most pages that the text model is fitted on, in the order of a hash of their id.
+#: Most pages that the block model is fitted on: those of the smallest hash of their html.
 MAX_FIT = 500
 SCALE = 1000  # capacities are whole numbers of thousandths
-SURE, LEAN = 6.0, 0.8
-#: Smoothness between neighbouring blocks of one parent, and what each step apart in the tree divides it by.
-SMOOTH = 1.5
+#: What an element that means content adds, one that means boilerplate unless an article lies in it, and one that does
+#: whatever lies in it; and the most that the fitted model says either way about anything but class words.
+GOOD, BAD, NEVER, MOST = 4.0, -4.0, -9.0, 3.0
+#: Smoothness between neighbouring blocks of one parent; what each step apart in the tree divides it by; and how fast it
+#: fades where class words speak of one block and not of the other.
+SMOOTH, FADE = 1.5, 2.5
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -37,22 +42,37 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page.
-SILENT_TAGS = frozenset("script style noscript template title textarea select button iframe object svg math canvas audio video head".split())
-RAW_TAGS = frozenset("script style textarea title iframe noscript template".split())
+SILENT_TAGS = frozenset("script style noscript template title textarea select button iframe object svg canvas audio video head".split())
+RAW_TAGS = frozenset("script style textarea title iframe noscript".split())
 GOOD_TAGS = frozenset(("article", "main"))
-BAD_TAGS = frozenset("nav footer aside form menu dialog header".split())
-GOOD_WORDS = frozenset("article content post entry story main body text prose".split())
+NEVER_TAGS = frozenset("nav footer aside menu dialog".split())
+NEVER_ROLES = frozenset("navigation contentinfo complementary search dialog alertdialog menu menubar banner".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Class words that speak against a block wherever they stand in a name, those that do as the whole name or its end, and
+#: those that speak for it.
+LOUD_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr comment comments disqus".split())
 BAD_WORDS = frozenset(
-    "ad ads advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe "
-    "subscription signup share sharing social related recommended recommendations sidebar widget menu nav navbar navigation breadcrumb breadcrumbs footer header "
-    "masthead comment comments disqus respond reply replies pagination pager popup modal overlay login search toolbar copyright complementary contentinfo form".split()
+    "promo promotion banner notice notices alert newsletter subscribe subscription signup share sharing social related recommended recommendations sidebar "
+    "widget menu nav navbar navigation breadcrumb breadcrumbs footer header masthead respond reply replies pagination pager popup modal overlay login "
+    "search toolbar copyright form".split()
 )
+GOOD_WORDS = frozenset("article content post entry story main body text prose".split())
+#: A name that begins so says what the page has elsewhere, not what the element is.
+ABOUT_OTHERS = frozenset("with has no not without is show hide hides include includes enable enabled".split())
+#: A heading that has one of these as its first word opens a part that is no main text; what it says of the blocks up to
+#: the end of the element around it or the next heading of its level.
+HEADING_WORDS = frozenset("comments comment kommentare commentaires comentarios related advertisement anzeige publicité publicidad newsletter share".split())
+AFTER_HEADING = -0.6
 #: A new block element of these ends an open one of the same row.
-ENDS = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = frozenset("html body article aside main section nav div td th table ul ol dl blockquote form footer header".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+# Possessive throughout: no position is looked at twice.
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++)?+)?+|=)*+)>")
+ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))?+)?+")
+FIRST_WORD = re.compile(r"\w*")
+CAPITALS = re.compile("[A-ZÀ-ÖØ-Þ]")
+STOPS = re.compile("[.,;:!?]")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -60,182 +80,268 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Block:
     text: str
     links: int  # characters of the text that lie in links
-    path: tuple[int, ...]  # numbers of the elements around it, outermost first
-    prior: float
+    node: int  # number of the block element around it, and of the one around that
+    parent: int
+    depth: int  # block elements around it
+    shared: int  # of them, those around the block before as well
+    element: float  # what elements say by themselves
+    words: float  # what class words and headings say, -1 to 1
     tag: str
 
 
 @dataclass(slots=True)
 class _Element:
     name: str
-    number: int
-    prior: float | None  # what the element itself says
+    node: int
+    parent: int
+    depth: int
     silent: bool
+    linked: bool
+    element: float
+    words: float
+    tag: str
+    scope: dict[str, int]  # elements open since the last scope element, by name
+    section: tuple[int, float] | None = None  # level of the last heading right in it, and what it says
+
+
+def class_words(value: str) -> float:
+    """What a class, id or role says: from -1 (boilerplate) to 1 (content)."""
+    good = bad = 0.0
+    for name in value.split():
+        parts = [w.lower() for w in PART.findall(name)]
+        if not parts or parts[0] in ABOUT_OTHERS:
+            continue
+        if any(w in LOUD_WORDS for w in parts):
+            bad = max(bad, 1.0)
+        elif parts[-1] in BAD_WORDS:
+            bad = max(bad, 1.0 if len(parts) == 1 else 0.8)
+        elif parts[0] in BAD_WORDS:
+            bad = max(bad, 0.6 if parts[-1] not in GOOD_WORDS else 0.3)
+        elif parts[-1] in GOOD_WORDS:
+            good = max(good, 0.6 if len(parts) == 1 else 0.4)
+    return good - bad if bad else good
 
 
 @dataclass(slots=True)
 class _Parser:
-    stack: list[_Element] = field(default_factory=list)
+    stack: list[_Element] = field(default_factory=lambda: [_Element("", 0, 0, 0, False, False, 0.0, 0.0, "", {})])
+    opened: dict[str, int] = field(default_factory=dict)
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     links: int = 0
     count: int = 0
-    path: tuple[int, ...] = ()
-    prior: float = LEAN
-    tag: str = ""
+    low: int = 0  # fewest block elements open since the last block
+    at: _Element | None = None  # where the block being read began
 
     def say(self, text: str) -> None:
-        if text and not (self.stack and self.stack[-1].silent):
+        top = self.stack[-1]
+        if text and not top.silent:
             if not self.parts:
-                self._mark()
+                self.at = top
+            if "&" in text:
+                text = html.unescape(text)
             self.parts.append(text)
-            if any(e.name == "a" for e in self.stack):
-                self.links += len(" ".join(html.unescape(text).split()))
-
-    def _mark(self) -> None:
-        self.path = tuple(e.number for e in self.stack if e.name in BLOCK_TAGS)
-        self.prior = next((e.prior for e in reversed(self.stack) if e.prior is not None), LEAN)
-        self.tag = next((e.name for e in reversed(self.stack) if e.name in BLOCK_TAGS), "")
+            if top.linked:
+                self.links += len(" ".join(text.split()))
 
     def flush(self) -> None:
-        if self.parts:
-            text = " ".join(html.unescape("".join(self.parts)).split())
-            if text:
-                self.blocks.append(Block(text, min(self.links, len(text)), self.path, self.prior, self.tag))
-            self.parts, self.links = [], 0
+        if not self.parts:
+            return
+        text = " ".join("".join(self.parts).split())
+        e = self.at
+        if text:
+            said = min(e.words, e.section[1]) if e.section else e.words
+            if e.tag in HEADINGS:
+                holder = next((x for x in reversed(self.stack) if x.tag not in HEADINGS), self.stack[0])
+                level = int(e.tag[1])
+                if FIRST_WORD.match(text.lower())[0] in HEADING_WORDS:
+                    holder.section = (level, AFTER_HEADING)
+                    said = min(said, AFTER_HEADING)
+                elif holder.section and level <= holder.section[0]:
+                    holder.section = None
+            self.blocks.append(Block(text, min(self.links, len(text)), e.node, e.parent, e.depth, min(self.low, e.depth), e.element, said, e.tag))
+            self.low = e.depth
+        self.parts, self.links = [], 0
+
+    def _pop_to(self, names: tuple[str, ...]) -> None:
+        """Ends elements up to and with the innermost of these names."""
+        while len(self.stack) > 1:
+            e = self.stack.pop()
+            self.opened[e.name] -= 1
+            below = self.stack[-1].scope
+            if e.name in below:
+                below[e.name] -= 1
+            self.low = min(self.low, self.stack[-1].depth)
+            if e.name in names:
+                return
 
     def open(self, name: str, attributes: str) -> None:
-        if name in BLOCK_TAGS:
+        block = name in BLOCK_TAGS
+        if block:
             self.flush()
-            if "p" != name and self.stack and self.stack[-1].name == "p":
-                self.stack.pop()  # a paragraph holds no other block
+            scope = self.stack[-1].scope
+            if scope.get("p"):  # a paragraph holds no other block
+                self._pop_to(("p",))
             ends = ENDS.get(name)
-            if ends:
-                for i in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[i].name in ends:
-                        del self.stack[i:]
-                        break
-                    if self.stack[i].name in SCOPES:
-                        break
-        elif name == "br" and self.parts:
-            self.parts.append(" ")
-        if name in VOID_TAGS or attributes.endswith("/") and name not in BLOCK_TAGS and name != "a":
+            while ends and any(self.stack[-1].scope.get(x) for x in ends):
+                self._pop_to(ends)
+        elif name == "br":
+            if self.parts:
+                self.parts.append(" ")
+            return
+        if name in VOID_TAGS or attributes.endswith("/") and not block and name != "a":
             return
-        silent = name in SILENT_TAGS or bool(self.stack and self.stack[-1].silent)
-        self.count += 1
-        self.stack.append(_Element(name, self.count, self._says(name, attributes), silent))
-
-    def _says(self, name: str, attributes: str) -> float | None:
-        if name in BAD_TAGS:
-            inside = any(e.name in GOOD_TAGS for e in self.stack)
-            return None if name == "header" and inside else -SURE
-        if name in GOOD_TAGS:
-            return SURE
-        if not attributes or name in ("html", "body"):
-            return None
-        found = None
-        for key, value in ATTRIBUTE.findall(attributes):
-            key = key.lower()
-            if key == "hidden" or key == "aria-hidden" and "true" in value or key == "style" and "display:none" in value.replace(" ", ""):
-                return -SURE
-            if key in ("class", "id", "role"):
-                words = {w.lower() for w in PART.findall(value)}
-                if words & BAD_WORDS:
-                    return -SURE
-                if words & GOOD_WORDS:
-                    found = SURE / 2
-        return found
+        up = self.stack[-1]
+        node, parent, depth = up.node, up.parent, up.depth
+        if block:
+            self.count += 1
+            node, parent, depth = self.count, up.node, up.depth + 1
+        element, words, hidden = self._says(name, attributes, up)
+        if up.section and not (name in HEADINGS and int(name[1]) <= up.section[0]):
+            words = min(words, up.section[1])
+        up.scope[name] = up.scope.get(name, 0) + 1
+        self.opened[name] = self.opened.get(name, 0) + 1
+        scope = {} if name in SCOPES else up.scope
+        self.stack.append(_Element(name, node, parent, depth, up.silent or hidden or name in SILENT_TAGS, up.linked or name == "a", element, words, name if block else up.tag, scope))
+
+    @staticmethod
+    def _says(name: str, attributes: str, up: _Element) -> tuple[float, float, bool]:
+        element, words, said, hidden = up.element, up.words, 0.0, False
+        role = ""
+        if attributes and name not in ("html", "body"):
+            names = []
+            for key, *values in ATTRIBUTE.findall(attributes):
+                key, value = key.lower(), "".join(values)
+                if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.lower().replace(" ", ""):
+                    hidden = True
+                elif key == "role":
+                    role = value.strip().lower()
+                elif key in ("class", "id"):
+                    names.append(value)
+            said = class_words(" ".join(names))
+        if name in NEVER_TAGS or role in NEVER_ROLES:
+            element = NEVER
+        elif name in GOOD_TAGS or role in GOOD_TAGS:
+            if element > NEVER:
+                element = NEVER if said <= -1 else GOOD
+            if element == GOOD and words > -1:
+                words = 0.0
+        elif element > NEVER and (name == "form" or name == "header" and element <= 0):
+            element = BAD
+        if said <= -1 and element <= 0:
+            element = min(element, NEVER)  # an article inside, as each comment may be, doesn't change it
+        if said < 0 and not (name == "header" and up.element > 0):
+            words = min(words, said)
+        elif said > 0 and words >= 0:
+            words = max(words, said)
+        if said < 0 and element > 0 and said <= -1:
+            element = 0.0
+        return element, words, hidden
 
     def close(self, name: str) -> None:
         if name in BLOCK_TAGS:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].name == name:
-                del self.stack[i:]
-                return
-            if self.stack[i].name in SCOPES and name not in BLOCK_TAGS and name not in SILENT_TAGS:
+            if not self.opened.get(name):
                 return
+        elif not self.stack[-1].scope.get(name):
+            return  # not open, or open outside of what is being read
+        self._pop_to((name,))
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in its order: text with references decoded and single spaces, never empty."""
-    p, at = _Parser(), 0
-    while m := TOKEN.search(page, at):
-        p.say(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        if m[1]:
-            p.close(name)
-            continue
-        p.open(name, m[3] or "")
-        if name in RAW_TAGS:  # what follows is no markup up to the element's end
-            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-            p.close(name)
-            at = end.end() if end else len(page)
+    """The blocks of a page in its order: text with references decoded and single spaces, never empty.
+
+    One pass from left to right. A tag that isn't closed before the page's end is dropped with what follows it."""
+    p, at, n = _Parser(), 0, len(page)
+    while (cut := page.find("<", at)) >= 0:
+        after = page[cut + 1 : cut + 2]
+        if page.startswith("<!--", cut):
+            p.say(page[at:cut])
+            end = page.find("-->", cut + 4)
+            at = n if end < 0 else end + 3
+        elif after in ("!", "?"):
+            p.say(page[at:cut])
+            end = page.find(">", cut)
+            at = n if end < 0 else end + 1
+        elif after.isascii() and (after.isalpha() or after == "/" and page[cut + 2 : cut + 3].isascii() and page[cut + 2 : cut + 3].isalpha()):
+            p.say(page[at:cut])
+            m = TAG.match(page, cut)
+            if not m:
+                at = n
+                break
+            at, name = m.end(), m[2].lower()
+            if m[1]:
+                p.close(name)
+                continue
+            p.open(name, m[3])
+            if name in RAW_TAGS:  # what follows is no markup up to the element's end
+                end = re.compile(rf"</{name}\b[^>]*+>?", re.I).search(page, at)
+                p.close(name)
+                at = end.end() if end else n
+        else:
+            p.say(page[at : cut + 1])
+            at = cut + 1
     p.say(page[at:])
     p.flush()
     return p.blocks
 
 
-FEATURES = 6
+#: Weights of described() that the fitted ones lean on; the last is the bias.
+LEAN = np.array([0.8, -3.0, 1.0, -1.0, 0.0, -2.0, 0.3, -0.3, 8.0, -1.5])
+WORDS_AT = 8
 
 
 def described(b: Block) -> list[float]:
-    """What the text model sees of a block."""
-    words = b.text.split()
+    """What the model sees of a block."""
+    words = b.text.count(" ") + 1
     n = len(b.text)
     return [
-        np.log1p(len(words)), b.links / n, sum(map(b.text.count, ".,;:!?")) / len(words),
-        sum(map(str.isupper, b.text)) / n, min(n / len(words), 20) / 10, float(any(c in b.text for c in "©|»")),
+        min(log1p(words), 5.0), b.links / n, min(1.0, len(STOPS.findall(b.text)) / words), len(CAPITALS.findall(b.text)) / n,
+        min(n / words, 20) / 10, float(any(c in b.text for c in "©|»")), float(b.tag in HEADINGS), float(b.tag == "li"), b.words,
     ]
 
 
 @dataclass(frozen=True)
-class TextModel:
-    """Logistic regression over described(): weights, and mean and spread for scaling."""
+class BlockModel:
+    """Logistic regression over described(), bias last."""
 
     weights: np.ndarray
-    mean: np.ndarray
-    spread: np.ndarray
 
-    def score(self, x: list[float]) -> float:
-        z = float(((np.array(x) - self.mean) / self.spread) @ self.weights[:-1] + self.weights[-1])
-        return min(2.0, max(-2.0, z))
+    def scores(self, page: list[Block]) -> np.ndarray:
+        """The log odds of content of each block: what it is like, within MOST, and what class words say of it."""
+        x = np.array([described(b) for b in page])
+        said = self.weights[WORDS_AT] * x[:, WORDS_AT]
+        return np.clip(x @ self.weights[:-1] - said + self.weights[-1], -MOST, MOST) + said
 
 
-NO_MODEL = TextModel(np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES))
+NO_MODEL = BlockModel(LEAN)
 
 
-def costs(page: list[Block], model: TextModel) -> list[tuple[int, int]]:
+def costs(page: list[Block], model: BlockModel) -> list[tuple[int, int]]:
     """For each block the cost of calling it boilerplate and of calling it content: its terminal capacities."""
-    out = []
-    for b in page:
-        z = b.prior + model.score(described(b))
-        out.append((round(SCALE * float(np.logaddexp(0, z))), round(SCALE * float(np.logaddexp(0, -z)))))
-    return out
+    if not page:
+        return []
+    z = model.scores(page) + np.array([b.element for b in page])
+    whole = lambda x: np.rint(SCALE * np.logaddexp(0, x)).astype(int).tolist()
+    return list(zip(whole(z), whole(-z)))
 
 
 def smoothness(page: list[Block]) -> list[tuple[int, int, int]]:
     """Edges (i, j, capacity): between blocks that follow each other, and between those next to each other among the
-    blocks of one parent. Steps apart in the tree lower the capacity."""
+    blocks of one parent. Steps apart in the tree lower the capacity, and so do class words that differ."""
     edges, last = [], {}
+
+    def join(i: int, j: int, apart: int) -> None:
+        alike = exp(-FADE * abs(page[i].words - page[j].words))
+        edges.append((i, j, round(SCALE * SMOOTH * alike / (1 + apart) ** 2)))
+
     for j, b in enumerate(page):
-        near = {j - 1} if j else set()
-        parent = b.path[:-1]
-        if parent in last:
-            near.add(last[parent])
-        last[parent] = j
-        for i in near:
-            a = page[i].path
-            shared = 0
-            for x, y in zip(a, b.path):
-                if x != y:
-                    break
-                shared += 1
-            apart = max(0, len(a) + len(b.path) - 2 * shared - 2)
-            edges.append((i, j, round(SCALE * SMOOTH / (1 + apart) ** 2)))
+        if j:
+            join(j - 1, j, max(0, page[j - 1].depth + b.depth - 2 * b.shared - 2))
+        i = last.get(b.parent)
+        if i is not None and i != j - 1:
+            join(i, j, 0)
+        last[b.parent] = j
     return edges
 
 
@@ -299,50 +405,51 @@ def minimum_cut(terminals: list[tuple[int, int]], edges: list[tuple[int, int, in
                     room[e ^ 1] += flow
 
 
-def main_text(page: str | None, model: TextModel = NO_MODEL) -> str:
+def main_text(page: str | None, model: BlockModel = NO_MODEL) -> str:
     """The main text of a page: its content blocks in page order, two line feeds between them."""
     found = blocks(page or "")
     keep = minimum_cut(costs(found, model), smoothness(found))
     return "\n\n".join(b.text for b, k in zip(found, keep) if k)
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_fit: int = MAX_FIT) -> TextModel:
-    """The text model, from the blocks of at most max_fit pages that their elements call content or boilerplate."""
-    source = hash_sample(pages, id_col, max_fit, "html").select(F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+def fit(pages: DataFrame, html_col: str = "html", max_fit: int = MAX_FIT) -> BlockModel:
+    """The block model, from the blocks of at most max_fit pages: content where they lie in an article or main element,
+    boilerplate where they lie outside of it on a page that has one."""
+    source = hash_sample(pages.select(text_or_empty(pages, html_col).alias("html")), max_fit, "html")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = [], []
             for page in b.column(0):
-                for block in blocks(page.as_py()):
-                    if abs(block.prior) >= SURE:
-                        x.append(described(block))
-                        y.append(block.prior > 0)
+                found = blocks(page.as_py())
+                if any(block.element > 0 for block in found):
+                    x += map(described, found)
+                    y += [block.element > 0 for block in found]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.bool_())], names=["x", "y"])
 
     sample = source.mapInArrow(seen, "x array<double>, y boolean").toPandas()
     y = sample["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return NO_MODEL
-    x = np.array(sample["x"].tolist())
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
-    x = np.column_stack(((x - mean) / spread, np.ones(len(x))))
+    x = np.column_stack((np.array(sample["x"].tolist()), np.ones(len(y))))
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both classes count alike
-    w = np.zeros(x.shape[1])
-    for _ in range(30):  # Newton steps with a small ridge
+    w = LEAN.copy()
+    for _ in range(30):  # Newton steps with a ridge around LEAN
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)) + 1e-3 * w
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
+        g = x.T @ (weight * (p - y)) + 1e-2 * (w - LEAN)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
         w -= np.linalg.solve(h, g)
-    return TextModel(w, mean, spread)
+    w[WORDS_AT] = min(1.5 * LEAN[WORDS_AT], max(0.75 * LEAN[WORDS_AT], w[WORDS_AT]))
+    return BlockModel(w)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", model: TextModel | None = None) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", model: BlockModel | None = None) -> DataFrame:
     """(id_col, url, text, n_chars) for every row of pages.
 
     A null or empty html, and one without content blocks, has an empty text. Markup that isn't closed is read as far
-    as it goes. Pages are labelled one by one: no shuffle; repeated rows repeat; an empty table stays empty."""
-    model = model or fit(pages, id_col, html_col)
+    as it goes; pages of any length and depth take time in proportion. Pages are labelled one by one: no shuffle;
+    repeated rows and null ids keep their rows; an empty table stays empty."""
+    model = model or fit(pages, html_col)
     shared = pages.sparkSession.sparkContext.broadcast(model)
     source = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), text_or_empty(pages, html_col).alias("html"))
 
