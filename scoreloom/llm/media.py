@@ -3,8 +3,8 @@ custom Spark data source.
 
 Writing: each task appends members to archives of its own in a shared folder, with an index file beside each. Only
 archives that a finished task has named in the manifest count; those of lost or repeated tasks are never read.
-Reading: the data source plans byte ranges over the archives, streams payload batches through Arrow, and reads every
-member by its offset, so that one that fails is read again alone."""
+Reading: the data source plans byte ranges over the archives and streams payload batches through Arrow. A range is read
+in few large requests; a member that is damaged or missing in what came is read again alone, by its offset."""
 
 from __future__ import annotations
 
@@ -94,32 +94,38 @@ def _opened(uri: str):
 
 
 class _Archive:
-    """A tar archive being written, and the index of its members: id, offset and size of the data, checksum."""
+    """A tar archive being written, and the index of its members: id, offset and size of the data, checksum; a batch of
+    the index for every RANGE_BYTES of the archive, so that a range's members are found without the others."""
 
     def __init__(self, folder: str):
         self.fs, base = _opened(folder)
         self.name = uuid.uuid4().hex
         self.base = f"{base}/{self.name}"
         self.out = self.fs.open_output_stream(f"{self.base}.tar")
-        self.at, self.rows = 0, []
+        self.at, self.rows, self.cuts = 0, [], [(0, 0)]  # cuts: where ranges begin, in bytes and in members
 
     def add(self, key, media: bytes) -> None:
         info = tarfile.TarInfo(f"{len(self.rows):09d}.png")
         info.size = len(media)
+        if self.at - self.cuts[-1][0] >= RANGE_BYTES:
+            self.cuts.append((self.at, len(self.rows)))
         self.out.write(info.tobuf(tarfile.USTAR_FORMAT))
         self.rows.append((key, self.at + 512, len(media), zlib.crc32(media)))
         fill = -len(media) % 512
         self.out.write(media + bytes(fill))
         self.at += 512 + len(media) + fill
 
-    def close(self, kind: pa.DataType) -> tuple[str, int, int]:
+    def close(self, kind: pa.DataType) -> list[tuple[str, int, int, int]]:
+        """The archive's ranges: its name, number of the range, first and end byte."""
         self.out.write(bytes(1024))
         self.out.close()
         keys, offsets, sizes, sums = zip(*self.rows)
         index = pa.table({"id": pa.array(keys, kind), "offset": pa.array(offsets, pa.int64()), "size": pa.array(sizes, pa.int64()), "crc": pa.array(sums, pa.int64())})
         with self.fs.open_output_stream(f"{self.base}.index") as out, pa.ipc.new_file(out, index.schema) as writer:
-            writer.write_table(index)
-        return self.name, len(self.rows), self.at
+            for (_, first), (_, stop) in zip(self.cuts, [*self.cuts[1:], (0, len(self.rows))]):
+                writer.write_batch(index.slice(first, stop - first).combine_chunks().to_batches()[0])
+        stops = [*(at for at, _ in self.cuts[1:]), self.at]
+        return [(self.name, k, at, stop) for k, ((at, _), stop) in enumerate(zip(self.cuts, stops))]
 
 
 def store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -135,27 +141,26 @@ def store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
                     now = _Archive(folder)
                 now.add(key.as_py(), to_png(padded(text.as_py().encode("utf-8", "replace"))))
                 if now.at >= ARCHIVE_BYTES:
-                    done.append(now.close(kind))
+                    done += now.close(kind)
                     now = None
         if now is not None:
-            done.append(now.close(kind))
+            done += now.close(kind)
         if done:
-            names, members, sizes = zip(*done)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(members, pa.int64()), pa.array(sizes, pa.int64())], names=["name", "members", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["name", "part", "low", "high"])
 
     spark = df.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
     manifest = f"{folder}/manifest"
-    source.mapInArrow(put, "name string, members long, bytes long").write.parquet(manifest)
+    source.mapInArrow(put, "name string, part long, low long, high long").write.parquet(manifest)
     return manifest
 
 
 class ByteRange(InputPartition):
-    """Members of an archive whose data begin at low or later and before high."""
+    """Members of an archive whose data begin at low or later and before high; part: the batch of its index."""
 
-    def __init__(self, name: str | None, low: int = 0, high: int = 0):
-        self.name, self.low, self.high = name, low, high
+    def __init__(self, name: str | None, part: int = 0, low: int = 0, high: int = 0):
+        self.name, self.part, self.low, self.high = name, part, low, high
 
 
 class MediaArchives(DataSource):
@@ -184,43 +189,68 @@ class MediaReader(DataSourceReader):
         files, base = _opened(self.folder)
         manifest = ds.dataset(f"{base}/manifest", format="parquet", filesystem=files, exclude_invalid_files=False).to_table().to_pylist()
         step = self.range_bytes
-        ranges = [ByteRange(m["name"], low, min(low + step, m["bytes"])) for m in manifest for low in range(0, m["bytes"], step)]
+        ranges = [ByteRange(m["name"], m["part"], low, min(low + step, m["high"])) for m in manifest for low in range(m["low"], m["high"], step)]
         return ranges or [ByteRange(None)]
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
         if part.name is None:
             return
         files, base = _opened(self.folder)
-        with files.open_input_file(f"{base}/{part.name}.index") as source:
-            index = pa.ipc.open_file(source).read_all()
-        offsets = index["offset"].to_numpy()
-        first, stop = np.searchsorted(offsets, (part.low, part.high))
-        index = index.slice(first, stop - first).combine_chunks()
-        held, media, size = 0, [], 0
-        for i in range(index.num_rows):
-            member = self.member(files, f"{base}/{part.name}.tar", *(index[c][i].as_py() for c in ("offset", "size", "crc")))
-            media.append(member)
-            size += len(member)
-            if size >= BATCH_BYTES or i + 1 == index.num_rows:
-                own = index.slice(held, len(media)).combine_chunks()
-                ids = own["id"].combine_chunks() if own.num_rows else own["id"]
-                yield pa.RecordBatch.from_arrays([ids, pa.array([part.name] * len(media)), own["offset"].combine_chunks(), pa.array(media, pa.binary())], names=["id", "archive", "offset", "media"])
-                held, media, size = i + 1, [], 0
+        index = again(lambda: self.index(files, f"{base}/{part.name}.index", part.part))
+        first, stop = np.searchsorted(index.column(1).to_numpy(), (part.low, part.high))
+        index = index.slice(first, stop - first)
+        offsets, sizes, sums = (index.column(k).to_numpy() for k in (1, 2, 3))
+        at = 0
+        while at < len(sizes):
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), BATCH_BYTES, "right")))
+            media = self.members(files, f"{base}/{part.name}.tar", offsets[at : at + n].tolist(), sizes[at : at + n].tolist(), sums[at : at + n].tolist())
+            own = index.slice(at, n)
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([part.name] * n), own.column(1), pa.array(media, pa.binary())], names=["id", "archive", "offset", "media"])
+            at += n
+
+    @staticmethod
+    def index(files, path: str, part: int) -> pa.RecordBatch:
+        with files.open_input_file(path) as source:
+            return pa.ipc.open_file(source).get_batch(part)
+
+    @staticmethod
+    def members(files, path: str, offsets: list[int], sizes: list[int], sums: list[int]) -> list[bytes]:
+        """The members' bytes, in one request for all; those that came damaged or not at all are asked for alone."""
+        start = offsets[0]
+        try:
+            with files.open_input_file(path) as source:
+                data = source.read_at(offsets[-1] + sizes[-1] - start, start)
+        except OSError:
+            data = b""
+        out = []
+        for offset, size, crc in zip(offsets, sizes, sums):
+            one = data[offset - start : offset - start + size]
+            out.append(one if len(one) == size and zlib.crc32(one) == crc else MediaReader.member(files, path, offset, size, crc))
+        return out
 
     @staticmethod
     def member(files, path: str, offset: int, size: int, crc: int) -> bytes:
         """The member's bytes. A failed or damaged read is repeated for this member alone."""
-        for attempt in range(RETRIES):
-            try:
-                with files.open_input_file(path) as source:
-                    data = source.read_at(size, offset)
-                if len(data) == size and zlib.crc32(data) == crc:
-                    return data
-                problem: Exception = OSError(f"{path} at {offset}: damaged member")
-            except OSError as e:
-                problem = e
+
+        def one() -> bytes:
+            with files.open_input_file(path) as source:
+                data = source.read_at(size, offset)
+            if len(data) != size or zlib.crc32(data) != crc:
+                raise OSError(f"{path} at {offset}: damaged member")
+            return data
+
+        return again(one)
+
+
+def again(read):
+    """What read() gives; it is tried RETRIES times, with longer and longer pauses."""
+    for attempt in range(RETRIES):
+        try:
+            return read()
+        except OSError:
+            if attempt + 1 == RETRIES:
+                raise
             time.sleep(0.1 * 2**attempt)
-        raise problem
 
 
 def read_back(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataFrame:

@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from html import unescape
 from itertools import product
 
+import numpy as np
 import pytest
 
 from scoreloom.llm import html_extract, media, packing
@@ -35,6 +37,60 @@ def test_broken_pages_give_some_text(page):
     assert isinstance(html_extract.main_text(page), str)
 
 
+LONG = "A long paragraph of plain prose that goes on, with commas and with full stops. It has several sentences, as articles have."
+LAYOUTS = {  # page -> the blocks that are its main text
+    f'<div class="content with-sidebar"><p>{LONG}</p></div>': [LONG],
+    f'<div class="post has-header-image"><p>{LONG}</p></div>': [LONG],
+    f'<main><p>{LONG}</p><section><article class="comment"><p>{LONG} by a reader</p></article></section></main>': [LONG],
+    f'<div id="main"><p>{LONG}</p><div id="comments"><article><p>{LONG} by a reader</p></article></div></div>': [LONG],
+    f'<article><p>{LONG}</p><div class="ad">{LONG} Buy.</div><p>{LONG}</p></article>': [LONG, LONG],
+    f'<article><p>Here <math><mi>x</mi></math> is one. {LONG}</p></article>': [f"Here x is one. {LONG}"],
+    f'<form id="aspnetForm"><div class="nav"><a href=x>Menu</a></div><article><p>{LONG}</p></article></form>': [LONG],
+    f'<div class="topnav"><a href=/>Home</a> <a href=/b>B</a></div><div><h1>A title</h1><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div><div class="footer">© 2020 Foo | Legal</div>': ["A title", LONG, "Short one.", LONG],
+    f"<table><tr><td><a href=/>Home</a><br><a href=/b>About</a></td><td><h2>Head line</h2>{LONG}<p>{LONG}</td></tr></table>": ["Head line", LONG, LONG],
+    f'<article><header class="entry-header"><h1>Head</h1></header><p>{LONG}</p><footer>Filed under X</footer></article>': ["Head", LONG],
+    f"<main><p>{LONG}</p><aside><p>{LONG} Aside.</p></aside></main>": [LONG],
+    f"<div id=content><p>{LONG}</p><p>{LONG}</p><h3>Related stories</h3><ul><li><a href=x>One story</a><li><a href=y>Two story</a></ul></div>": [LONG, LONG],
+    f'<div role="navigation"><p>{LONG} Menu.</p></div><div role="main"><p>{LONG}</p></div>': [LONG],
+    f'<article><p title="class=hidden ad">{LONG}</p><p hidden>{LONG} Hidden.</p></article>': [LONG],
+    f"<article><p>a < b && c > d {LONG}</p></article>": [f"a < b && c > d {LONG}"],
+}
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_layouts(page):
+    assert html_extract.main_text(page).split("\n\n") == LAYOUTS[page]
+
+
+@pytest.mark.parametrize("page", [
+    "<a " + "\"'" * 50_000, '<a x="' * 50_000, "<div>" * 100_000 + "deep", "<a " * 100_000, "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000, '<a x=">" ' * 50_000,
+    "<!-- " * 100_000, "<div>" * 30_000 + "</p></span></td>" * 30_000, "< " * 100_000, "<ul><li>x" * 20_000,
+])
+def test_bad_pages_take_time_in_proportion(page):
+    began = time.perf_counter()
+    html_extract.main_text(page)
+    assert time.perf_counter() - began < 3  # under one when nothing else runs
+
+
+def test_cut_can_turn_what_class_words_say():
+    """A paragraph of an article whose name says footer stays with its neighbours; an advert does not."""
+    page = f'<article><p>{LONG}</p><p class="footer-of-story">{LONG} And on.</p><p>{LONG}</p><p class="ads">{LONG} Buy.</p></article>'
+    assert html_extract.main_text(page).split("\n\n") == [LONG, f"{LONG} And on.", LONG]
+
+
+def test_class_words():
+    said = html_extract.class_words
+    assert said("content with-sidebar") > 0 and said("post no-comments") > 0 and said("comment-body") == said("adSlot") == -1 and said("sidebar") == -1
+    assert -1 < said("main-footer") < said("footer-text") < 0 == said("") == said("x1 grid")
+
+
+def test_fit_learns_from_pages_with_articles(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    model = html_extract.fit(pages)
+    assert model.weights[1] < 0 and not np.allclose(model.weights, html_extract.LEAN)
+    assert html_extract.fit(pages.limit(0)) is html_extract.NO_MODEL
+
+
 def test_cut_equals_trying_all_labellings():
     rand = random.Random(3)
     for _ in range(300):
@@ -118,6 +174,8 @@ def test_archives_are_read_by_ranges_and_members_again_alone(spark, docs, monkey
 
     with files.open_input_file(f"{base}/{part.name}.index") as source:
         index = pa.ipc.open_file(source).read_all().to_pylist()
+    whole = media.MediaReader.members(Flaky(files), f"{base}/{part.name}.tar", *([m[c] for m in index[:9]] for c in ("offset", "size", "crc")))
+    assert [zlib.crc32(m) for m in whole] == [m["crc"] for m in index[:9]]
     flaky = Flaky(files)
     monkeypatch.setattr(media.time, "sleep", lambda _: None)
     for m in index[:5]:
@@ -128,6 +186,33 @@ def test_archives_are_read_by_ranges_and_members_again_alone(spark, docs, monkey
         media.MediaReader.member(files, f"{base}/{part.name}.tar", index[0]["offset"], index[0]["size"], index[0]["crc"] ^ 1)
 
 
+def test_a_range_is_one_request_and_one_part_of_the_index(spark, docs, monkeypatch):
+    monkeypatch.setattr(media, "RANGE_BYTES", 40_000)
+    folder = new_path(spark, "media")
+    files, base = media._opened(folder)
+    archive = media._Archive(folder if files.create_dir(base) is None else folder)
+    for k in range(300):
+        archive.add(k, bytes([k % 251]) * 700)
+    import pyarrow as pa
+
+    parts = archive.close(pa.int64())
+    assert len(parts) > 5 and parts[0][2] == 0 and all(a[3] == b[2] for a, b in zip(parts, parts[1:]))
+    reader, seen, opens = media.MediaReader(folder, 1 << 20), [], Counter()
+    monkeypatch.setattr(media, "_opened", lambda _: (Counting(files, opens), base))
+    for name, k, low, high in parts:
+        seen += [i for b in reader.read(media.ByteRange(name, k, low, high)) for i in b.column(0).to_pylist()]
+    assert seen == list(range(300)) and opens[f"{base}/{parts[0][0]}.tar"] == len(parts)
+
+
+class Counting:
+    def __init__(self, files, opens):
+        self.files, self.opens = files, opens
+
+    def open_input_file(self, path):
+        self.opens[path] += 1
+        return self.files.open_input_file(path)
+
+
 def test_damaged_image_is_an_error():
     good = media.to_png(media.padded(b"text"))
     assert media.from_png(good) == media.padded(b"text")
@@ -190,6 +275,22 @@ def test_packing_of_odd_rows(odd_docs, no_docs, spark):
     assert len({(r.shard, r.bin) for r in rows if r.doc_id == 1}) == 700
 
 
+def test_shards_depend_on_rows_alone(spark):
+    """More copies of one row move no other row, and neither does a new partitioning."""
+    other = [(1000 + i, f"t {i}", "b") for i in range(390)]
+    make = lambda n: spark.createDataFrame([(1, "same words", "a")] * n + other, "doc_id long, text string, source string")
+    shards = lambda df: {r.doc_id: r.shard for r in packing.pack(df, capacity=50, shard_items=1 << 20).collect()}
+    assert shards(make(250)) == shards(make(300).repartition(7))
+    rows = [sorted(map(tuple, packing.pack(df, capacity=50, shard_items=100).collect())) for df in (make(300), make(300).repartition(7))]
+    assert rows[0] == rows[1]
+
+
+def test_copies_are_made_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 7)
+    df = spark.createDataFrame([(1, "same words", "a")] * 50 + [(2, "two", "b")], "doc_id long, text string, source string")
+    assert Counter(r.doc_id for r in packing.pack(df, capacity=50).collect()) == {1: 50, 2: 1}
+
+
 def test_full_pieces_of_repeated_rows_have_bins_of_their_own(spark):
     long_text = " ".join(f"w{i}" for i in range(250))
     large = 2**60 + 1
