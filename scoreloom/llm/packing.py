@@ -5,8 +5,8 @@ bin takes one text of a source and one of a cluster. Items go, longest first, to
 don't conflict with: the search starts at the first bin whose residual is large enough and goes on to the next
 successor until a compatible one is found. Only if there is none a bin is opened.
 
-Items are dealt over shards by a hash of their id, so that a hot source or cluster is spread evenly, and every shard
-is packed by one task. A shard is of bounded size, whatever the table's; bins don't span shards."""
+Items are dealt over shards by a hash of all that packing sees of them and of a copy's number among equal ones, so that
+a hot source, cluster or id is spread evenly, and every shard is packed by one task. A shard is of bounded size, whatever the table's; bins don't span shards."""
 
 from __future__ import annotations
 
@@ -21,8 +21,8 @@ from .common import SPACE, text_or_empty, written
 CAPACITY = 2048
 #: Items of a shard, about; its packing needs memory in proportion.
 SHARD_ITEMS = 2048
-#: An id with more rows than this is spread over shards by row instead of by id.
-HOT_ID = 256
+#: Equal rows that one task makes again from their number.
+COPIES = 1 << 16
 WORD = SPACE.replace("[", "[^", 1)
 
 
@@ -57,7 +57,7 @@ def _masks(sources: pd.Series, clusters: pd.Series) -> list[int]:
 
 def pack_shard(items: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """Packs the items (id, source, cluster, size, piece) of one shard; adds bin, counted from 0."""
-    items = items.sort_values(["size", "id", "piece", "cluster"], ascending=[False, True, True, True], kind="stable")
+    items = items.sort_values(["size", "id", "piece", "cluster", "source"], ascending=[False, True, True, True, True], kind="stable")
     return items.assign(bin=best_fit(items["size"].tolist(), _masks(items["source"], items["cluster"]), capacity))
 
 
@@ -71,16 +71,18 @@ def pack(
     copies never share a bin. A text of more than capacity is cut into pieces: all but the last (piece = 0, 1, ...)
     fill a bin of their own (its bin number is negative), the last is packed like other items; nothing is dropped.
     Null or empty texts are items of size 0. Null sources count as one source, null clusters as one cluster, null
-    sizes as 0. bin is unique together with shard. Repeated ids are items of their own. An empty table packs into
-    nothing."""
+    sizes as 0. bin is unique together with shard. Repeated rows are items of their own. The result depends on the rows
+    alone, not on their order or partitions. An empty table packs into nothing."""
     size = F.regexp_count(text_or_empty(df, text_col), F.lit(WORD)) if size_col is None else F.coalesce(df[size_col], F.lit(0))
     cluster = F.xxhash64(text_or_empty(df, text_col)) if cluster_col is None else F.xxhash64(df[cluster_col].cast("string"))
     items = df.select(df[id_col].alias("id"), df[source_col].cast("string").alias("source"), cluster.alias("cluster"), size.cast("long").alias("words"))
-    items = written(items, "items")
-    shards = max(1, -(-items.count() // shard_items))
-    key = [F.col("id").cast("string")]
-    if not items.groupBy("id").count().filter(F.col("count") > HOT_ID).isEmpty():
-        key.append(F.monotonically_increasing_id())  # of a written table: the same whenever a task runs again
+    # Equal rows are counted and told apart by number: how rows lie in files plays no part, and no task sees all of them.
+    alike = written(items.groupBy("id", "source", "cluster", "words").agg(F.count("*").alias("n")), "items")
+    shards = max(1, -(-(alike.agg(F.sum("n")).first()[0] or 0) // shard_items))
+    blocks = alike.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))).repartition("id", "cluster", "block")
+    last = F.least(F.col("n"), (F.col("block") + 1) * COPIES) - 1
+    items = blocks.withColumn("copy", F.explode(F.sequence(F.col("block") * COPIES, last)))
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("id", "source", "cluster", "words", "copy")]
     items = items.withColumn("shard", F.pmod(F.xxhash64(*key), F.lit(shards)).cast("int"))
     full = F.greatest(F.lit(0), F.floor((F.col("words") - 1) / capacity)).cast("int")
     items = items.withColumn("full", full)
