@@ -26,6 +26,8 @@ from .common import Memo, text_or_empty
 
 #: Pieces that each Python worker keeps with their encodings, in each of two generations.
 KEPT_PIECES = 500_000
+#: Pairs of tokens that each worker remembers to fit or not.
+KEPT_PAIRS = 500_000
 
 
 def default_ranks() -> str:
@@ -82,7 +84,7 @@ class PrefixEncoder:
         key = left << 32 | right
         known = self.adjacent.get(key)
         if known is None:
-            if len(self.adjacent) > 2_000_000:
+            if len(self.adjacent) >= KEPT_PAIRS:
                 self.adjacent.clear()
             known = self.adjacent[key] = self._fits(left, right)
         return known
@@ -133,13 +135,19 @@ class PrefixEncoder:
         return last
 
     def edited(self, piece: bytes, last: list[int], new: bytes) -> list[int]:
-        """The last tokens of new, given those of piece: kept as far as both begin alike."""
-        same = 0
-        for a, b in zip(piece, new):
-            if a != b:
-                break
-            same += 1
-        return self.last_tokens(new, last[:same])
+        """The last tokens of new, given those of piece: kept as far as both begin alike, worked out over the edit, and
+        taken from piece again where both end alike and as many in a row as the longest token has bytes agree."""
+        most = min(len(piece), len(new))
+        same = next((k for k in range(most) if piece[k] != new[k]), most)
+        tail = next((k for k in range(most - same) if piece[-1 - k] != new[-1 - k]), most - same)
+        moved, stop = len(new) - len(piece), len(new) - tail + self.longest
+        now = last[:same]
+        while stop < len(new):
+            now = self.last_tokens(new[:stop], now)
+            if now[stop - self.longest :] == last[stop - self.longest - moved : stop - moved]:
+                return now + last[stop - moved :]
+            stop += self.longest
+        return self.last_tokens(new, now)
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one piece. A piece that is a token itself is this token, as in the rank files' own library."""
@@ -164,7 +172,8 @@ def encoder(path: str) -> PrefixEncoder:
 def bpe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """(id_col, n_tokens, ids, decoded) for every row: ids as little-endian 32-bit numbers, decoded bytes of them.
 
-    A null or empty text has no tokens. Rows are encoded one by one, without a shuffle; repeated rows repeat."""
+    A null or empty text has no tokens; texts of any length are encoded whole. Rows are encoded one by one, without a
+    shuffle; repeated rows and null ids keep their rows; an empty table stays empty."""
     return _run(df, id_col, text_col, ranks, pattern, lambda ids, back: (ids, back), "ids binary, decoded binary", (pa.binary(), pa.binary()))
 
 
