@@ -117,20 +117,22 @@ def automaton(path: str) -> LongestMatch:
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(id_col, n_words, n_tokens) for every row of df: words are runs without white space, of the whole text.
+    """(id_col, n_words, n_tokens) for every row of df: words are runs without ASCII white space, of the whole text,
+    however long.
 
-    A null or empty text has 0 of both. Every row is counted by itself: no shuffle, repeated rows repeat. The
+    A null or empty text has 0 of both. Every row is counted by itself: no shuffle; repeated rows and null ids keep
+    their rows; an empty table stays empty. The
     vocabulary (path of a sentencepiece model) is read by each Python worker once; it must be on the executors."""
     path = vocabulary or default_vocabulary()
     source = df.select(df[id_col].alias("id"), text_or_empty(df, text_col).alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(path)
-        counts = Memo(lambda word: machine.count(MARK + word), KEPT_WORDS)
+        counts = Memo(lambda word: machine.count(MARK + word.decode("utf-8", "surrogatepass")), KEPT_WORDS)
         for b in batches:
             words = [0] * b.num_rows
             tokens = [0] * b.num_rows
-            for i, t in enumerate(b.column(1)):
+            for i, t in enumerate(b.column(1).cast(pa.binary())):
                 split = t.as_py().split()
                 words[i] = len(split)
                 tokens[i] = sum(map(counts.__getitem__, split))
