@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word of a text, as all operators here see it: a run without ASCII white space.
@@ -88,12 +89,40 @@ class Memo(dict):
         return value
 
 
-def hash_sample(df: DataFrame, id_col: str, most: int, salt: str) -> DataFrame:
-    """At most `most` rows of df, those of the smallest hash of their id: the same rows whatever the partitioning.
-
-    A filter on the hash leaves about twice as many first, so that no task gathers more than that at any size."""
-    n = df.count()
-    order = F.xxhash64(F.col(id_col).cast("string"), F.lit(salt))
-    if n > 4 * most:
-        df = df.filter(order < F.lit(int(2**64 * 2 * most / n) - 2**63))
-    return df.orderBy(order, id_col).limit(most)
+#: Name of the column that holds a row's hash while a sample is drawn.
+_ROW = "__scoreloom_row"
+
+
+def hash_sample(df: DataFrame, most: int, salt: str, by: str | None = None) -> DataFrame:
+    """At most `most` rows of df (of each value of `by`): rows that are equal in all columns count as one, and of the
+    distinct ones those of the smallest hash are taken. The same rows whatever the partitioning; never fewer than
+    there are, up to `most`, whichever columns repeat or are null.
+
+    An estimate of the distinct rows sets a bound on the hash that about twice as many pass, so that no task gathers
+    more at any size; where it lets too few pass it is widened. by: a column of few values (a row each comes to the
+    driver); rows where it is null are left out."""
+    columns = df.columns
+    if by:
+        df = df.filter(F.col(by).isNotNull())
+    rows = df.withColumn(_ROW, F.xxhash64(F.lit(salt), *[F.col(f"`{c}`") for c in columns]))
+    group = [by] if by else []
+    n = {tuple(r[:-1]): r[-1] for r in rows.groupBy(*group).agg(F.approx_count_distinct(_ROW)).collect()}
+    share = {g: 2 * most / max(1, k) for g, k in n.items()}
+    while True:
+        within = F.lit(False)
+        for g, part in share.items():
+            mine = F.col(by) == F.lit(g[0]) if by else F.lit(True)
+            within = within | (mine & (F.lit(True) if part >= 1 else F.col(_ROW) < F.lit(int(part * 2**64) - 2**63)))
+        few = rows.filter(within).dropDuplicates([*group, _ROW])
+        short = [g for g, part in share.items() if part < 1]
+        if short:
+            have = {tuple(r[:-1]): r[-1] for r in few.groupBy(*group).count().collect()}
+            short = [g for g in short if have.get(g, 0) < most]
+        if not short:
+            break
+        for g in short:
+            share[g] *= 4
+    if not by:
+        return few.orderBy(_ROW).limit(most).select(columns)
+    place = F.row_number().over(W.partitionBy(by).orderBy(_ROW))
+    return few.withColumn(_ROW, place).filter(F.col(_ROW) <= most).select(columns)

@@ -13,13 +13,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, text_or_empty
+from .common import hash_sample, text_or_empty, written
+from .simhash import fingerprint, near_groups
 
 UNKNOWN = "und"
 #: Hash buckets of the n-grams of 1, 2 and 3 characters.
 BUCKETS = 1 << 14
-#: Most rows that the model is fitted on, in the order of a hash of their id; a tenth of them sets the temperature.
-MAX_FIT = 4_000
+#: Most texts of each language that the model is fitted on, those of the smallest hash; a tenth of all sets the
+#: temperature, chosen so that no near copy of theirs (fingerprints within NEAR_BITS bits) is trained on.
+MAX_FIT = 1_000
+NEAR_BITS = 6
 #: Characters of a text looked at in one step; whatever the length, all are.
 BLOCK = 1 << 16
 EPOCHS = 3
@@ -76,7 +79,11 @@ class LanguageModel:
 def _vector(c: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets that occur, and their TF-IDF values of length 1 (dampened counts)."""
     at = np.flatnonzero(c)
-    x = (1 + np.log(c[at])) * idf[at]
+    return _weighed(at, c[at], idf)
+
+
+def _weighed(at: np.ndarray, c: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = (1 + np.log(c)) * idf[at]
     return at, x / (np.sqrt(x @ x) or 1.0)
 
 
@@ -105,37 +112,62 @@ def _ftrl(rows: list, labels: np.ndarray, n_langs: int, buckets: int, order: np.
     return weights(z, n)
 
 
+def document_frequencies(df: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
+    """In how many texts of df (column text) each bucket occurs, over all rows, and the number of rows."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(buckets, np.int64), 0
+        for b in batches:
+            for t in b.column(0):
+                total += counts(t.as_py(), buckets) > 0
+            n += b.num_rows
+        at = np.append(np.flatnonzero(total), buckets)  # one more for the number of rows
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.append(total, n)[at])], names=["at", "n"])
+
+    rows = df.select("text").mapInArrow(found, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(buckets + 1, np.int64)
+    out[rows["at"]] = rows["n"]
+    return out[:buckets], int(out[buckets])
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_fit: int = MAX_FIT, buckets: int = BUCKETS) -> LanguageModel | None:
-    """A model of docs' languages, from at most max_fit rows with a language and a letter; None without any."""
-    known = hash_sample(docs.filter(docs[lang_col].isNotNull()), id_col, max_fit, "language")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    sample = known.filter(_has_letter(text)).select(text.alias("text"), F.col(lang_col).alias("lang"))
+    """A model of docs' languages, from at most max_fit texts of each language that have a letter; None without any.
+
+    Document frequencies are those of all of docs' rows with a language and a letter."""
+    text = text_or_empty(docs, text_col)
+    known = docs.select(text.alias("text"), docs[lang_col].cast("string").alias("lang")).filter(F.col("lang").isNotNull() & _has_letter(F.col("text")))
+    sample = written(hash_sample(known, max_fit, "language", by="lang").withColumn("h", F.xxhash64("text")).repartition(16), "language-sample")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, n = zip(*((f := np.flatnonzero(c := counts(t.as_py(), buckets)), c[f]) for t in b.column(0))) if b.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int64()))], names=["lang", "at", "n"])
+            prints = np.fromiter((fingerprint(t.as_py()) for t in b.column(0)), np.uint64, b.num_rows)
+            columns = [b.column(1), b.column(2), pa.array(prints.view(np.int64)), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "h", "print", "at", "n"])
 
-    sample = sample.mapInArrow(counted, "lang string, at array<int>, n array<long>").toPandas()
+    sample = sample.mapInArrow(counted, "lang string, h long, print long, at array<int>, n array<long>").toPandas()
     if not len(sample):
         return None
-    sample = sample.iloc[np.random.default_rng(7).permutation(len(sample))]
-    langs = tuple(sorted(sample["lang"].unique()))
-    y = sample["lang"].map(langs.index).to_numpy()
-    found = np.zeros(buckets)
-    for at in sample["at"]:
-        found[at] += 1
-    idf = np.log((1 + len(sample)) / (1 + found)) + 1
-    rows = []
-    for at, n in zip(sample["at"], sample["n"]):
-        at, n = np.asarray(at, np.int64), np.asarray(n)
-        x = (1 + np.log(n)) * idf[at]
-        rows.append((at, x / (np.sqrt(x @ x) or 1.0)))
-    held = len(rows) // 10
-    train = np.arange(held, len(rows))
-    weights = _ftrl(rows, y, len(langs), buckets, np.concatenate([np.random.default_rng(k).permutation(train) for k in range(EPOCHS)]))
-    scores = np.array([x @ weights[at] + weights[-1] for at, x in rows[:held]]).reshape(held, len(langs))
-    return LanguageModel(langs, idf, weights, _temperature(scores, y[:held]))
+    sample = sample.sort_values(["h", "lang"], kind="stable", ignore_index=True)
+    found, n = document_frequencies(known, buckets)
+    idf = np.log((1 + n) / (1 + found)) + 1
+    rows = [_weighed(np.asarray(at, np.int64), np.asarray(c), idf) for at, c in zip(sample["at"], sample["n"])]
+    return model_of(rows, sample["lang"].tolist(), sample["print"].to_numpy().view(np.uint64), idf)
+
+
+def model_of(rows: list, langs: list[str], prints: np.ndarray, idf: np.ndarray) -> LanguageModel:
+    """The model from rows (buckets, values) and their languages."""
+    names = tuple(sorted(set(langs)))
+    y = np.array([names.index(x) for x in langs])
+    order = np.random.default_rng(7).permutation(len(rows))
+    group = near_groups(prints, NEAR_BITS)
+    out = np.isin(group, group[order[: len(rows) // 10]])
+    train, held = order[~out[order]], np.flatnonzero(out)
+    if not len(train):  # all are near copies of one another
+        train, held = order, held[:0]
+    weights = _ftrl(rows, y, len(names), len(idf), np.concatenate([np.random.default_rng(k).permutation(train) for k in range(EPOCHS)]))
+    scores = np.array([rows[i][1] @ weights[rows[i][0]] + weights[-1] for i in held]).reshape(len(held), len(names))
+    return LanguageModel(names, idf, weights, _temperature(scores, y[held]))
 
 
 def _temperature(scores: np.ndarray, y: np.ndarray) -> float:
@@ -160,8 +192,8 @@ def _temperature(scores: np.ndarray, y: np.ndarray) -> float:
 def predicted(df: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score) for every row of df, from its whole text.
 
-    und with score 0 where the text is null or has no letter, or the model has no language. No shuffle; repeated
-    rows repeat; an empty table stays empty."""
+    und with score 0 where the text is null or has no letter, or the model has no language. Texts of any length are
+    read whole. No shuffle; repeated rows and null ids keep their rows; an empty table stays empty."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets times languages
     text = text_or_empty(df, text_col)
     source = df.select(df[id_col].alias("id"), text.alias("text"), _has_letter(text).alias("letter"))

@@ -2,7 +2,7 @@
 
 Categories are predicted one after the other. The linear model of a category sees a text's words and the
 probabilities of all earlier categories. In training those are out-of-fold predictions, so that a later model meets
-the same kind of error in training as in use."""
+the same kind of error in training as in use. Copies and near copies of a text are always in one fold."""
 
 from __future__ import annotations
 
@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, hash_sample, text_or_empty, written
+from .simhash import fingerprint, near_groups
 
-#: Most labelled rows that the chain is fitted on, in the order of a hash of their id.
-MAX_FIT = 6_000
+#: Most labelled rows of each combination of categories that the chain is fitted on; they count for all of theirs.
+MAX_FIT = 2_000
 FOLDS = 4
+#: Texts whose fingerprints differ in no more bits than this are near copies, as far as folds go.
+NEAR_BITS = 6
 #: Words and beginnings of words in fewer fitted texts than this are no features, nor are those beyond MAX_WORDS.
 MIN_TEXTS, MAX_WORDS = 4, 60_000
 PREFIXES = (5, 7)
@@ -29,12 +32,9 @@ ROUNDS, STEP, PENALTY = 150, 0.4, 1e-4
 KEPT_WORDS = 400_000
 EDGES = ".,;:!?\"'()[]{}*&%#$|<>…«»“”-"
 
-#: The chain's categories from the columns of labels, in order: name, SQL over quality and toxic.
-CATEGORIES = (
-    ("low_quality", "quality = 0"),
-    ("toxic", "toxic = 1"),
-    ("toxic_junk", "toxic = 1 AND quality = 0"),
-)
+#: The chain's categories from the columns of labels, in order: name, SQL. The tables at hand tell of quality and
+#: toxicity only; with labels of kinds of toxicity (insult, threat, ...) these are the categories to name here.
+CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 
 
 def features_of(word: str) -> tuple[str, ...]:
@@ -86,8 +86,10 @@ def _telling(rows: list[np.ndarray], y: np.ndarray, n_words: int) -> np.ndarray:
     return (g >= TELLING) & (with_f >= MIN_TEXTS)
 
 
-def _train(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n_words: int) -> np.ndarray:
-    """Logistic regression with a ridge penalty by full-gradient steps of adaptive length (one a weight)."""
+def _train(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n_words: int, counts: np.ndarray) -> np.ndarray:
+    """Logistic regression with a ridge penalty by full-gradient steps of adaptive length (one a weight).
+
+    counts: how many rows each row stands for."""
     width = n_words + extra.shape[1] + 1
     w, seen = np.zeros(width), np.full(width, 1e-8)
     if not len(y) or y.min() == y.max():
@@ -98,10 +100,12 @@ def _train(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n_words: in
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
     at = np.concatenate(rows) if lengths.sum() else np.empty(0, np.int64)
     of = np.repeat(np.arange(len(rows)), lengths)
-    w[-1] = np.log(y.mean() / (1 - y.mean()))
+    part = counts / counts.sum()
+    mean = part @ y
+    w[-1] = np.log(mean / (1 - mean))
     for _ in range(ROUNDS):
         z = np.bincount(of, weights=w[at], minlength=len(rows)) + extra @ w[n_words:-1] + w[-1]
-        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
+        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * part
         g = np.concatenate((np.bincount(at, weights=error[of], minlength=n_words), error @ extra, [error.sum()]))
         g[:-1] += PENALTY * w[:-1]
         seen += g * g
@@ -114,16 +118,52 @@ def _probability(w: np.ndarray, rows: list[np.ndarray], extra: np.ndarray, n_wor
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def folds_of(hashes: np.ndarray, fingerprints: np.ndarray, folds: int) -> np.ndarray:
+    """The fold of each text: near copies form groups, and groups are dealt in the order of their smallest hash."""
+    group = near_groups(fingerprints, NEAR_BITS)
+    first: dict[int, int] = {}
+    for g, h in zip(group.tolist(), hashes.tolist()):
+        first[g] = min(h, first.get(g, h))
+    place = {g: k for k, g in enumerate(sorted(first, key=first.get))}
+    return np.array([place[g] % folds for g in group.tolist()], np.int64)
+
+
+def chain_of(names: tuple[str, ...], words: list[str], rows: list[np.ndarray], ys: np.ndarray, fold: np.ndarray, counts: np.ndarray) -> Chain:
+    """The chain from rows of numbers of words; ys: a column a category."""
+    n_words, last = len(words), ys.shape[1] - 1
+    extra, weights, thresholds = np.zeros((len(rows), 0)), [], []
+    for k in range(ys.shape[1]):
+        y = ys[:, k]
+        held = np.zeros(len(rows))
+        for f in np.unique(fold):
+            fit_on, out = fold != f, fold == f
+            w = _train([r for r, m in zip(rows, fit_on) if m], extra[fit_on], y[fit_on], n_words, counts[fit_on])
+            held[out] = _probability(w, [r for r, m in zip(rows, out) if m], extra[out], n_words)
+        w = _train(rows, extra, y, n_words, counts)
+        weights.append(np.concatenate((w[:n_words], w[n_words:-1], np.zeros(ys.shape[1] - k), w[-1:])))
+        thresholds.append(_threshold(held, y, counts))
+        if k < last:
+            extra = np.column_stack((extra, held - 0.5))
+    table = np.array(weights)
+    used = np.flatnonzero(table[:, :n_words].any(axis=0))  # what no model uses isn't sent to the executors
+    table = np.concatenate((table[:, used], table[:, n_words:]), axis=1)
+    return Chain(names, {words[k]: i for i, k in enumerate(used)}, table, tuple(thresholds))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories=CATEGORIES, max_fit: int = MAX_FIT, folds: int = FOLDS) -> Chain:
-    """The chain, fitted on at most max_fit labelled rows. Only these rows' ids are broadcast."""
+    """The chain, fitted on labelled rows, at most max_fit of each combination of categories; a row stands for as many
+    as its combination has. Where labels of one id differ, a category holds if any says so. Only the rows' ids are
+    broadcast. Texts that are equal, with equal labels, count once."""
     names = tuple(name for name, _ in categories)
-    told = labels.select(F.col(id_col).alias("own"), *[F.coalesce(F.expr(sql), F.lit(False)).cast("int").alias(f"y{k}") for k, (_, sql) in enumerate(categories)])
-    told = hash_sample(told.filter("own is not null"), "own", max_fit, "toxicity").dropDuplicates(["own"])
-    text = docs.select(F.col(id_col).alias("own"), text_or_empty(docs, text_col).alias("text"))
-
     ys = [f"y{k}" for k in range(len(names))]
-    # max_fit rows of numbers: the size of what is broadcast is bounded. A repeated id keeps its rows, up to the bound.
-    chosen = text.join(F.broadcast(told), "own").orderBy(F.xxhash64(F.col("own").cast("string")), "own").limit(max_fit).select("text", F.xxhash64("text").alias("h"), *ys)
+    told = labels.select(F.col(id_col).alias("own"), *[F.coalesce(F.expr(sql), F.lit(False)).cast("int").alias(y) for y, (_, sql) in zip(ys, categories)])
+    told = told.filter("own is not null").groupBy("own").agg(*[F.max(y).alias(y) for y in ys]).withColumn("kind", F.concat_ws("", *ys))
+    known = {r["kind"]: r["count"] for r in told.groupBy("kind").count().collect()}  # a row a combination
+    told = hash_sample(told, max_fit, "toxicity", by="kind")
+    text = docs.select(F.col(id_col).alias("own"), text_or_empty(docs, text_col).alias("text"))
+    # A repeated id may have many texts: drawn once more, so that the bound holds for texts too.
+    marked = text.join(F.broadcast(told), "own").select("text", *ys, "kind")
+    chosen = hash_sample(marked, max_fit, "toxicity", by="kind").select("text", F.xxhash64("text").alias("h"), *ys, "kind")
     chosen = written(chosen.repartition(16), "toxicity-sample")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,41 +178,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = [sorted({shared.value[f] for f in features(t.as_py()) if f in shared.value}) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), *b.columns[1:]], names=["at", *b.schema.names[1:]])
+            prints = np.fromiter((fingerprint(t.as_py()) for t in b.column(0)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), pa.array(prints.view(np.int64)), *b.columns[1:]], names=["at", "print", *b.schema.names[1:]])
 
-    # Numbers of features come to the driver, at most max_fit lists of them; their words stay where they are.
-    sample = chosen.mapInArrow(counted, "at array<int>, h long, " + ", ".join(f"{y} int" for y in ys)).toPandas()
-    sample = sample.sort_values(["h", *ys], kind="stable").iloc[np.random.default_rng(11).permutation(len(sample))]
+    # Numbers of features come to the driver, at most max_fit lists of each combination; their words stay where they are.
+    sample = chosen.mapInArrow(counted, "at array<int>, print long, h long, " + ", ".join(f"{y} int" for y in ys) + ", kind string").toPandas()
+    sample = sample.sort_values(["h", *ys], kind="stable", ignore_index=True)
     rows = [np.asarray(at, np.int64) for at in sample["at"]]
-    fold = np.arange(len(rows)) % folds
-    extra, weights, thresholds = np.zeros((len(rows), 0)), [], []
-    for k, y_name in enumerate(ys):
-        y = sample[y_name].to_numpy(float)
-        last = k + 1 == len(ys)
-        held = np.zeros(len(rows))
-        for f in range(folds):
-            fit_on, out = fold != f, fold == f
-            if out.any():
-                w = _train([r for r, m in zip(rows, fit_on) if m], extra[fit_on], y[fit_on], len(often))
-                held[out] = _probability(w, [r for r, m in zip(rows, out) if m], extra[out], len(often))
-        w = _train(rows, extra, y, len(often))
-        weights.append(np.concatenate((w[: len(often)], w[len(often) : -1], np.zeros(len(ys) - k), w[-1:])))
-        thresholds.append(_threshold(held, y))
-        if not last:
-            extra = np.column_stack((extra, held - 0.5))
-    table = np.array(weights)
-    used = np.flatnonzero(table[:, : len(often)].any(axis=0))  # what no model uses isn't sent to the executors
-    table = np.concatenate((table[:, used], table[:, len(often) :]), axis=1)
-    return Chain(names, {often[k]: i for i, k in enumerate(used)}, table, tuple(thresholds))
+    fold = folds_of(sample["h"].to_numpy(), sample["print"].to_numpy().view(np.uint64), folds) if len(rows) else np.empty(0, np.int64)
+    drawn = sample["kind"].value_counts()
+    counts = np.array([known[k] / drawn[k] for k in sample["kind"]], float)
+    return chain_of(names, often, rows, sample[ys].to_numpy(float).reshape(len(rows), len(ys)), fold, counts)
 
 
-def _threshold(p: np.ndarray, y: np.ndarray) -> float:
+def _threshold(p: np.ndarray, y: np.ndarray, counts: np.ndarray) -> float:
     """The probability from which out-of-fold predictions have the best F1; 0.5 if nothing is to be found."""
     if not len(y) or y.min() == y.max():
         return 0.5
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    part = counts[order]
+    hits = np.cumsum(y[order] * part)
+    f1 = 2 * hits / (np.cumsum(part) + hits[-1])
     k = int(f1.argmax())
     return float((p[order[k]] + p[order[min(k + 1, len(y) - 1)]]) / 2)
 
@@ -180,8 +206,8 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 def predicted(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, p_<category>, is_<category>, ...) for every row of df, from its whole text.
 
-    A null or empty text has the probabilities of a text without known words. No shuffle; repeated rows repeat; an
-    empty table stays empty."""
+    A null or empty text has the probabilities of a text without known words; texts of any length are read whole. No
+    shuffle; repeated rows and null ids keep their rows; an empty table stays empty."""
     shared = df.sparkSession.sparkContext.broadcast(chain)  # at most MAX_WORDS words
     source = df.select(df[id_col].alias("id"), text_or_empty(df, text_col).alias("text"))
     names = [f"p_{n}" for n in chain.names]
