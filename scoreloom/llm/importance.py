@@ -22,9 +22,11 @@ from .common import Memo, hash_sample, text_or_empty, written
 BUCKETS = 1 << 15
 #: Most labelled-good documents that the target model is fitted on, taken in the order of a hash of their id.
 MAX_TARGET = 20_000
-#: The sample's size, unless a share is given: as many rows as have a key of the labelled-good documents' FLOOR
-#: quantile less MARGIN, or more. So hardly a document like the good ones falls outside the sample.
-FLOOR, MARGIN = 0.001, 15.0
+#: Log weight of a document by its mean log ratio.
+SHARPNESS = 20.0
+#: The sample's share of the rows, unless one is given: the share of good labels among the labels, at the upper end of
+#: its confidence interval of so many standard errors (Wilson).
+ERRORS = 2.33
 #: Words that each Python worker keeps with their hash and shape, in each of two generations.
 KEPT_WORDS = 400_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -68,14 +70,16 @@ def features(text: str, buckets: int = BUCKETS) -> np.ndarray:
 
 @dataclass(frozen=True)
 class ImportanceModel:
-    """Log ratio of the target's and the raw text's probability, by bucket; good: ids of the target sample."""
+    """Log ratio of the target's and the raw text's probability, by bucket; share: of the rows that a sample takes."""
 
     ratios: np.ndarray
     buckets: int
-    good: list
+    share: float
 
     def score(self, text: str) -> float:
-        return float(self.ratios[features(text, self.buckets)].sum())
+        """The log weight of a whole text; 0 without words."""
+        f = features(text, self.buckets)
+        return SHARPNESS * float(self.ratios[f].mean()) if len(f) else 0.0
 
 
 def _bucket_counts(df: DataFrame, buckets: int) -> DataFrame:
@@ -95,10 +99,12 @@ def _bucket_counts(df: DataFrame, buckets: int) -> DataFrame:
     return df.select("text", "target").mapInArrow(counted, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
 
 
-def _ids(own: DataFrame, good: list) -> DataFrame:
-    """The bounded sample's ids as a table (own, good)."""
-    kind = own.schema["own"].dataType.simpleString()
-    return own.sparkSession.createDataFrame([(i, True) for i in good], f"own {kind}, good boolean")
+def _share(good: int, n: int) -> float:
+    """The upper bound of the share of good labels; 1 without a good one, where nothing can be learnt."""
+    if not good:
+        return 1.0
+    p, z = good / n, ERRORS * ERRORS / n
+    return min(1.0, (p + z / 2 + (z * p * (1 - p) + z * z / 4) ** 0.5) / (1 + z))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS) -> ImportanceModel:
@@ -106,10 +112,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Only the ids of that bounded sample are broadcast; the counts come back as at most 6 * buckets rows. Without
     labelled-good documents all ratios are 0."""
-    known = labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(id_col).distinct()
-    good = [r[0] for r in hash_sample(known, id_col, MAX_TARGET, "importance").collect()]
+    told = labels.agg(F.count_if(F.col(label_col) == 1).alias("good"), F.count(label_col).alias("n")).first()
+    known = labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("own"))
+    good = hash_sample(known, MAX_TARGET, "importance").withColumn("good", F.lit(True))
     own = docs.select(docs[id_col].alias("own"), text_or_empty(docs, text_col).alias("text"))
-    marked = own.join(F.broadcast(_ids(own, good)), "own", "left").withColumn("target", F.col("good").isNotNull())
+    marked = own.join(F.broadcast(good), "own", "left").withColumn("target", F.col("good").isNotNull())
     counts = _bucket_counts(marked, buckets).toPandas()
     table = np.zeros((2, 3 * buckets))
     table[counts["kind"], counts["bucket"]] = counts["n"]
@@ -123,23 +130,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             lean = buckets / 8
             q = (target + lean * p) / (target.sum() + lean)
             ratios[part] = np.log(q) - np.log(p)
-    return ImportanceModel(ratios, buckets, good)
+    return ImportanceModel(ratios, buckets, _share(told["good"], told["n"]))
 
 
-def with_key(docs: DataFrame, model: ImportanceModel, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
-    """docs with __score and __key: the log ratio of each whole text, and the same with Gumbel noise.
+def keyed(docs: DataFrame, model: ImportanceModel, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
+    """(row, score, key): a row of docs as a struct, the log weight of its whole text, and the same with Gumbel noise.
 
-    The noise comes from a hash of id and seed: a task that runs again draws the same."""
+    The noise comes from a hash of id, text and seed: a task that runs again draws the same."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return texts.map(shared.value.score).astype(float)
 
+    text = text_or_empty(docs, text_col)
     # 52 bits of the hash give a number strictly between 0 and 1.
-    bits = F.shiftrightunsigned(F.xxhash64(docs[id_col].cast("string"), F.lit(seed)), 12)
+    bits = F.shiftrightunsigned(F.xxhash64(docs[id_col].cast("string"), text, F.lit(seed)), 12)
     noise = -F.log(-F.log((bits + F.lit(0.5)) / F.lit(float(1 << 52))))
-    return docs.withColumn("__score", score(text_or_empty(docs, text_col))).withColumn("__key", F.col("__score") + noise)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), score(text).alias("score"), noise.alias("noise"))
+    return rows.select("row", "score", (F.col("score") + F.col("noise")).alias("key"))
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
@@ -166,35 +175,26 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
     return lo
 
 
-def _border(rows: DataFrame, model: ImportanceModel, share: float | None) -> float:
-    """The key of the last row sampled, of rows (own, key)."""
-    if share is None:
-        keys = [r[0] for r in rows.join(F.broadcast(_ids(rows, model.good)), "own").select("key").collect()]
-        floor = float(np.quantile(keys, FLOOR, method="lower")) - MARGIN if keys else float("-inf")
-        k = rows.filter(F.col("key") >= F.lit(floor)).count()
-    else:
-        k = int(np.ceil(share * rows.count()))
-    found = kth_largest(rows, "key", k)
+def _border(rows: DataFrame, share: float) -> float:
+    """The key of the last row sampled, of rows with a key."""
+    found = kth_largest(rows, "key", int(np.ceil(share * rows.count())))
     return float("inf") if found is None else found
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None) -> DataFrame:
-    """(id_col, score, key, kept) for every row of docs; kept: the k rows of largest key.
+    """(id_col, score, key, kept) for every row of docs; kept: the k rows of largest key, k = ceil(share * rows).
 
-    k is ceil(share * rows), or as FLOOR and MARGIN say. Rows whose keys tie at the border are all kept. A null or
-    empty text has no n-grams: score 0. A repeated id repeats its noise; a null id has noise too. Without labels
-    every row is kept; of an empty table there is none."""
+    share: by default that of good labels, as ERRORS says. Rows whose keys tie at the border (repeated rows) are all
+    kept. A null or empty text has no n-grams: score 0. Without good labels every row is kept; of an empty table
+    there is none. Texts of any length are read whole."""
     model = fit(docs, labels, id_col, text_col)
-    keys = with_key(docs, model, id_col, text_col).select(F.col(id_col).alias("own"), F.col("__score").alias("score"), F.col("__key").alias("key"))
-    rows = written(keys, "importance")
-    return rows.withColumn("kept", F.col("key") >= F.lit(_border(rows, model, share))).withColumnRenamed("own", id_col)
+    rows = written(keyed(docs, model, id_col, text_col).select(F.col(f"row.`{id_col}`").alias(id_col), "score", "key"), "importance")
+    return rows.withColumn("kept", F.col("key") >= F.lit(_border(rows, model.share if share is None else share)))
 
 
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None) -> DataFrame:
-    """The rows of docs that resample keeps, with docs' columns.
-
-    Texts are scored again where they lie rather than shuffled to their keys: the keys are the same."""
+    """The rows of docs that resample keeps, with docs' columns. Each text is scored once: rows are written with keys."""
     model = fit(docs, labels, id_col, text_col)
-    keyed = with_key(docs, model, id_col, text_col)
-    rows = written(keyed.select(F.col(id_col).alias("own"), F.col("__key").alias("key")), "importance-keys")
-    return keyed.filter(F.col("__key") >= F.lit(_border(rows, model, share))).select(docs.columns)
+    rows = written(keyed(docs, model, id_col, text_col).select("row", "key"), "importance-rows")
+    border = _border(rows.select("key"), model.share if share is None else share)
+    return rows.filter(F.col("key") >= F.lit(border)).select("row.*")
