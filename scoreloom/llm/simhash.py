@@ -20,6 +20,8 @@ RADIUS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: A bucket of more distinct fingerprints than this is indexed again by its other bits.
 BUCKET = 4096
+#: Fingerprints that one step of a bucket's comparison looks at.
+STEP = 1 << 15
 
 
 def fingerprint(text: str | None) -> int:
@@ -41,16 +43,18 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp is the fingerprint's 64 bits as a signed long. One row per input row, nulls included."""
-    source = df.select(df[id_col].alias("id"), text_or_empty(df, text_col).alias("text"))
+    """(id, own, fp): fp is the fingerprint's 64 bits as a signed long, own a hash of the text. One row per input row,
+    nulls included."""
+    text = text_or_empty(df, text_col)
+    source = df.select(df[id_col].alias("id"), F.xxhash64(text).alias("own"), text.alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["id", "own", "fp"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(hashed, f"id {kind}, fp long")
+    return source.mapInArrow(hashed, f"id {kind}, own long, fp long")
 
 
 def _bits(fp: Column, first: int, n: int) -> Column:
@@ -67,15 +71,6 @@ def _variants(fp: Column, segments) -> Column:
     return F.array(*keys)
 
 
-def _rest() -> dict[int, tuple]:
-    """For each segment of the first level: the other bits, in three segments (four where they aren't one run)."""
-    return {
-        0: ((22, 14), (36, 14), (50, 14)),
-        1: ((0, 11), (11, 11), (43, 10), (53, 11)),
-        2: ((0, 14), (14, 14), (28, 15)),
-    }
-
-
 def links_within(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links that join the distinct fingerprints of one bucket as all their pairs within radius would: a forest."""
     left, right = [], []
@@ -83,19 +78,34 @@ def links_within(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.
     while len(rest):
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
-            now, front = front[:256], front[256:]
-            near = np.bitwise_count(rest[:, None] ^ now[None, :]) <= radius
-            hit = near.any(axis=1)
-            if hit.any():
-                left.append(now[near[hit].argmax(axis=1)])
-                right.append(rest[hit])
-                front = np.concatenate((front, rest[hit]))
-                rest = rest[~hit]
+            now, front = front[:64], front[64:]
+            stay = np.ones(len(rest), bool)
+            for at in range(0, len(rest), STEP):  # memory doesn't grow with the bucket
+                part = rest[at : at + STEP]
+                near = np.bitwise_count(part[:, None] ^ now[None, :]) <= radius
+                hit = near.any(axis=1)
+                if hit.any():
+                    left.append(now[near[hit].argmax(axis=1)])
+                    right.append(part[hit])
+                    stay[at : at + STEP] = ~hit
+            front = np.concatenate((front, rest[~stay]))
+            rest = rest[stay]
     if not left:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     return np.concatenate(left), np.concatenate(right)
 
 
+def near_groups(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Numbers of the components of a bounded array of fingerprints (a training sample), linked within radius bits."""
+    known, where = np.unique(fps, return_inverse=True)
+    left, right = links_within(known, radius)
+    label = np.arange(len(known))
+    # Links lead from what was found before to what was found then: a forest, so labels are passed down it in order.
+    for a, b in zip(np.searchsorted(known, left).tolist(), np.searchsorted(known, right).tolist()):
+        label[b] = label[a]
+    return label[where]
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key -> links (u, v). Small buckets compare by offsets over whole batches, others as forests."""
     kept_k, kept_f = np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -142,22 +152,68 @@ def _joined(index: DataFrame) -> DataFrame:
     return index.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(_verify, "u long, v long")
 
 
+def _open(place: Column) -> Column:
+    """The bits that a first-level key leaves open, by the place in it: all but its segment, and the blanked bit."""
+    masks = []
+    for first, n in SEGMENTS:
+        closed = ((1 << n) - 1) << first
+        masks += [~closed & (1 << 64) - 1 | 1 << first + j for j in range(n)]
+    return F.element_at(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks]), (place + 1).cast("int"))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (fp, key, open) -> (fp, key) for each of three segments of the open bits and each bit of it: a key that holds
+    the segment with this bit blanked as well."""
+    for b in batches:
+        for at in range(0, b.num_rows, 2048):
+            part = b.slice(at, 2048)
+            fp, key, free = (part.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(3))
+            for mask in np.unique(free):
+                mine = free == mask
+                f, start = fp[mine], _mix(key[mine] * np.uint64(0x9E3779B97F4A7C15))
+                bits = [i for i in range(64) if int(mask) >> i & 1]
+                fps, keys = [], []
+                for k in range(3):
+                    segment = bits[k * len(bits) // 3 : (k + 1) * len(bits) // 3]
+                    closed = sum(1 << i for i in segment)
+                    for i in segment:
+                        fps.append(f)
+                        keys.append(_mix(start ^ _mix((f & np.uint64(closed & ~(1 << i))) + np.uint64((i + 1) << 1))))
+                made = [pa.array(np.concatenate(x).view(np.int64)) for x in (fps, keys)]
+                yield pa.RecordBatch.from_arrays(made, names=["fp", "key"])
+
+
 def links(distinct_fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(u, v): links whose components are those of all pairs of fingerprints within RADIUS bits.
 
     Every such pair shares a one-wildcard variant of some segment. A bucket of over `bucket` fingerprints is not
-    compared in one task: its rows are indexed again by variants of the other 42 or 43 bits (again a pair within
-    RADIUS shares one), which deals them out over many keys. No pair is dropped at either level."""
+    compared as it is: its rows are indexed again by variants of the 43 or 44 bits that its key leaves open (again a
+    pair within RADIUS shares one), which deals them out over many keys. What is in one bucket then agrees in half
+    of all bits or more; it is compared in memory that doesn't grow with it, dense groups in few steps (links_within).
+    No pair is dropped at either level."""
     index = distinct_fps.select("fp", F.explode(_variants(F.col("fp"), SEGMENTS)).alias("key"))
     hot = written(index.groupBy("key").count().filter(F.col("count") > bucket).select("key"), "hot-keys")
     if hot.isEmpty():
         return _joined(index)
     cool = _joined(index.join(hot, "key", "left_anti"))
-    rest, offset = _rest(), F.shiftright(F.col("key"), 22)
-    inner = F.when(offset < SEGMENTS[1][0], _variants(F.col("fp"), rest[0]))
-    inner = inner.when(offset < SEGMENTS[2][0], _variants(F.col("fp"), rest[1])).otherwise(_variants(F.col("fp"), rest[2]))
-    again = index.join(hot, "key").select("fp", "key", F.explode(inner).alias("inner"))
-    return cool.unionByName(_joined(again.select("fp", F.xxhash64("key", "inner").alias("key"))))
+    inside = index.join(hot, "key").withColumn("open", _open(F.shiftright(F.col("key"), 22)))
+    return cool.unionByName(_joined(inside.select("fp", "key", "open").mapInArrow(_again, "fp long, key long")))
+
+
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """(id, own, fp) of every row of df, and (fp, label) of every fingerprint: equal labels are one component.
+
+    own is a hash of the text."""
+    docs = written(fingerprints(df, id_col, text_col), "fingerprints")
+    nodes = written(docs.select("fp").distinct(), "distinct-fingerprints")
+    linked = components(links(nodes, bucket))
+    named = nodes.join(linked.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    return docs, written(named, "labels")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
@@ -166,26 +222,39 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fingerprint: 16 hex digits, zero for a text that is null, empty or without words. component_id: the smallest
     id reachable by links of at most RADIUS bits, itself included; a null id counts as no id (component_id is null
     only where no row of the component has one). Repeated rows are kept. An empty table gives an empty table."""
-    docs = written(fingerprints(df, id_col, text_col), "fingerprints")
-    nodes = written(docs.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
-    linked = components(links(nodes.select("fp"), bucket))
-    named = nodes.join(linked.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    docs, named = groups(df, id_col, text_col, bucket)
+    smallest = docs.groupBy("fp").agg(F.min("id").alias("first")).join(named, "fp").groupBy("label").agg(F.min("first").alias("component_id"))
     # Written, so that both sides of the join below are dealt out by it and Spark can split a component of very many.
-    smallest = written(named.groupBy("label").agg(F.min("first").alias("component_id")), "components")
-    by_fp = written(named.select("fp", "label").join(smallest, "label").select("fp", "component_id"), "fingerprint-components")
+    smallest = written(smallest, "components")
+    by_fp = written(named.join(smallest, "label").select("fp", "component_id"), "fingerprint-components")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return docs.join(by_fp, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", near=near_duplicates) -> DataFrame:
-    """The rows of df whose id is their component's smallest, with df's columns; near finds the components.
-
-    Of rows that share an id one stays (any, where they differ). Rows with a null id can't stand for a component;
-    they stay, all of them, and drop no other row."""
-    ids = near(df.filter(df[id_col].isNotNull()), id_col, text_col)
-    own = written(ids.filter(F.col("component_id") == F.col(id_col)).groupBy(id_col).count(), "kept-ids")
-    # The ids grow with the table: a sort-merge join at every size, never a broadcast of them.
-    out = df.join(own.select(id_col).hint("merge"), id_col, "left_semi")
-    if not own.filter("count > 1").isEmpty():
-        out = out.dropDuplicates([id_col])
-    return out.select(df.columns).unionByName(df.filter(df[id_col].isNull()))
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", near=groups) -> DataFrame:
+    """One row of each component of df, with df's columns; near finds the components.
+
+    The row that stays is the one of the smallest id (null ids last), of equal ids the one whose text has the
+    smallest hash, of equal texts the one whose whole row has; of rows equal in every column one stays. So rows that
+    share an id but not a text are judged apart: each stays or goes with its own component."""
+    docs, named = near(df, id_col, text_col)
+    node = next(c for c in docs.columns if c not in ("id", "own"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "own")
+    first = docs.groupBy(node).agg(F.min(order).alias("first")).join(named.hint("merge"), node).groupBy("label").agg(F.min("first").alias("first"))
+    stay = written(first.select(F.col("first.id").alias("__stay_id"), F.col("first.own").alias("__stay_own")), "kept-rows")
+    # They grow with the table: a sort-merge join at every size, never a broadcast of them.
+    own = F.xxhash64(text_or_empty(df, text_col))
+    out = df.join(stay.hint("merge"), df[id_col].eqNullSafe(F.col("__stay_id")) & (own == F.col("__stay_own")), "left_semi")
+    again = docs.groupBy("id", "own").count().filter("count > 1")
+    again = written(again.join(stay, F.col("id").eqNullSafe(F.col("__stay_id")) & (F.col("own") == F.col("__stay_own")), "left_semi"), "repeated-rows")
+    if again.isEmpty():
+        return out
+    # Rows of repeated (id, text): one of each by the whole row's hash; all others go by untouched.
+    many = again.select(F.col("id").alias("__stay_id"), F.col("own").alias("__stay_own"))
+    same = df[id_col].eqNullSafe(F.col("__stay_id")) & (own == F.col("__stay_own"))
+    once = out.join(many.hint("merge"), same, "left_anti")
+    rest = out.join(many.hint("merge"), same, "left_semi").withColumns({"__stay_own": own, "__stay_row": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])})
+    least = rest.groupBy(F.col(id_col).alias("__stay_id"), "__stay_own").agg(F.min("__stay_row").alias("__stay_row"))
+    least = written(least, "least-rows")
+    rest = rest.join(least.select(F.col("__stay_row").alias("__row")).distinct().hint("merge"), F.col("__stay_row") == F.col("__row"), "left_semi")
+    return once.unionByName(rest.dropDuplicates(["__stay_row"]).select(df.columns))

@@ -7,10 +7,11 @@ from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import tiktoken
 import xxhash
 
-from scoreloom.llm import bpe, graph, quality_rules, simhash, wordpiece
+from scoreloom.llm import bpe, graph, jaccard, quality_rules, simhash, wordpiece
 
 
 def rule_counts(text):
@@ -65,7 +66,7 @@ def test_token_counts(odd_docs, no_docs, docs):
         texts = Counter((r.doc_id, r.text) for r in df.collect())
         want = Counter()
         for (i, x), n in texts.items():
-            words = (x or "").split()
+            words = [w for w in re.split(r"[\x20\x09-\x0D]+", x or "") if w]
             want[i, len(words), sum(wordpiece.greedy_pieces("▁" + w, pieces, longest) for w in words)] += n
         assert Counter(map(tuple, wordpiece.token_counts(df).collect())) == want
     assert wordpiece.token_counts(no_docs).count() == 0
@@ -137,11 +138,50 @@ def test_one_of_each_keeps_columns_and_one_row_a_group(odd_docs, docs):
     kept = simhash.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
     ids = Counter(r.doc_id for r in kept.collect())
-    assert ids[0] == 1 and ids[1] == 0 and ids[10] == 1 and ids[None] == 2
+    assert ids[0] == 1 and ids[1] == 0 and ids[10] == 1 and ids[None] == 1  # one null id stands for its own text
     whole = simhash.near_duplicates(docs)
     assert simhash.one_of_each(docs).count() == whole.select("component_id").distinct().count()
 
 
+def test_one_row_of_rows_that_share_an_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a, "x"), (3, b, "x"), (5, b, "y"), (7, a, "x"), (9, "c " * 30, "p"), (9, "c " * 30, "q"), (9, "c " * 30, "p"), (None, a, "z"), (None, "only " * 9, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for near in (simhash.groups, jaccard.groups):
+        kept = Counter((r.doc_id, r.text) for r in simhash.one_of_each(df, near=near).collect())
+        assert kept == {(5, a): 1, (3, b): 1, (9, "c " * 30): 1, (None, "only " * 9): 1}
+        again = simhash.one_of_each(df.repartition(3), near=near)
+        assert sorted(map(repr, again.collect())) == sorted(map(repr, simhash.one_of_each(df, near=near).collect()))
+
+
+def test_a_bucket_of_very_many_fingerprints(spark):
+    """Thousands of distinct fingerprints that agree in 40 bits, over the bound of a bucket: links as by all pairs."""
+    rand = np.random.default_rng(6)
+    fps = np.unique(rand.integers(0, 1 << 24, 6_000, np.uint64) << np.uint64(10) | np.uint64(0x5A5A5A0000000155))
+    planted = np.unique(fps[:50] ^ (np.uint64(1) << rand.integers(40, 60, 50).astype(np.uint64)))
+    df = spark.createDataFrame(pd.DataFrame({"fp": np.concatenate((fps, planted)).view(np.int64)})).distinct()
+    sample = np.concatenate((fps[:200], planted))
+    labels = {r.node: r.label for r in graph.components(simhash.links(df, bucket=1000)).collect()}
+    every = np.concatenate((fps, planted))
+    for f in sample:
+        near = every[np.bitwise_count(every ^ f) <= 4].view(np.int64).tolist()
+        assert len({labels.get(x, x) for x in near}) == 1
+
+
+def test_a_hundred_thousand_fingerprints_in_one_bucket_need_little_memory(monkeypatch):
+    """A dense group of 100,000: a forest in few steps, each over at most STEP fingerprints."""
+    rand = np.random.default_rng(7)
+    near = [np.uint64(0)] + [rand.integers(0, 64, 100_000).astype(np.uint64) for _ in range(4)]
+    fps = np.full(100_000, 0x0123456789ABCDEF, np.uint64)
+    for bits in near[1:]:
+        fps ^= np.uint64(1) << bits
+    fps = np.unique(np.append(fps, np.uint64(0x0123456789ABCDEF)))
+    sizes, count = [], np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x: sizes.append(x.size) or count(x))
+    group = simhash.near_groups(fps)
+    assert len(np.unique(group)) == 1 and max(sizes) <= 64 * simhash.STEP
+
+
 def test_bpe_equals_the_rank_files_library():
     ranks = bpe.read_ranks(bpe.default_ranks())
     enc = bpe.encoder(bpe.default_ranks())
@@ -160,6 +200,22 @@ def test_bpe_appends_and_edits_go_on_from_the_stored_prefixes():
         assert enc.last_tokens(whole, enc.last_tokens(whole[:cut])) == enc.last_tokens(whole)
         other = whole[:cut] + b"zq" + whole[cut:]
         assert enc.edited(whole, enc.last_tokens(whole), other) == enc.last_tokens(other)
+    rand = random.Random(3)
+    for _ in range(60):
+        text = bytes(rand.choices(b"aaar nth\xc3\xa9the ing", k=2000))
+        at, gone = rand.randrange(1900), rand.randint(0, 9)
+        other = text[:at] + bytes(rand.choices(b"xyz the", k=rand.randint(0, 9))) + text[at + gone :]
+        assert enc.edited(text, enc.last_tokens(text), other) == enc.last_tokens(other)
+
+
+def test_an_edit_costs_no_more_than_its_surroundings(monkeypatch):
+    enc = bpe.encoder(bpe.default_ranks())
+    text = b"the rain in spain stays mainly in the plain " * 200
+    last, other = enc.last_tokens(text), text[:100] + b"zq" + text[103:]
+    want, looked = enc.last_tokens(other), []
+    work = enc.last_tokens
+    monkeypatch.setattr(enc, "last_tokens", lambda piece, known=None: looked.append(len(piece)) or work(piece, known))
+    assert enc.edited(text, last, other) == want and max(looked) < 100 + 5 * enc.longest < len(text)
 
 
 def test_bpe_rows(odd_docs, no_docs):
