@@ -266,16 +266,15 @@ def test_importance_scores_equal_plain_counting(docs, spark, sf):
 def test_good_documents_that_the_fit_did_not_see(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = importance.resample(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
-    good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
-    assert np.mean(good) > 0.99 and np.mean(bad) < 0.2
+    good, bad = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0]
+    assert np.mean([r.kept for r in good]) > 0.99 and np.mean([r.kept for r in bad]) < 0.2
+    # Among good documents the noise (standard deviation 1.28) decides more than the weight; others are far below.
+    spread = np.quantile([r.score for r in good], [0.1, 0.5, 0.9])
+    assert spread[2] - spread[0] < 2 and np.median([r.score for r in bad]) < spread[1] - 15
 
 
-def test_noise_decides_among_documents_alike(docs, spark, sf):
-    """Of documents like the target a share is drawn: not those of the largest weight, and about as many short as long."""
+def test_noise_is_gumbel_noise(docs, spark, sf):
     rows = importance.resample(docs, spark.read.parquet(f"{sf}/labels.parquet"), share=0.4).collect()
-    by_score = {r.doc_id for r in sorted(rows, key=lambda r: -r.score)[: math.ceil(0.4 * len(rows))]}
-    kept = {r.doc_id for r in rows if r.kept}
-    assert 0.2 * len(kept) < len(kept - by_score)
     noise = [r.key - r.score for r in rows]
     assert abs(np.mean(noise) - 0.5772) < 0.3 and abs(np.std(noise) - 1.2825) < 0.3
 
