@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,17 +17,30 @@ def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
 
 
+@lru_cache(maxsize=1 << 16)
+def _letters(text: str) -> np.ndarray:
+    """How often each character occurs; some characters beyond ASCII count as one, which only loosens a bound."""
+    return np.bincount(np.frombuffer(text.encode("utf-8"), np.uint8) & 127, minlength=128).astype(np.int16)
+
+
 @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("at", T.IntegerType())]))
 def best_of(names: pd.Series, others: pd.Series) -> pd.DataFrame:
-    """Highest ratio of a name against an array of others and where it is first reached; at is null if all are 0."""
+    """Highest ratio of a name against an array of others and the first place where it is reached; at is null if all
+    are 0. Others are tried in the order of what their letters in common allow at most, until that is too little."""
     scores, places = [], []
     for name, many in zip(names, others):
         best, place = 0.0, None
-        matcher = SequenceMatcher(None)
-        for i, other in enumerate(many):
-            matcher.set_seqs(name, other)
-            if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best and (score := matcher.ratio()) > best:
-                best, place = score, i
+        if len(many):
+            common = np.minimum(_letters(name), np.stack([_letters(x) for x in many])).sum(axis=1)
+            most = 2.0 * common / np.maximum(1, np.array([len(x) for x in many]) + len(name))
+            matcher = SequenceMatcher(None, a=name)
+            for i in np.argsort(-most, kind="stable").tolist():
+                if most[i] < best or not most[i]:
+                    break
+                matcher.set_seq2(many[i])
+                score = matcher.ratio()
+                if score > best or (score == best and score and i < place):
+                    best, place = score, i
         scores.append(best)
         places.append(place)
     return pd.DataFrame({"score": scores, "at": pd.array(places, "Int32")})

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Section labels, number words, suffixes, keyword lists and patterns of the answer format.
 SECTIONS = ("Answer", "Evidence", "Count", "Supporting row_ids", "Notes")
@@ -18,6 +14,7 @@ NUMBER_WORDS = {
     "twenty five": 25, "twenty-five": 25, "twenty six": 26, "twenty-six": 26, "twenty seven": 27, "twenty-seven": 27, "twenty eight": 28,
     "twenty-eight": 28, "twenty nine": 29, "twenty-nine": 29, "thirty": 30,
 }
+# Suffixes with dots aren't listed: norm() has taken the dots before they are looked for.
 BROAD_SUFFIXES = "inc|incorporated|llc|co|corp|corporation|ltd|company|americas|america|usa|manufacturing|mfg|group|holdings?|gmbh"
 NARROW_SUFFIXES = "inc|incorporated|llc|co|corp|corporation|ltd|company|holdings?|gmbh"
 COMPANY_PHRASE = (
@@ -70,17 +67,17 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """NFKC form; Spark SQL has no such function. Null stays null."""
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def nfkc(c: Column) -> Column:
+    """NFKC form; null as "". Spark SQL has no such function; the ICU library that Spark's collations come with has, and
+    is called in the JVM for texts beyond ASCII only."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), composed).otherwise(text)
 
 
 def norm(c: Column) -> Column:
-    """Lower case, & as " and ", runs of other than a-z, 0-9 and space as one space, trimmed; null as "".
-
-    For texts without compatibility characters. Put nfkc() before it where they may occur."""
-    lowered = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "&", " and ")
+    """NFKC, lower case, & as " and ", runs of other than a-z, 0-9 and space as one space, trimmed; null as ""."""
+    lowered = F.regexp_replace(F.lower(nfkc(c)), "&", " and ")
     return F.trim(F.regexp_replace(F.regexp_replace(lowered, r"[^a-z0-9 ]+", " "), r" +", " "))
 
 
@@ -113,11 +110,13 @@ def number_value(c: Column) -> Column:
     return F.when(plain.rlike(r"^\d+$"), plain.try_cast("int")).otherwise(F.try_element_at(words, plain))
 
 
+# The number and the prose forms of a stated count.
 _NUMBER = (
     r"([0-9,]+|zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|"
     r"twenty(?:[- ](?:one|two|three|four|five|six|seven|eight|nine))?|thirty)"
 )
-#: What stands before and after the number in each prose form, in the order they are tried.
+# Spark gives no position of a match, so each form is kept as what stands before and after its number: the lead is
+# captured too and tested for "tier". Forms in the order they are tried.
 _PROSE = (
     (r"\bthere\s+(?:are|were)\s+(?:only\s+)?", r"\b"),
     (r"\bthere\s+is\s+(?:only\s+)?", r"\b"),
@@ -196,26 +195,36 @@ def requested_fields(question: Column) -> Column:
     return let(norm(question), chosen)
 
 
-def value_match_score(value: Column, answer: Column, numeric: bool = False) -> Column:
-    """How far an answer holds a value: 1 if contained (normalised), digits all or nothing, else the share of its
-    tokens of over two letters that are tokens of the answer; null if there is nothing to look for."""
-    text, said = F.trim(value.cast("string")), norm(answer)
-    digits = F.regexp_replace(text, ",", "")
-    tokens = F.split(F.regexp_replace(F.coalesce(answer, F.lit("")), r"\D", " "), r"\s+")
-    by_number = F.when(F.array_contains(tokens, digits), 1.0).otherwise(0.0)
+def numbers_said(answer: Column) -> Column:
+    """Runs of digits of a text, as tokens."""
+    return F.split(F.regexp_replace(F.coalesce(answer, F.lit("")), r"\D", " "), r"\s+")
+
+
+def plain_value(value: Column) -> Column:
+    """A value without commas and the space around it: digits, if it is a number."""
+    return F.regexp_replace(F.trim(value.cast("string")), ",", "")
+
+
+def match_score(plain: Column, normed: Column, said: Column, numbers: Column, numeric: bool | Column = False) -> Column:
+    """value_match_score from what is worked out once a value (plain_value, norm) and once an answer (norm,
+    numbers_said)."""
 
     def shared(parts: Column) -> Column:
         mine = F.filter(parts, lambda t: F.length(t) > 2)
-        theirs = F.split(said, " ")
-        return F.when(F.size(mine) > 0, F.size(F.filter(mine, lambda t: F.array_contains(theirs, t))) / F.size(mine))
+        return let(F.split(said, " "), lambda theirs: F.when(F.size(mine) > 0, F.size(F.filter(mine, lambda t: F.array_contains(theirs, t))) / F.size(mine)))
 
-    is_number = F.lit(True) if numeric else digits.rlike(r"^\d+$")
+    numeric = F.lit(numeric) if isinstance(numeric, bool) else numeric
     return (
-        F.when(value.isNull() | (text == "") | (norm(text) == ""), None)
-        .when(said.contains(norm(text)), 1.0)
-        .when(is_number, by_number)
-        .otherwise(let(F.split(norm(text), " "), shared))
-    )
+        F.when(normed.isNull() | (normed == ""), None).when(said.contains(normed), 1.0)
+        .when(numeric | plain.rlike(r"^\d+$"), F.when(F.array_contains(numbers, plain), 1.0).otherwise(0.0)).otherwise(let(F.split(normed, " "), shared))
+    )
+
+
+def value_match_score(value: Column, answer: Column, numeric: bool = False) -> Column:
+    """How far an answer holds a value: 1 if contained (normalised), digits all or nothing, else the share of its
+    tokens of over two letters that are tokens of the answer; null if there is nothing to look for."""
+    both = F.struct(plain_value(value).alias("plain"), norm(value.cast("string")).alias("normed"), norm(answer).alias("said"), numbers_said(answer).alias("numbers"))
+    return F.when(value.isNotNull(), let(both, lambda b: match_score(b["plain"], b["normed"], b["said"], b["numbers"], numeric)))
 
 
 def inline_thinking(c: Column) -> Column:
@@ -237,9 +246,13 @@ def ns_to_seconds(c: Column) -> Column:
     return F.when(n > 1e6, n / 1e9).otherwise(n)
 
 
-def truthy(c: Column) -> Column:
-    """Null for what counts as absent: null, empty text."""
-    return F.nullif(c, F.lit(""))
+def truthy(c: Column, kind: str = "string") -> Column:
+    """Null for what counts as absent: null, empty text, 0, false, NaN stays. kind: text, number, boolean or array."""
+    if kind == "array":
+        return F.when(F.size(c) > 0, c)
+    if kind == "boolean":
+        return F.when(c, c)
+    return F.when(c != (F.lit("") if kind == "string" else F.lit(0)), c)
 
 
 def normalize_bool(c: Column) -> Column:

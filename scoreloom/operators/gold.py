@@ -15,8 +15,8 @@ SKIPPED_PARTS = ("appears in both categories", "counted once")
 LABELS = (
     "answer", "evidence", "count", "supporting row ids", "notes", "industry group", "category", "primary oems", "primary facility type", "ev supply chain role", "product service",
 )
-#: Aliases looked through in one step.
-ALIAS_BLOCK = 256
+#: Length of the character runs by which mentions meet aliases: no mention looked for is shorter.
+RUN = 4
 
 
 def answer_part(line):
@@ -67,8 +67,18 @@ def unknown_mentions(answers: DataFrame, keys: list[str], aliases: DataFrame, re
     short = norm_company(F.col("mention"))
     rows = rows.filter((F.length(short) >= 4) & ~short.isin(*LABELS) & ~norm(F.col("mention")).isin(*LABELS))
     texts = companies_in(rows.select("mention").distinct(), ["mention"], "mention", aliases).filter(F.size("companies") == 0).select("mention", short.alias("short"))
-    blocks = max(1, -(-aliases.count() // ALIAS_BLOCK))
-    held = aliases.groupBy(F.pmod(F.xxhash64("alias"), F.lit(blocks)).alias("block")).agg(F.collect_list("alias").alias("aliases"))
-    asked = texts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    part = asked.join(held, "block").filter(F.exists("aliases", lambda a: F.contains(a, F.col("short")))).select("mention").distinct()
+    part = part_of_any(texts, "mention", "short", aliases, "alias")
     return rows.join(texts.select("mention"), "mention", "left_semi").join(part, "mention", "left_anti").select(*keys, "mention")
+
+
+def part_of_any(texts: DataFrame, key: str, short: str, aliases: DataFrame, alias: str) -> DataFrame:
+    """(key) of the texts whose short form, of RUN characters or more, is part of some alias.
+
+    A text that is part of an alias has all its runs of RUN characters there: they meet by the run that the fewest
+    aliases have, an equality join, and contains() verifies."""
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (RUN - 1)), lambda i: F.substring(c, i, F.lit(RUN))))
+    held = aliases.select(F.col(alias).alias("__whole")).distinct().filter(F.length("__whole") >= RUN).select("__whole", F.explode(runs(F.col("__whole"))).alias("__run"))
+    often = held.groupBy("__run").agg(F.count("*").alias("__n"))
+    asked = texts.filter(F.length(short) >= RUN).select(key, F.col(short).alias("__short"), F.explode(runs(F.col(short))).alias("__run"))
+    rarest = asked.join(often, "__run", "left").groupBy(key, "__short").agg(F.min_by("__run", F.struct(F.coalesce("__n", F.lit(0)), "__run")).alias("__run"))
+    return rarest.join(held, "__run").filter(F.contains("__whole", "__short")).select(key).distinct()

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.evidence import evidence_rows, section
 from ..functions.fuzzy import best_of, ratio
-from ..functions.text import COMPANY_LIKE, COMPANY_PHRASE, FUZZY_MIN_LENGTH, FUZZY_THRESHOLD, GENERIC_PHRASES, SECTIONS, canonical_key, norm, norm_company
+from ..functions.text import COMPANY_LIKE, COMPANY_PHRASE, FUZZY_MIN_LENGTH, FUZZY_THRESHOLD, GENERIC_PHRASES, SECTIONS, canonical_key, let, norm, norm_company
 from ..sources.stored import stored
 from .entities import _grams, companies_in
 
+# Fields that a candidate may be a value of, and the classes.
 OTHER_FIELDS = ("Primary OEMs", "Category", "Primary Facility Type", "Supplier or Affiliation Type", "EV Supply Chain Role", "Classification Method")
 CLASSES = (
     "known_kb_company", "misspelled_kb_company", "true_out_of_kb_hallucination", "industry_group_false_positive", "product_service_false_positive",
     "kb_supported_non_company_field", "not_a_company_phrase",
 )
-#: Names compared in one step of the fuzzy match.
+#: Names compared in one step of a near match.
 NAME_BLOCK = 256
 
 
@@ -45,8 +46,8 @@ def _field_grams(kb: DataFrame) -> DataFrame:
     for rank, (field, kind) in enumerate([("Industry Group", "industry_group_false_positive"), ("Product / Service", "product_service_false_positive"), *[(f, "kb_supported_non_company_field") for f in OTHER_FIELDS]]):
         if field in kb.columns:
             parts.append(kb.select(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.lit(field).alias("field"), norm(F.col(f"`{field}`").cast("string")).alias("value")))
-    values = parts[0]
-    for p in parts[1:]:
+    values = kb.sparkSession.createDataFrame([], "rank int, kind string, field string, value string")
+    for p in parts:
         values = values.unionByName(p)
     values = values.filter("value <> ''").distinct()
     whole = values.select("rank", "kind", "field", "value", F.col("value").alias("phrase"), F.lit(0).alias("part"))
@@ -55,9 +56,11 @@ def _field_grams(kb: DataFrame) -> DataFrame:
     return whole.unionByName(grams.select("rank", "kind", "field", "value", F.col("g.gram").alias("phrase"), F.lit(1).alias("part")).filter("phrase <> value")).distinct()
 
 
-def classify(found: DataFrame, keys: list[str], kb: DataFrame, aliases: DataFrame, keep=stored) -> DataFrame:
+def classify(found: DataFrame, keys: list[str], kb: DataFrame, aliases: DataFrame, keep=stored, report_nearest: bool = False) -> DataFrame:
     """found with classification, matched_kb_company, similarity, match_kind, matched_field and matched_value.
 
+    report_nearest: made-up names carry the nearest company below the threshold too, found by nearest_of_all.
+
     Candidates are classified once a text and source. The steps, each an equality join (n-grams of the knowledge
     table's values, not a comparison of all with all): generic phrase, known company, value of another field, near
     spelling (over blocks of names), part of a name, company-like, else no company."""
@@ -82,7 +85,8 @@ def classify(found: DataFrame, keys: list[str], kb: DataFrame, aliases: DataFram
 
     names = kb.filter("Company is not null").groupBy("Company").agg(F.min("row_id").alias("kb_ord")).withColumn("kb_key", canonical_key(F.col("Company"))).filter("kb_key <> ''")
     open_keys = texts.filter(~F.col("generic") & F.col("known").isNull() & F.col("hit").isNull()).select("cand_key").distinct()
-    texts = texts.join(nearest(open_keys.filter(F.length("cand_key") >= FUZZY_MIN_LENGTH), names), "cand_key", "left")
+    closest = nearest_of_all if report_nearest else nearest
+    texts = texts.join(closest(open_keys.filter(F.length("cand_key") >= FUZZY_MIN_LENGTH), names), "cand_key", "left")
 
     longest = names.agg(F.max(F.size(F.split("kb_key", " ")))).first()[0] or 1
     pieces = names.select("Company", "kb_ord", F.explode(_grams(F.split("kb_key", " "), longest)).alias("g")).select(F.col("g.gram").alias("cand_key"), "Company", "kb_ord")
@@ -119,27 +123,65 @@ def classify(found: DataFrame, keys: list[str], kb: DataFrame, aliases: DataFram
     return found.join(made, ["mention_text", "first_source"])
 
 
-def nearest(keys: DataFrame, names: DataFrame) -> DataFrame:
-    """(cand_key, near, score): the name of highest ratio for each key, of equal ones the first in the table.
+def _pairs_of(text) -> object:
+    """The pairs of neighbouring characters of a text, each with its number among equal ones."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
+    return F.when(F.length(text) >= 2, let(pairs, lambda p: F.transform(p, lambda x, i: F.concat(x, F.size(F.filter(F.slice(p, 1, i), lambda y: y == x)).cast("string"))))).otherwise(F.array().cast("array<string>"))
+
+
+def nearest(keys: DataFrame, names: DataFrame, least: float = FUZZY_THRESHOLD) -> DataFrame:
+    """(cand_key, near, score): of the names with a ratio of `least` or more the one of the highest for each key, of
+    equal ones the first in the table. Keys without such a name have no row.
+
+    A ratio of least bounds both lengths, and with M matching characters in at most n - 2 M + 1 blocks (n: both
+    lengths together) at least 3 M - n - 1 pairs of neighbouring characters are common. So keys and names meet by
+    the rarest of these pairs only (as many of each as leave fewer than that out), an equality join; what lengths
+    and common pairs allow is compared in full. Every name above the threshold is among that."""
+    low, high = least / (2 - least), (2 - least) / least
+
+    def prefix(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+        n = F.length(text)
+        wanted = F.greatest(F.lit(1), F.ceil((1.5 * least - 1) * (n + F.ceil(low * n - 1e-9)) - 1 - 1e-9))
+        grams = df.withColumn("__pairs", _pairs_of(F.col(text))).withColumn("__take", F.size("__pairs") - wanted + 1)
+        long = grams.select(*keep, "__pairs", "__take", F.explode("__pairs").alias("__pair")).join(often, "__pair", "left")
+        ranked = long.groupBy(*keep, "__pairs", "__take").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__pair").alias("p")))).alias("__all"))
+        return ranked.select(*keep, "__pairs", F.explode(F.transform(F.slice("__all", F.lit(1), F.greatest(F.lit(0), F.col("__take").cast("int"))), lambda x: x["p"])).alias("__pair"))
 
-    Names go in blocks of NAME_BLOCK, a row a block; keys meet every block by an equality join on its number, so no
-    side has to fit one machine."""
-    n = names.count()
-    blocks = -(-n // NAME_BLOCK)
-    numbered = names.withColumn("block", F.pmod(F.xxhash64("Company"), F.lit(max(1, blocks))))
-    rows = numbered.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("kb_ord", "kb_key", "Company"))).alias("names"))
-    asked = keys.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(0, blocks - 1)).cast("bigint"))))
-    scored = asked.join(rows, "block").withColumn("best", best_of(F.col("cand_key"), F.transform("names", lambda s: s["kb_key"])))
+    often = names.select("kb_key").distinct().select(F.explode(_pairs_of(F.col("kb_key"))).alias("__pair")).groupBy("__pair").agg(F.count("*").alias("__n"))
+    left = prefix(keys.select("cand_key").distinct(), "cand_key", ["cand_key"]).withColumnRenamed("__pairs", "__mine")
+    right = prefix(names.groupBy("kb_key").agg(F.min("kb_ord").alias("kb_ord"), F.min_by("Company", "kb_ord").alias("Company")), "kb_key", ["kb_key", "kb_ord", "Company"])
+    a, b = F.length("cand_key"), F.length("kb_key")
+    fits = b.between(F.ceil(low * a - 1e-9), F.floor(high * a + 1e-9)) & (F.size(F.array_intersect("__mine", "__pairs")) >= (1.5 * least - 1) * (a + b) - 1 - 1e-9)
+    met = left.join(right, "__pair").filter(fits).groupBy("cand_key", "kb_key").agg(F.min("kb_ord").alias("kb_ord"), F.first("Company").alias("Company"))
+    blocks = max(1, -(-names.count() // NAME_BLOCK))
+    return _best(met.withColumn("block", F.pmod(F.xxhash64("kb_key"), F.lit(blocks))).groupBy("cand_key", "block").agg(F.array_sort(F.collect_list(F.struct("kb_ord", "kb_key", "Company"))).alias("names"))).filter(F.col("score") >= least)
+
+
+def _best(asked: DataFrame) -> DataFrame:
+    """(cand_key, score, near) of rows (cand_key, block, names): the best over all blocks."""
+    scored = asked.withColumn("best", best_of(F.col("cand_key"), F.transform("names", lambda s: s["kb_key"])))
     hit = F.get("names", F.col("best.at"))
     return scored.filter("best.at is not null").groupBy("cand_key").agg(
         F.max(F.col("best.score")).alias("score"), F.max_by(hit["Company"], F.struct(F.col("best.score"), -hit["kb_ord"])).alias("near")
     )
 
 
+def nearest_of_all(keys: DataFrame, names: DataFrame) -> DataFrame:
+    """(cand_key, near, score): the name of highest ratio for each key, however low; of equal ones the first.
+
+    Costs keys times names. For reports on tables of some thousands of names; nearest() is what classification needs.
+    Names go in blocks of NAME_BLOCK, a row a block, so no side has to fit one machine."""
+    blocks = max(1, -(-names.count() // NAME_BLOCK))
+    rows = names.groupBy(F.pmod(F.xxhash64("Company"), F.lit(blocks)).alias("block")).agg(F.array_sort(F.collect_list(F.struct("kb_ord", "kb_key", "Company"))).alias("names"))
+    asked = keys.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    return _best(asked.join(rows, "block"))
+
+
 def class_counts(classified: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
-    """A row an answer with the number of its mentions of each class; answers without mentions have zeros."""
-    counts = classified.groupBy(*keys).agg(*[F.count_if(F.col("classification") == c).alias(f"n_{c}") for c in CLASSES])
-    return answers.select(*keys).join(counts, keys, "left").na.fill(0, [f"n_{c}" for c in CLASSES])
+    """A row an answer with the number of its mentions of each class, and of those that its Evidence table has; zeros without mentions."""
+    by_evidence = F.count_if(F.array_contains("sources", "evidence_company")).alias("evidence_company_mentions")
+    counts = classified.groupBy(*keys).agg(*[F.count_if(F.col("classification") == c).alias(f"n_{c}") for c in CLASSES], by_evidence)
+    return answers.select(*keys).join(counts, keys, "left").na.fill(0, [*[f"n_{c}" for c in CLASSES], "evidence_company_mentions"])
 
 
 def row_id_checks(answers: DataFrame, keys: list[str], kb: DataFrame, aliases: DataFrame, response: str = "response", keep=stored) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import half_even, value_match_score
+from ..functions.text import half_even, match_score, norm, numbers_said, plain_value
 
 
 def set_scores(pred: Column, gold: Column) -> Column:
@@ -26,7 +26,7 @@ def differences(pred: Column, gold: Column) -> Column:
 
 
 def entity_basis(gold_companies: Column, gold_counties: Column, gold_count: Column) -> Column:
-    return F.when(F.size(gold_companies) > 0, "company").when(F.size(gold_counties) > 0, "county").when(gold_count == 0, "none_expected").otherwise("n/a")
+    return F.when(F.size(gold_companies) > 0, "company").when(F.size(gold_counties) > 0, "county").when(gold_count == 0, "none_expected").otherwise("not_applicable")
 
 
 def count_scores(pred: Column, gold: Column) -> Column:
@@ -39,15 +39,20 @@ def numeric_recall(pred: Column, gold: Column) -> Column:
     return F.when(F.size(g) > 0, F.size(F.array_intersect(pred, g)) / F.size(g))
 
 
-def id_scores(cited: Column, valid: Column, pred_count: Column) -> Column:
-    """Struct valid_ids, bad_ids (order and repeats kept), duplicates, count_matches_ids (null without both)."""
+def id_scores(cited: Column, pred_count: Column) -> Column:
+    """Struct duplicate_ids, count_matches_ids (null without both)."""
     distinct = F.size(F.array_distinct(cited))
-    return F.struct(
-        F.filter(cited, lambda x: F.array_contains(valid, x)).alias("valid_ids"),
-        F.filter(cited, lambda x: ~F.array_contains(valid, x)).alias("bad_ids"),
-        (F.size(cited) - distinct).alias("duplicate_ids"),
-        F.when((F.size(cited) > 0) & pred_count.isNotNull(), pred_count == distinct).alias("count_matches_ids"),
-    )
+    return F.struct((F.size(cited) - distinct).alias("duplicate_ids"), F.when((F.size(cited) > 0) & pred_count.isNotNull(), pred_count == distinct).alias("count_matches_ids"))
+
+
+def valid_and_bad(answers: DataFrame, keys: list[str], cited: str, kb: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """(keys, valid_ids, bad_ids) of answers that cite any: ids that the knowledge table has and others, in the order
+    of the answer, repeats kept. Cited ids meet the table's by a join, however many it has."""
+    rows = answers.select(*keys, F.posexplode(cited).alias("at", "__id"))
+    known = kb.select(F.col(row_id).alias("__id")).distinct().withColumn("__known", F.lit(True))
+    met = rows.join(known, "__id", "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "__id", F.coalesce("__known", F.lit(False)).alias("known")))).alias("ids"))
+    part = lambda want: F.transform(F.filter("ids", lambda s: s["known"] == want), lambda s: s["__id"])
+    return met.select(*keys, part(True).alias("valid_ids"), part(False).alias("bad_ids"))
 
 
 def answered(status: Column, response: Column) -> Column:
@@ -60,9 +65,15 @@ def field_checks(answers: DataFrame, keys: list[str], kb: DataFrame, fields: lis
     answers: keys, response, gold_companies and requested_fields. The score is the best over the company's rows."""
     stack = ", ".join(f"'{f}', cast(`{f}` as string)" for f in fields)
     long = kb.selectExpr(f"`{company}` as company", "row_id", f"stack({len(fields)}, {stack}) as (field, value)").filter("trim(value) <> ''")
-    wanted = answers.select(*keys, "response", F.explode("gold_companies").alias("company"), "requested_fields").select(*keys, "response", "company", F.explode("requested_fields").alias("field"))
-    score = F.when(F.col("field").isin(*numeric), value_match_score(F.col("value"), F.col("response"), True)).otherwise(value_match_score(F.col("value"), F.col("response")))
-    out = wanted.join(long, ["company", "field"]).withColumn("score", score).groupBy(*keys, "company", "field")
+    long = long.withColumns({"plain": plain_value(F.col("value")), "normed": norm(F.col("value"))})
+    wanted = answers.select(*keys, F.explode("gold_companies").alias("company"), "requested_fields").select(*keys, "company", F.explode("requested_fields").alias("field"))
+    # An answer's values are brought to it, not its text to every value: the text is normalised and carried once.
+    due = wanted.join(long, ["company", "field"]).groupBy(*keys).agg(F.collect_list(F.struct("company", "field", "row_id", "value", "plain", "normed")).alias("due"))
+    said = answers.select(*keys, norm(F.col("response")).alias("said"), numbers_said(F.col("response")).alias("numbers")).join(due, keys)
+    number = lambda d: d["field"].isin(*numeric) if numeric else F.lit(False)
+    score = lambda d: match_score(d["plain"], d["normed"], F.col("said"), F.col("numbers"), number(d))
+    made = F.transform("due", lambda d: F.struct(d["company"].alias("company"), d["field"].alias("field"), d["row_id"].alias("row_id"), d["value"].alias("value"), score(d).alias("score")))
+    out = said.select(*keys, F.explode(made).alias("d")).select(*keys, "d.*").groupBy(*keys, "company", "field")
     best = out.agg(F.max("score").alias("best"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "value"))), lambda s: s["value"]), "; ").alias("expected_values"))
     return best.select(*keys, "company", "field", "expected_values", half_even(F.col("best"), 3).alias("field_value_score"), F.coalesce(F.col("best") >= 0.6, F.lit(False)).alias("field_value_present"))
 

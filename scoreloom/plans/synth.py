@@ -43,11 +43,12 @@ def knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question a nation: which companies are there."""
+    """One question a nation: which companies are there. Its other numbers are their row ids."""
     kb = knowledge(spark, sf_dir)
-    return kb.groupBy(F.col("s_nationkey").alias("question_number"), "county").agg(F.array_sort(F.collect_set("Company")).alias("gold_companies")).select(
+    return kb.groupBy(F.col("s_nationkey").alias("question_number"), "county").agg(F.array_sort(F.collect_set("Company")).alias("gold_companies"), F.collect_set(F.col("row_id").cast("string")).alias("numbers")).select(
         F.col("question_number").cast("int"), F.concat(F.lit("Which suppliers are in the county "), "county", F.lit(" and what is their tier?")).alias("question"),
         "gold_companies", F.array("county").alias("gold_counties"), F.size("gold_companies").alias("gold_count"), "county",
+        F.array_remove("numbers", F.size("gold_companies").cast("string")).alias("gold_numbers"),
     )
 
 

@@ -13,7 +13,9 @@ from .operators import gold as go
 from .operators import mentions as me
 from .operators import scoring as sc
 from .plans import evaluation, inference, judge, synth
+from .sources import answers as an
 from .sources import knowledge as kn
+from .sources.stored import stored
 from .streaming import scores as streaming
 
 QUERIES: dict = {}
@@ -158,7 +160,7 @@ def value_scores(spark, sf_dir):
     return kb.select("row_id", tx.value_match_score(F.col("Product / Service"), said).alias("product_score"), tx.value_match_score(F.col("Employment"), said, True).alias("staff_score"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, CASE WHEN value > 100 THEN NULL ELSE value END AS v, event_type IN ('click', 'view') AS truth, "
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, coalesce(nullif(user_id % 3, 0), nullif(event_id % 5, 0), -1) AS v, event_type IN ('click', 'view') AS truth, "
        "CASE WHEN event_id % 2 = 0 THEN CAST(event_id + 2000000 AS DOUBLE) / 1e9 ELSE CAST(event_id AS DOUBLE) END AS seconds, sha256(props) AS digest, replace(replace(event_type || ':' || 'a/b c', ':', '_'), '/', '_') AS raw_name FROM events")
 def tolerant_parsing(spark, sf_dir):
     """T13, T28, T29, T30, T33, T36 over the event log."""
@@ -167,7 +169,8 @@ def tolerant_parsing(spark, sf_dir):
     ns = F.when(F.col("event_id") % 2 == 0, F.col("event_id") + 2000000).otherwise(F.col("event_id"))
     truth = tx.normalize_bool(F.when(F.col("event_type").isin("click", "view"), F.lit(" Yes ")).otherwise(F.lit("no")))
     named = F.regexp_replace(tx.safe_name(F.concat("event_type", F.lit(":a/b c"))), "_c$", " c")
-    return e.select("event_id", k.alias("k"), F.when(F.col("value") > 100, None).otherwise(F.col("value")).alias("v"), truth.alias("truth"), tx.ns_to_seconds(ns).alias("seconds"), F.sha2("props", 256).alias("digest"), named.alias("raw_name"))
+    absent = F.coalesce(tx.truthy(F.col("user_id") % 3, "number"), tx.truthy(F.col("event_id") % 5, "number"), F.lit(-1)).cast("bigint")
+    return e.select("event_id", k.alias("k"), absent.alias("v"), truth.alias("truth"), tx.ns_to_seconds(ns).alias("seconds"), F.sha2("props", 256).alias("digest"), named.alias("raw_name"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 5000 THEN left(text, 4970) || chr(10) || '...[truncated for Excel]' ELSE text END AS cell FROM documents")
@@ -343,7 +346,7 @@ def set_prf_by_group(spark, sf_dir):
     return g.select("l_suppkey", sc.set_scores(F.col("pred"), F.col("gold")).alias("s")).select("l_suppkey", "s.*")
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'company' WHEN n_nationkey % 4 = 1 THEN 'county' WHEN n_nationkey % 4 = 2 THEN 'none_expected' ELSE 'n/a' END AS basis, CASE WHEN n_nationkey % 4 = 0 THEN 0.5 WHEN n_nationkey % 4 = 1 THEN 1.0 WHEN n_nationkey % 4 = 2 THEN 1.0 END AS f1, '[\"' || n_name || '\"]' AS missing FROM nation")
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'company' WHEN n_nationkey % 4 = 1 THEN 'county' WHEN n_nationkey % 4 = 2 THEN 'none_expected' ELSE 'not_applicable' END AS basis, CASE WHEN n_nationkey % 4 = 0 THEN 0.5 WHEN n_nationkey % 4 = 1 THEN 1.0 WHEN n_nationkey % 4 = 2 THEN 1.0 END AS f1, '[\"' || n_name || '\"]' AS missing FROM nation")
 def entity_basis_scores(spark, sf_dir):
     """T24, U03, F14."""
     k, name = F.col("n_nationkey") % 4, F.col("n_name")
@@ -396,12 +399,16 @@ def numeric_recall(spark, sf_dir):
     return g.select("o_custkey", sc.numeric_recall(F.col("pred"), F.col("gold")).alias("recall"))
 
 
-@query("SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) AS valid_ids, '99 99' AS bad_ids, 1 AS duplicate_ids, n_nationkey = 2 AS count_matches_ids FROM nation WHERE n_nationkey <> 99")
+@query("WITH l AS (SELECT *, l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AS known FROM lineitem) SELECT l_orderkey, coalesce(string_agg(CAST(l_suppkey AS VARCHAR), ' ' ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (WHERE known), '') AS valid_ids, "
+       "coalesce(string_agg(CAST(l_suppkey AS VARCHAR), ' ' ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (WHERE NOT known), '') AS bad_ids, count(*) - count(DISTINCT l_suppkey) AS duplicate_ids, count(DISTINCT l_suppkey) = 3 AS count_matches_ids FROM l GROUP BY 1")
 def cited_ids(spark, sf_dir):
-    """F12, T27, U05."""
-    n = F.col("n_nationkey").cast("int")
-    s = sc.id_scores(F.array(n, F.lit(99), F.lit(99)), F.array(n), F.col("n_nationkey"))
-    return t(spark, sf_dir, "nation").select("n_nationkey", F.array_join(s["valid_ids"], " ").alias("valid_ids"), F.array_join(s["bad_ids"], " ").alias("bad_ids"), s["duplicate_ids"].alias("duplicate_ids"), s["count_matches_ids"].alias("count_matches_ids"))
+    """Each order cites the suppliers of its lines; those with a balance over 0 are known."""
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
+    orders = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(lines, lambda s: s["l_suppkey"]).alias("cited"))
+    kb = t(spark, sf_dir, "supplier").filter("s_acctbal > 0")
+    met = sc.valid_and_bad(orders, ["l_orderkey"], "cited", kb, "s_suppkey")
+    ids = sc.id_scores(F.col("cited"), F.lit(3))
+    return orders.join(met, "l_orderkey").select("l_orderkey", F.array_join("valid_ids", " ").alias("valid_ids"), F.array_join("bad_ids", " ").alias("bad_ids"), ids["duplicate_ids"].alias("duplicate_ids"), ids["count_matches_ids"].alias("count_matches_ids"))
 
 
 @query("SELECT doc_id, min(item_id) AS first_item, count(*) AS passages FROM documents JOIN benchmark b ON contains(documents.text, b.text) GROUP BY 1")
@@ -426,24 +433,54 @@ def leakage_guard(spark, sf_dir):
 # ---------------------------------------------------------------- summaries, windows, sets
 
 
-@query(f"""WITH {EXPECTED}, s AS (SELECT *, CASE WHEN failed OR right_names = 0 THEN 0.0 ELSE 2.0 * right_names / (right_names + gold_count) END AS f1,
-  CASE WHEN failed THEN NULL WHEN listed + CASE WHEN faked THEN 1 ELSE 0 END = gold_count THEN 1.0 ELSE 0.0 END AS hit FROM per)
-SELECT arm, model_name, count(*) AS questions, count(*) FILTER (WHERE NOT failed) AS answered, round(avg(round(f1, 4)), 3) AS f1, count(hit) AS counted, round(avg(hit), 3) AS count_rate,
-  sum(CASE WHEN faked AND NOT failed THEN 1 ELSE 0 END) AS made_up, sum(CASE WHEN failed THEN 0 ELSE misspelled END) AS misspelled, sum(CASE WHEN failed THEN 0 ELSE listed + CASE WHEN faked THEN 1 ELSE 0 END END) AS checked FROM s GROUP BY 1, 2""")
+#: By answer: scores from the keys alone. Numbers said: cited ids, the count, the tiers' digits, the made-up row's.
+_SCORED = f"""{EXPECTED}, said AS (SELECT question_number, m, row_id + CASE WHEN swapped THEN 1 ELSE 0 END AS v FROM item UNION SELECT question_number, m, listed + CASE WHEN faked THEN 1 ELSE 0 END FROM per WHERE NOT failed
+  UNION SELECT question_number, m, unnest([9999, 9]) FROM per WHERE faked AND NOT failed
+  UNION SELECT i.question_number, i.m, CAST(unnest(regexp_extract_all(k.category, '\\d+')) AS BIGINT) FROM item i JOIN kb k ON k.row_id = i.row_id),
+num AS (SELECT c.question_number, c.m, count(s.v) / count(*) AS recall FROM cell c JOIN kb k ON k.s_nationkey = c.question_number AND k.row_id <> c.gold_count
+  LEFT JOIN said s ON s.question_number = c.question_number AND s.m = c.m AND s.v = k.row_id GROUP BY 1, 2),
+bad AS (SELECT question_number, m, count(*) FILTER (WHERE swapped) AS moved FROM item GROUP BY 1, 2),
+s AS (SELECT per.*, round_even(CASE WHEN failed OR right_names = 0 THEN 0.0 ELSE 2.0 * right_names / (right_names + gold_count) END, 4) AS f1, num.recall,
+  CASE WHEN failed THEN NULL WHEN listed + CASE WHEN faked THEN 1 ELSE 0 END = gold_count THEN 1.0 ELSE 0.0 END AS hit, CASE WHEN faked AND NOT failed THEN 1 ELSE 0 END AS made_up,
+  CASE WHEN failed THEN 0 ELSE listed + CASE WHEN faked THEN 1 ELSE 0 END END AS rows_, CASE WHEN failed THEN 0 ELSE per.misspelled END AS wrong, CASE WHEN failed THEN 0 ELSE right_names END AS known FROM per LEFT JOIN num USING (question_number, m))"""
+
+
+def _scored(spark, sf_dir):
+    return evaluation.scored_answers(synth.answers(spark, sf_dir), synth.gold(spark, sf_dir), synth.knowledge(spark, sf_dir).drop("s_suppkey", "s_nationkey", "county"))
+
+
+@query(f"""WITH {_SCORED}
+SELECT arm, model_name, count(*) AS questions, count(*) FILTER (WHERE NOT failed) AS answered, round(avg(f1), 3) AS f1, count(hit) AS counted, round(avg(hit), 3) AS count_rate, round(avg(round(recall, 4)), 3) AS numeric_recall,
+  sum(made_up) AS made_up, sum(wrong) AS misspelled, sum(known) AS known, 0 AS other_classes, sum(rows_) AS checked, sum(rows_) AS by_evidence, sum(wrong + made_up) AS legacy_unknown FROM s GROUP BY 1, 2""")
 def model_summary(spark, sf_dir):
-    """T37, T38, A01, A05 to A11 over parsed answers; the flagship. Means are shown to 3 places."""
-    scores = evaluation.scored_answers(synth.answers(spark, sf_dir), synth.gold(spark, sf_dir), synth.knowledge(spark, sf_dir).drop("s_suppkey", "s_nationkey", "county"))
-    return scores.groupBy("arm", "model_name").agg(
+    """T37, T38, A01, A05 to A11, A23, T26 over parsed answers; the flagship. Means are shown to 3 places."""
+    other = ["mention_industry_group_fp_count", "mention_product_service_fp_count", "mention_kb_noncompany_field_count", "mention_not_a_company_phrase_count"]
+    return _scored(spark, sf_dir).groupBy("arm", "model_name").agg(
         F.count("*").alias("questions"), F.count_if("answered").alias("answered"), F.round(F.avg("entity_f1"), 3).alias("f1"), F.count("count_correct").alias("counted"),
-        F.round(F.avg(F.col("count_correct").cast("double")), 3).alias("count_rate"), F.sum("n_true_out_of_kb_hallucination").alias("made_up"), F.sum("n_misspelled_kb_company").alias("misspelled"), F.sum("row_id_checked").alias("checked"),
+        F.round(F.avg(F.col("count_correct").cast("double")), 3).alias("count_rate"), F.round(F.avg("numeric_recall"), 3).alias("numeric_recall"),
+        F.sum("mention_true_hallucination_count").alias("made_up"), F.sum("mention_misspelled_kb_company_count").alias("misspelled"), F.sum("mention_known_kb_company_count").alias("known"),
+        F.sum(sum((F.col(c) for c in other), F.lit(0))).alias("other_classes"), F.sum("row_id_company_checked").alias("checked"), F.sum("evidence_company_mentions").alias("by_evidence"),
+        F.sum("legacy_unknown_company_mention_count").alias("legacy_unknown"),
     )
 
 
-@query()
+@query(f"""WITH {_SCORED}, g AS (SELECT arm, model_name, count(*) AS questions, count(*) FILTER (WHERE NOT failed) AS answered, count(*) FILTER (WHERE NOT failed) / count(*) AS reliability, avg(f1) AS f1, count(hit) AS counted, avg(hit) AS hits,
+  avg(CASE WHEN failed THEN 0.0 ELSE 1.0 END) AS fmt, avg(made_up) AS made, avg(CASE WHEN wrong + made_up > 0 THEN 1.0 ELSE 0.0 END) AS legacy, sum((question_number + 1) * 0.5 + m) AS seconds, min(1000 + question_number * 3 + m) AS lo,
+  median(1000 + question_number * 3 + m) AS mid, max(1000 + question_number * 3 + m) AS hi FROM s GROUP BY 1, 2)
+SELECT arm, model_name, questions, answered, round(reliability, 3) AS reliability, round(f1, 3) AS mean_entity_f1, counted AS count_questions_scored, round(hits, 3) AS count_accuracy_rate, round(fmt, 3) AS format_core_ok_rate,
+  round(made, 3) AS true_hallucination_rate, round(legacy, 3) AS legacy_unknown_rate, seconds AS total_runtime_seconds, lo AS prompt_eval_min, mid AS prompt_eval_median, hi AS prompt_eval_max,
+  abs(round(0.45 * f1 + 0.20 * coalesce(hits, 0) + 0.10 * (1 - made) + 0.05 * fmt + 0.05 * reliability, 4)) > 0 AS scored, round(0.10 * (legacy - made), 2) AS legacy_gap FROM g""")
 def evaluation_report(spark, sf_dir):
-    """All columns of the model summary with composite and rank."""
-    scores = evaluation.scored_answers(synth.answers(spark, sf_dir), synth.gold(spark, sf_dir), synth.knowledge(spark, sf_dir).drop("s_suppkey", "s_nationkey", "county"))
-    return evaluation.model_summary(scores)
+    """The model summary with composite, legacy composite and rank.
+
+    Shares of checked fields have no SQL here: the composite is held against SQL in composite_and_rank, and here by the
+    gap between it and the legacy one, which only the rates of made-up names make."""
+    r = evaluation.model_summary(_scored(spark, sf_dir))
+    three = ["reliability", "mean_entity_f1", "count_accuracy_rate", "format_core_ok_rate", "true_hallucination_rate", "legacy_unknown_rate"]
+    return r.select(
+        "arm", "model_name", "questions", "answered", "count_questions_scored", *[F.round(c, 3).alias(c) for c in three], "total_runtime_seconds", "prompt_eval_min", "prompt_eval_median", "prompt_eval_max",
+        (F.col("research_score") > 0).alias("scored"), F.round(F.col("research_score") - F.col("research_score_legacy"), 2).alias("legacy_gap"),
+    )
 
 
 _LOG = "SELECT event_type AS arm, 'm' || CAST(user_id % 5 AS VARCHAR) AS model_name, CAST(event_id % 42 AS INT) AS question_number, event_id % 11 <> 0 AS ok, CASE WHEN event_id % 9 = 0 THEN NULL ELSE (event_id % 100) / 100.0 END AS f1, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 3 = 0 END AS hit, value FROM events"
@@ -504,10 +541,10 @@ def pivoted_classes(spark, sf_dir):
     return e.groupBy("user_id").pivot("event_type", kinds).count().na.fill(0, kinds)
 
 
-@query("SELECT l_orderkey, list_distinct(list(l_partkey ORDER BY l_linenumber, l_partkey)) IS NOT NULL AS ok, count(*) - count(DISTINCT l_suppkey) AS duplicates, array_to_string(list_sort(list_distinct(list(l_suppkey))), ' ') AS suppliers FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, (SELECT string_agg(CAST(p AS VARCHAR), ' ' ORDER BY f) FROM (SELECT p, min(o) AS f FROM (SELECT unnest(list(l_partkey % 7 ORDER BY l_linenumber, l_partkey)) AS p, generate_subscripts(list(l_partkey % 7 ORDER BY l_linenumber, l_partkey), 1) AS o) GROUP BY p)) AS in_order, count(*) - count(DISTINCT l_suppkey) AS duplicates, array_to_string(list_sort(list_distinct(list(l_suppkey))), ' ') AS suppliers FROM lineitem GROUP BY 1")
 def collected_sets(spark, sf_dir):
     """A14, A18, U05, W08."""
-    return t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.lit(True).alias("ok"), (F.count("*") - F.count_distinct("l_suppkey")).alias("duplicates"), F.array_join(F.array_sort(F.collect_set("l_suppkey")), " ").alias("suppliers"))
+    return t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: s["l_partkey"] % 7)), " ").alias("in_order"), (F.count("*") - F.count_distinct("l_suppkey")).alias("duplicates"), F.array_join(F.array_sort(F.collect_set("l_suppkey")), " ").alias("suppliers"))
 
 
 @query("SELECT 'both' AS side, count(*) AS n FROM (SELECT s_nationkey FROM supplier INTERSECT SELECT c_nationkey FROM customer) UNION ALL SELECT 'only_customers', count(*) FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'all', count(*) FROM (SELECT s_nationkey FROM supplier UNION ALL SELECT c_nationkey FROM customer) UNION ALL SELECT 'either', count(*) FROM (SELECT s_nationkey FROM supplier UNION SELECT c_nationkey FROM customer)")
@@ -563,7 +600,7 @@ def map_verify_reduce(spark, sf_dir):
     """M04 to M08, J09, A13, T31 to T33 around a stub client."""
     kb = kn.keyed_kb(kn.with_row_id(t(spark, sf_dir, "supplier").withColumnRenamed("s_name", "Company"), ["s_suppkey"])).withColumn("line", F.to_json(F.struct("row_id", "Company")))
     questions = spark.createDataFrame([("2", "a"), ("3", "b"), ("5", "c"), ("7", "d")], "q_id string, question string")
-    run = inference.map_verify_reduce(questions, kb, stub_client, lambda df, _: df.cache(), size=40)
+    run = inference.map_verify_reduce(questions, kb, stub_client, lambda df, _: stored(df), size=40)
     picked = inference.selection(run, kb)
     out = run.select("q_id", F.size("candidate_ids").cast("bigint").alias("candidates"), F.size("verified_ids").cast("bigint").alias("verified"), F.size("removed_ids").cast("bigint").alias("removed"), tx.extract_count(F.col("reduce_answer")).cast("bigint").alias("stated"))
     return out.join(picked.select("q_id", "selection_rate"), "q_id")
@@ -596,8 +633,9 @@ def direct_prompts(spark, sf_dir):
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def resume_antijoin(spark, sf_dir):
     """J11."""
-    done = t(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return t(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").join(done, "o_custkey", "left_anti").select("o_orderkey")
+    done = t(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.lit("x").alias("arm"), F.lit("m").alias("model_name"), F.col("c_custkey").alias("question_number"))
+    answers = t(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.lit("x").alias("arm"), F.lit("m").alias("model_name"), F.col("o_custkey").alias("question_number"), "o_orderkey")
+    return an.still_to_do(answers, done).select("o_orderkey")
 
 
 @query("SELECT event_id FROM events WHERE user_id IN (SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 5)")
@@ -625,7 +663,19 @@ def judge_means(spark, sf_dir):
     return s.select("arm", "model_name", "answers_judged", F.round("mean_judge", 6).alias("mean_judge"), "partial_error_answers")
 
 
-@query()
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def stream_windows(spark, sf_dir):
     """An extension: the streaming aggregation over the event log, run as a batch."""
-    return streaming.windowed(t(spark, sf_dir, "events")).select("window.start", "event_type", "n", "mean_value")
+    return streaming.windowed(t(spark, sf_dir, "events")).select("window.start", "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+
+
+@query(f"WITH {KB} SELECT s_suppkey, ['known_kb_company', 'misspelled_kb_company', 'true_out_of_kb_hallucination', 'industry_group_false_positive', 'product_service_false_positive', 'kb_supported_non_company_field', 'not_a_company_phrase'][CAST(s_suppkey % 7 AS INT) + 1] AS classification, CASE WHEN s_suppkey % 7 < 2 THEN company END AS matched FROM kb")
+def mention_classes(spark, sf_dir):
+    """Every class of the cascade, a mention a supplier."""
+    kb = synth.knowledge(spark, sf_dir)
+    named = F.expr("CASE s_suppkey % 7 WHEN 0 THEN Company WHEN 1 THEN concat(substr(Company, 1, 9), 'x', substr(Company, 10)) WHEN 2 THEN concat('Zyq', translate(cast(s_suppkey as string), '0123456789', 'bcdfghjklm'), ' Wortex Brumvald') "
+                   "WHEN 3 THEN `Industry Group` WHEN 4 THEN `Product / Service` WHEN 5 THEN `Primary Facility Type` ELSE 'various suppliers' END")
+    said = kb.select("s_suppkey", F.concat(F.lit("Evidence:\n| row_id | Company |\n| 1 | "), named, F.lit(" |")).alias("response"))
+    plain = kb.drop("s_suppkey", "s_nationkey", "county")
+    rows = me.classify(me.mentions(said, ["s_suppkey"]), ["s_suppkey"], plain, en.alias_table(plain))
+    return rows.select("s_suppkey", "classification", F.when(F.col("classification").isin("known_kb_company", "misspelled_kb_company"), F.col("matched_kb_company")).alias("matched"))

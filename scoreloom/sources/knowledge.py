@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, natural_key, normalize_bool, number_text
+from .stored import stored
 
+# The columns of a knowledge table.
 KB_FIELDS = (
     "Company", "Category", "Industry Group", "Location", "Address", "Latitude", "Longitude", "Primary Facility Type", "EV Supply Chain Role",
     "Primary OEMs", "Supplier or Affiliation Type", "Employment", "Product / Service", "EV / Battery Relevant", "Classification Method",
@@ -17,14 +19,17 @@ KB_FIELDS = (
 def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
     """Rows that aren't wholly null, numbered from 1 in the order of `order`.
 
-    Numbers are dealt by range partitions, so that no task sees all rows: a count by partition, then an offset."""
+    Numbers are dealt by range partitions, so that no task sees all rows: a count by partition, then an offset. The
+    partitions are written first: counts and numbers are taken of the same rows, whatever is planned or run again.
+    Numbers are ints, or longs where an int doesn't hold them all."""
     rows = df.na.drop(how="all")
-    ordered = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    ordered = stored(rows.repartitionByRange(*[F.col(f"`{c}`") for c in order]).withColumn("__part", F.spark_partition_id()))
     counts = ordered.groupBy("__part").count()
+    kind = "int" if (counts.agg(F.sum("count")).first()[0] or 0) < 2**31 else "bigint"
     offsets = counts.select("__part", (F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))).alias("__before"))
     numbered = ordered.withColumn("__n", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
     joined = numbered.join(F.broadcast(offsets), "__part")  # a row a partition
-    return joined.withColumn(name, (F.coalesce("__before", F.lit(0)) + F.col("__n")).cast("int")).drop("__part", "__before", "__n")
+    return joined.withColumn(name, (F.coalesce("__before", F.lit(0)) + F.col("__n")).cast(kind)).drop("__part", "__before", "__n")
 
 
 def trimmed_names(df: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """Operators and plans on literal rows: the semantics that the queries' SQL doesn't reach."""
 
 import json
+import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.functions import text as tx
-from scoreloom.operators import entities, mentions, scoring
+from scoreloom.operators import entities, gold, mentions, scoring
 from scoreloom.plans import evaluation, inference, judge
 from scoreloom.sources import answers as sources
 from scoreloom.sources import knowledge
@@ -56,6 +58,62 @@ def test_mention_cascade(spark, kb):
     assert counts == {1: 2, 2: 0, 3: 2}
 
 
+def test_nearest_finds_what_all_pairs_find(spark):
+    """Every best name above the threshold, ties by the table's order, against the plain ratio of all pairs."""
+    rand = random.Random(1)
+    names = ["".join(rand.choices("abcde ", k=rand.randint(4, 24))).strip() or "abcd" for _ in range(150)]
+    names += [n[:3] + "x" + n[3:] for n in names[:30]]
+    asked = []
+    for n in names[:90]:
+        k = rand.randrange(len(n))
+        asked += [n[:k] + rand.choice("abz") + n[k:], n[:k] + n[k + 1 :], n[1:] + n[:1]]
+    asked = sorted({a for a in asked if len(a) >= 5})
+    df = spark.createDataFrame([(f"N{i}", i, n) for i, n in enumerate(names)], "Company string, kb_ord int, kb_key string")
+    keys = spark.createDataFrame([(a,) for a in asked], "cand_key string")
+    want, whole = {}, {}
+    for a in asked:
+        scores = [SequenceMatcher(None, a, n).ratio() for n in names]
+        best = max(scores)
+        whole[a] = (f"N{scores.index(best)}", best)
+        if best >= tx.FUZZY_THRESHOLD:
+            want[a] = whole[a]
+    assert len(want) > 60
+    assert {r.cand_key: (r.near, r.score) for r in mentions.nearest(keys, df).collect()} == want
+    assert {r.cand_key: (r.near, r.score) for r in mentions.nearest_of_all(keys, df).collect()} == {a: v for a, v in whole.items() if v[1] > 0}
+
+
+def test_parts_of_aliases(spark):
+    rand = random.Random(2)
+    aliases = ["".join(rand.choices("abc ", k=rand.randint(2, 12))) for _ in range(80)]
+    short = ["".join(rand.choices("abc", k=rand.randint(4, 6))) for _ in range(200)]
+    got = gold.part_of_any(spark.createDataFrame(list(enumerate(short)), "k int, s string"), "k", "s", spark.createDataFrame([(a,) for a in aliases], "alias string"), "alias")
+    assert {r.k for r in got.collect()} == {k for k, s in enumerate(short) if any(s in a for a in aliases)}
+
+
+def test_equal_answers_and_answers_without_a_model(spark, kb):
+    said = "Answer: Acme Auto Parts Inc and Zyx Quark Group.\nEvidence:\n| row_id | Company |\n| 1 | Acme Auto Parts Inc |\n| 77 | Zyx Quark Group |\nCount: 2\nSupporting row_ids: 1, 77, 1\nNotes: 1956"
+    rows = [("direct", "m", 1, said, "ok"), ("direct", "m", 1, said, "ok"), ("direct", None, 1, said, "ok"), (None, "m", 1, None, "error"), ("direct", "m", 9, said, "ok")]
+    answers = spark.createDataFrame(rows, "arm string, model_name string, question_number int, response string, status string")
+    g = spark.createDataFrame([(1, "Which suppliers are tier 1?", ["Acme Auto Parts Inc"], ["North County"], 1, ["1956", "77", "8"])], "question_number int, question string, gold_companies array<string>, gold_counties array<string>, gold_count int, gold_numbers array<string>")
+    scores = evaluation.scored_answers(answers, g, kb)
+    got = scores.collect()
+    assert len(got) == 4 and len({r.answer_id for r in got}) == 4
+    for r in (r for r in got if r.arm):
+        assert (r.row_id_company_checked, r.row_id_bad_count, r.evidence_company_mentions, r.mention_known_kb_company_count, r.mention_true_hallucination_count) == (2, 1, 2, 1, 1)
+        assert (r.numeric_recall, r.supporting_row_ids, r.bad_supporting_row_ids, r.duplicate_supporting_row_id_count, r.count_error) == (0.6667, "[1,77,1]", "[77]", 1, 1)
+        assert r.company_f1 == 1.0 and r.county_f1 == 0.0 and json.loads(r.legacy_unknown_company_mentions) == ["Zyx Quark Group"] and r.has_notes_section and r.gold_county_count == 1
+    failed = next(r for r in got if r.arm is None)
+    assert not failed.answered and failed.entity_f1 == 0.0 and failed.mention_known_kb_company_count == 0 and failed.legacy_unknown_company_mention_count == 0
+    summary = {(r.arm, r.model_name): r.questions for r in evaluation.model_summary(scores).collect()}
+    assert summary == {("direct", "m"): 2, ("direct", None): 1, (None, "m"): 1}
+
+
+def test_a_table_without_other_fields(spark):
+    bare = spark.createDataFrame([(1, "Acme Auto Parts Inc")], "row_id int, Company string")
+    a = spark.createDataFrame([(1, "Evidence:\n| row_id | Company |\n| 1 | Acme Auto Parts Inc |")], "k int, response string")
+    assert mentions.classify(mentions.mentions(a, ["k"]), ["k"], bare, entities.alias_table(bare)).first().classification == "known_kb_company"
+
+
 def test_row_ids(spark, kb):
     rows = "| 1 | Acme Auto Parts |\n| 2 | Acme Auto Parts Inc |\n| 3 | Hollins and Vos |\n| 9999 | X |\n| n | Y |"
     a = spark.createDataFrame([(1, f"Evidence:\n| id | Company |\n{rows}")], "k int, response string")

@@ -20,7 +20,7 @@ def apply(spark, function, values, kind="string"):
 
 def test_norm(spark):
     assert apply(spark, tx.norm, ["A&B, Inc.", None, "  x\t y ", "Café Ltd"]) == ["a and b inc", "", "x y", "caf ltd"]
-    assert apply(spark, lambda c: tx.norm(tx.nfkc(c)), ["Ｌtd ﬁne", None]) == ["ltd fine", ""]
+    assert apply(spark, tx.norm, ["Ｌtd ﬁne ½", None, "Ä①"]) == ["ltd fine 1 2", "", "1"]
     assert apply(spark, tx.norm_company, ["Foo Group USA Inc", "Holdings"]) == ["foo", ""]
     assert apply(spark, tx.canonical_key, ["Foo Group USA Inc", "Bar GmbH"]) == ["foo group usa", "bar"]
 
