@@ -467,8 +467,8 @@ def model_summary(spark, sf_dir):
 @query(f"""WITH {_SCORED}, g AS (SELECT arm, model_name, count(*) AS questions, count(*) FILTER (WHERE NOT failed) AS answered, count(*) FILTER (WHERE NOT failed) / count(*) AS reliability, avg(f1) AS f1, count(hit) AS counted, avg(hit) AS hits,
   avg(CASE WHEN failed THEN 0.0 ELSE 1.0 END) AS fmt, avg(made_up) AS made, avg(CASE WHEN wrong + made_up > 0 THEN 1.0 ELSE 0.0 END) AS legacy, sum((question_number + 1) * 0.5 + m) AS seconds, min(1000 + question_number * 3 + m) AS lo,
   median(1000 + question_number * 3 + m) AS mid, max(1000 + question_number * 3 + m) AS hi FROM s GROUP BY 1, 2)
-SELECT arm, model_name, questions, answered, round(reliability, 3) AS reliability, round(f1, 3) AS mean_entity_f1, counted AS count_questions_scored, round(hits, 3) AS count_accuracy_rate, round(fmt, 3) AS format_core_ok_rate,
-  round(made, 3) AS true_hallucination_rate, round(legacy, 3) AS legacy_unknown_rate, seconds AS total_runtime_seconds, lo AS prompt_eval_min, mid AS prompt_eval_median, hi AS prompt_eval_max,
+SELECT arm, model_name, questions, answered, round_even(reliability, 4) AS reliability, round_even(f1, 4) AS mean_entity_f1, counted AS count_questions_scored, round_even(hits, 4) AS count_accuracy_rate, round_even(fmt, 4) AS format_core_ok_rate,
+  round_even(made, 4) AS true_hallucination_rate, round_even(legacy, 4) AS legacy_unknown_rate, seconds AS total_runtime_seconds, lo AS prompt_eval_min, mid AS prompt_eval_median, hi AS prompt_eval_max,
   abs(round(0.45 * f1 + 0.20 * coalesce(hits, 0) + 0.10 * (1 - made) + 0.05 * fmt + 0.05 * reliability, 4)) > 0 AS scored, round(0.10 * (legacy - made), 2) AS legacy_gap FROM g""")
 def evaluation_report(spark, sf_dir):
     """The model summary with composite, legacy composite and rank.
@@ -476,9 +476,9 @@ def evaluation_report(spark, sf_dir):
     Shares of checked fields have no SQL here: the composite is held against SQL in composite_and_rank, and here by the
     gap between it and the legacy one, which only the rates of made-up names make."""
     r = evaluation.model_summary(_scored(spark, sf_dir))
-    three = ["reliability", "mean_entity_f1", "count_accuracy_rate", "format_core_ok_rate", "true_hallucination_rate", "legacy_unknown_rate"]
+    rates = ["reliability", "mean_entity_f1", "count_accuracy_rate", "format_core_ok_rate", "true_hallucination_rate", "legacy_unknown_rate"]
     return r.select(
-        "arm", "model_name", "questions", "answered", "count_questions_scored", *[F.round(c, 3).alias(c) for c in three], "total_runtime_seconds", "prompt_eval_min", "prompt_eval_median", "prompt_eval_max",
+        "arm", "model_name", "questions", "answered", "count_questions_scored", *rates, "total_runtime_seconds", "prompt_eval_min", "prompt_eval_median", "prompt_eval_max",
         (F.col("research_score") > 0).alias("scored"), F.round(F.col("research_score") - F.col("research_score_legacy"), 2).alias("legacy_gap"),
     )
 
