@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-METRICS = ("correctness", "completeness", "grounding", "relevance", "format", "clarity")
+# The rubric's metrics and the columns that a judge sees.
+METRICS = ("factual_faithfulness", "completeness", "correctness", "evidence_grounding", "company_grounding", "usefulness")
 REASON_LENGTH = 600
-#: Columns of the knowledge table that a judge sees.
 CONTEXT_FIELDS = ("row_id", "Company", "Category", "Industry Group", "Location", "Primary Facility Type", "EV Supply Chain Role", "Primary OEMs", "Supplier or Affiliation Type", "Employment", "Product / Service", "EV / Battery Relevant")
 
 

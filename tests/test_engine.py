@@ -202,12 +202,12 @@ def test_judge(spark, kb):
     assert got == {1: (2, "supporting+gold", True, [1, 3]), 2: (0, "none", False, []), 3: (1, "gold_companies", False, [2])}
 
     def rubric(metric, case):
-        if metric == "clarity" and case["k"] == 1:
+        if metric == "usefulness" and case["k"] == 1:
             raise RuntimeError("no")
         return (1.0 if case["response"] == "(empty answer)" else 0.5), "r" * 900
 
     rows = {r.k: r for r in judge.judged(spark.createDataFrame([(1, ""), (2, "x")], "k int, response string"), rubric).collect()}
-    assert rows[1].status == "partial_error" and rows[1].judge_mean == 1.0 and rows[2].judge_mean == 0.5 and len(rows[2].format_reason) == 600
+    assert rows[1].status == "partial_error" and rows[1].judge_mean == 1.0 and rows[2].judge_mean == 0.5 and len(rows[2].completeness_reason) == 600
 
 
 def test_sources_and_sinks(spark, kb, tmp_path):
