@@ -12,7 +12,7 @@ from .operators import entities as en
 from .operators import gold as go
 from .operators import mentions as me
 from .operators import scoring as sc
-from .plans import evaluation, inference, judge, synth
+from .plans import direct, evaluation, inference, judge, synth
 from .sources import answers as an
 from .sources import knowledge as kn
 from .sources.stored import stored
@@ -630,6 +630,48 @@ def direct_prompts(spark, sf_dir):
     return p.select("model_name", "question_number", F.col("approx_tokens").cast("bigint").alias("approx_tokens"), "question_hash")
 
 
+def stub_model(record: dict) -> dict:
+    """Answers with the question's number; fails on every seventh question of m2 and on all of m3."""
+    n = record["question_number"]
+    if record["model_name"] == "m3" or (record["model_name"] == "m2" and n % 7 == 0):
+        raise TimeoutError("no reply")
+    return {"answer": f" Answer: {n} \n", "native_thinking": "so" if record["model_name"] == "m2" else "", "prompt_eval_count": len(record["prompt"]) // 4 + n % 3, "eval_count": n}
+
+
+_DIRECT = """kb AS (SELECT string_agg('{"row_id":' || CAST(s_suppkey + 1 AS VARCHAR) || ',"Company":"' || s_name || '"}', chr(10) ORDER BY s_suppkey) AS body FROM supplier),
+q AS (SELECT CAST(n_nationkey AS INT) AS question_number, 'Who is in ' || n_name AS question FROM nation),
+p AS (SELECT m AS model_name, question_number, question, 'Rules' || chr(10) || chr(10) || body || chr(10) || chr(10) || 'Question: ' || question AS prompt, m = 'm3' OR (m = 'm2' AND question_number % 7 = 0) AS bad FROM q, kb, (SELECT unnest(['m1', 'm2', 'm3']) AS m))"""
+
+
+def _direct(spark, sf_dir):
+    lines = t(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1).alias("row_id"), F.col("s_name").alias("Company")).withColumn("line", F.to_json(F.struct("row_id", "Company")))
+    q = t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("question_number"), F.concat(F.lit("Who is in "), "n_name").alias("question"))
+    return direct.direct_run(q, lines, "Rules", ["m1", "m2", "m3"], stub_model, lambda df, _: stored(df))
+
+
+@query(f"""WITH {_DIRECT} SELECT model_name, question_number, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, CASE WHEN bad THEN '' ELSE 'Answer: ' || question_number END AS model_response,
+  CASE WHEN bad THEN 'TimeoutError: no reply' ELSE '' END AS error_message, sha256(prompt) AS prompt_hash, sha256(question) AS question_hash, CASE WHEN bad THEN 0 ELSE length('Answer: ' || question_number) END AS response_char_count,
+  CASE WHEN bad THEN -1 ELSE length(prompt) // 4 + question_number % 3 END AS prompt_eval_count, CASE WHEN bad OR model_name <> 'm2' THEN '' ELSE 'so' END AS native_thinking FROM p""")
+def direct_run(spark, sf_dir):
+    """Asked, timed, hashed and stored; failures are rows."""
+    rows = _direct(spark, sf_dir).na.fill(-1, ["prompt_eval_count"])
+    return rows.select("model_name", "question_number", "status", "model_response", "error_message", "prompt_hash", "question_hash", "response_char_count", "prompt_eval_count", "native_thinking")
+
+
+@query(f"""WITH {_DIRECT}, a AS (SELECT *, length(prompt) // 4 + question_number % 3 AS n FROM p),
+f AS (SELECT length(prompt) // 4 AS sent FROM p ORDER BY question_number LIMIT 1),
+g AS (SELECT model_name, count(*) AS total_questions, count(*) FILTER (WHERE NOT bad) AS completed_answers, count(*) FILTER (WHERE bad) AS error_count, min(n) FILTER (WHERE NOT bad) AS lo, median(n) FILTER (WHERE NOT bad) AS mid, max(n) FILTER (WHERE NOT bad) AS hi FROM a GROUP BY 1
+  UNION ALL SELECT 'm4', (SELECT count(*) FROM nation), 0, (SELECT count(*) FROM nation), NULL, NULL, NULL)
+SELECT model_name, model_name AS safe_model_name, total_questions, completed_answers, error_count, coalesce(lo, -1) AS prompt_eval_count_min, coalesce(CAST(floor(mid) AS INT), -1) AS prompt_eval_count_median, coalesce(hi, -1) AS prompt_eval_count_max,
+  CASE WHEN mid IS NULL THEN 'failed' WHEN mid < 0.85 * sent THEN 'truncated_context' ELSE 'valid_full_context' END AS context_status,
+  CASE WHEN completed_answers = 0 THEN 'failed' WHEN error_count > 0 AND error_count >= greatest(1, total_questions // 3) THEN 'runtime_unstable' WHEN error_count > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM g, f""")
+def direct_run_summary(spark, sf_dir):
+    """K03's run_summary of a direct run, with a model that gave no row at all."""
+    models = spark.createDataFrame([("m1",), ("m2",), ("m3",), ("m4",)], "model_name string")
+    out = direct.direct_summary(_direct(spark, sf_dir), models).na.fill(-1, ["prompt_eval_count_min", "prompt_eval_count_median", "prompt_eval_count_max"])
+    return out.drop("num_ctx_requested", "total_runtime_seconds", "average_runtime_seconds", "notes")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def resume_antijoin(spark, sf_dir):
     """J11."""
