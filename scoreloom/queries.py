@@ -11,6 +11,7 @@ from .functions import text as tx
 from .operators import entities as en
 from .operators import gold as go
 from .operators import mentions as me
+from .operators import nearness as nn
 from .operators import scoring as sc
 from .plans import direct, evaluation, inference, judge, synth
 from .sources import answers as an
@@ -245,14 +246,17 @@ def entity_extraction(spark, sf_dir):
     return found.select(*evaluation.KEYS, F.size("companies").cast("bigint").alias("n_companies"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(""" + sql_norm("text") + """, ' '), lambda x: x <> '') AS ws FROM documents),
-g AS (SELECT doc_id, unnest(range(1, len(ws))) AS i, ws FROM w WHERE len(ws) > 1), n AS (SELECT doc_id, ws[i] || ' ' || ws[i + 1] AS alias FROM g),
-a AS (SELECT DISTINCT substr(x, 1, strpos(x, ' ') - 1) || ' ' || split_part(x, ' ', 2) AS alias FROM (SELECT """ + sql_norm("text") + """ AS x FROM benchmark))
-SELECT doc_id, count(*) AS hits FROM n JOIN a USING (alias) GROUP BY doc_id""")
+def _sql_triples(table: str, key: str) -> str:
+    words = f"SELECT {key}, list_filter(regexp_split_to_array({sql_norm('text')}, ' '), lambda x: x <> '') AS ws FROM {table}"
+    return f"SELECT {key}, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS alias FROM (SELECT {key}, unnest(range(1, len(ws) - 1)) AS i, ws FROM ({words}) WHERE len(ws) > 2)"
+
+
+@query(f"SELECT doc_id, count(*) AS hits FROM ({_sql_triples('documents', 'doc_id')}) n JOIN (SELECT DISTINCT alias FROM ({_sql_triples('benchmark', 'item_id')})) a USING (alias) GROUP BY doc_id")
 def phrases_in_documents(spark, sf_dir):
-    """J05 at corpus size: occurrences of the benchmark passages' first two words in all whole documents."""
-    start = F.slice(F.split(tx.norm(F.col("text")), " "), 1, 2)
-    phrases = t(spark, sf_dir, "benchmark").select(F.array_join(start, " ").alias("alias")).distinct()
+    """J05 at corpus size: occurrences in all whole documents of every three words in a row of the benchmark passages."""
+    words = t(spark, sf_dir, "benchmark").select(F.split(tx.norm(F.col("text")), " ").alias("w")).filter(F.size("w") > 2)
+    triples = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
+    phrases = words.select(F.explode(triples).alias("alias")).distinct()
     return en.occurrences(t(spark, sf_dir, "documents"), ["doc_id"], "text", phrases).groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
@@ -282,13 +286,15 @@ def mention_classification(spark, sf_dir):
     return counts.select(*evaluation.KEYS, F.col("n_known_kb_company").alias("known"), F.col("n_misspelled_kb_company").alias("misspelled"), F.col("n_true_out_of_kb_hallucination").alias("made_up"))
 
 
-@query(f"WITH {KB}, c AS (SELECT row_id, substr(company, 1, 9) || 'x' || substr(company, 10) AS claim FROM kb) SELECT c.row_id, k.company AS near, levenshtein(c.claim, k.company) AS distance FROM c JOIN kb k ON k.row_id = c.row_id")
+_CLAIM = "CASE row_id % 4 WHEN 0 THEN substr({c}, 2) WHEN 1 THEN 'x' || {c} || 'x' WHEN 2 THEN substr({c}, 1, 9) || 'x' || substr({c}, 10) ELSE replace({c}, 'Firm', 'Frim') END"
+
+
+@query(f"WITH {KB}, c AS (SELECT row_id, {_CLAIM.format(c='company')} AS claim FROM kb) SELECT c.row_id, arg_min(k.company, (levenshtein(c.claim, k.company), k.company)) AS near, min(levenshtein(c.claim, k.company)) AS distance, count(*) AS names FROM c JOIN kb k ON levenshtein(c.claim, k.company) <= 2 GROUP BY 1")
 def near_spelling_by_distance(spark, sf_dir):
-    """T20's twin by edit distance: blocked on the first nine characters, one insertion away."""
+    """T20's twin by edit distance: all names at most two edits away, wherever the edits are."""
     kb = synth.knowledge(spark, sf_dir)
-    claims = kb.select("row_id", F.expr("concat(substr(Company, 1, 9), 'x', substr(Company, 10))").alias("claim"))
-    near = claims.join(kb.select("Company", F.left("Company", F.lit(9)).alias("b")), F.left("claim", F.lit(9)) == F.col("b")).withColumn("distance", F.levenshtein("claim", "Company")).filter("distance <= 2")
-    return near.groupBy("row_id").agg(F.min_by("Company", F.struct("distance", "Company")).alias("near"), F.min("distance").alias("distance"))
+    near = nn.within_edits(kb.select("row_id", F.expr(_CLAIM.format(c="Company")).alias("claim")), "row_id", "claim", kb, "Company")
+    return near.groupBy("row_id").agg(F.min_by("Company", F.struct("distance", "Company")).alias("near"), F.min("distance").alias("distance"), F.count("*").alias("names"))
 
 
 @query(f"""WITH {KB}, q AS (SELECT s_nationkey, county, count(*) AS n, min(company) AS one FROM kb GROUP BY 1, 2)
@@ -415,18 +421,8 @@ def cited_ids(spark, sf_dir):
 def leakage_guard(spark, sf_dir):
     """Documents that hold a whole benchmark passage.
 
-    A passage's second to sixth word (hashed, over all documents' runs of five words, an equality join) lead to it;
-    contains() verifies. Passages of under seven words have no such run for certain: they are looked for in every text."""
-    whole = t(spark, sf_dir, "benchmark")
-    short = whole.filter(F.size(F.split("text", " ")) < 7).select("item_id", F.col("text").alias("passage"))
-    b = whole.filter(F.size(F.split("text", " ")) >= 7).select("item_id", F.col("text").alias("passage")).withColumn("w", F.transform(F.split("passage", " "), lambda x: F.xxhash64(x)))
-    b = b.withColumn("key", F.xxhash64(*[F.get("w", F.lit(k)) for k in range(1, 6)])).drop("w")
-    d = t(spark, sf_dir, "documents").select("doc_id", "text")
-    hashes = F.transform(F.split("text", " "), lambda x: F.xxhash64(x))
-    runs = tx.let(hashes, lambda w: F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*[w[i + k] for k in range(5)]))))
-    hits = d.select("doc_id", F.explode(F.array_distinct(runs)).alias("key")).join(b.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
-    found = hits.join(d, "doc_id").join(b.select("item_id", "passage"), "item_id").filter(F.contains("text", "passage"))
-    found = found.select("doc_id", "item_id").unionByName(d.join(F.broadcast(short), F.contains("text", "passage")).select("doc_id", "item_id"))
+    Words inside a passage lead to it by an equality join; contains() verifies."""
+    found = nn.passages_in(t(spark, sf_dir, "documents"), "doc_id", "text", t(spark, sf_dir, "benchmark"), "item_id", "text")
     return found.groupBy("doc_id").agg(F.min("item_id").alias("first_item"), F.count("*").alias("passages"))
 
 
