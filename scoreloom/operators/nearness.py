@@ -11,9 +11,17 @@ from ..functions.text import let
 RUN, HEAD = 5, 16
 
 
-def _runs(items: Column, n: int, get) -> Column:
-    """Hashes of all runs of n items; none for shorter arrays."""
-    return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(0), F.size(items) - n), lambda i: F.xxhash64(F.lit(n), *[get(items, i + k) for k in range(n)])))
+def _word_hashes(c: Column) -> Column:
+    return F.transform(F.split(c, " ", -1), lambda w: F.xxhash64(w))
+
+
+def _runs(text: Column, n: int) -> Column:
+    """Hashes of all runs of n words, each word hashed once; none for shorter texts."""
+
+    def each(words: Column) -> Column:
+        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(F.lit(n), *[words[i + k] for k in range(n)])))
+
+    return let(_word_hashes(text), each)
 
 
 def _windows(text: Column, n: int) -> Column:
@@ -28,15 +36,14 @@ def passages_in(texts: DataFrame, key: str, text: str, passages: DataFrame, item
     as many words, up to RUN; passages of one or two words meet windows of their first HEAD characters. Only the
     numbers of words and characters that passages have are looked for: RUN and HEAD kinds at most. contains() decides.
     Keys that repeat are told apart by their text."""
-    words = F.split("__passage", " ", -1)
     asked = passages.select(F.col(item).alias("__item"), F.col(passage).alias("__passage")).filter("__passage <> ''")
-    inside = F.least(F.size(words) - 2, F.lit(RUN))
+    inside = F.least(F.size(F.split("__passage", " ", -1)) - 2, F.lit(RUN))
     asked = asked.withColumn("__n", F.when(inside > 0, inside).otherwise(-F.least(F.length("__passage"), F.lit(HEAD))))
     kinds = sorted(r[0] for r in asked.select("__n").distinct().collect())
-    leads = [F.when(F.col("__n") == n, F.xxhash64(F.lit(n), *[F.get(words, F.lit(1 + k)) for k in range(n)]) if n > 0 else F.xxhash64(F.lit(n), F.left("__passage", F.lit(-n)))) for n in kinds]
+    leads = [F.when(F.col("__n") == n, F.xxhash64(F.lit(n), *[F.get(_word_hashes(F.col("__passage")), F.lit(1 + k)) for k in range(n)]) if n > 0 else F.xxhash64(F.lit(n), F.left("__passage", F.lit(-n)))) for n in kinds]
     asked = asked.withColumn("__lead", F.coalesce(*leads, F.lit(None).cast("bigint")))
     none = F.array().cast("array<bigint>")
-    made = [F.coalesce(_runs(F.split(text, " ", -1), n, lambda w, i: w[i]) if n > 0 else _windows(F.col(text), -n), none) for n in kinds]
+    made = [F.coalesce(_runs(F.col(text), n) if n > 0 else _windows(F.col(text), -n), none) for n in kinds]
     leads_of = F.explode(F.array_distinct(F.flatten(F.array(*made)) if made else none)).alias("__lead")
     rows = texts.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.xxhash64(text).alias("__of"))
     met = texts.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__of"), leads_of)

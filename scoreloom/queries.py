@@ -254,9 +254,8 @@ def _sql_triples(table: str, key: str) -> str:
 @query(f"SELECT doc_id, count(*) AS hits FROM ({_sql_triples('documents', 'doc_id')}) n JOIN (SELECT DISTINCT alias FROM ({_sql_triples('benchmark', 'item_id')})) a USING (alias) GROUP BY doc_id")
 def phrases_in_documents(spark, sf_dir):
     """J05 at corpus size: occurrences in all whole documents of every three words in a row of the benchmark passages."""
-    words = t(spark, sf_dir, "benchmark").select(F.split(tx.norm(F.col("text")), " ").alias("w")).filter(F.size("w") > 2)
-    triples = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    phrases = words.select(F.explode(triples).alias("alias")).distinct()
+    triples = tx.let(F.split(tx.norm(F.col("text")), " "), lambda w: F.when(F.size(w) > 2, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " "))))
+    phrases = t(spark, sf_dir, "benchmark").select(F.explode(triples).alias("alias")).distinct()
     return en.occurrences(t(spark, sf_dir, "documents"), ["doc_id"], "text", phrases).groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
