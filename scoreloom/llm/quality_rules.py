@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, let
 
 SYMBOLS = "#*$%&|<>"
+#: What SPACE matches, one by one.
+WHITE = " \t\n\x0b\f\r"
 WINDOW = 8
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -94,22 +96,23 @@ def _repeat_words(words: Column) -> Column:
 def verdict(text: Column, rules=RULES) -> Column:
     """A struct of counts, base_failed, kept and failed_rules (names joined by a comma), in one native expression."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    words = F.filter(F.split(text, SPACE), lambda x: x != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
+    words = F.array_remove(F.split(text, SPACE), "")
+    trimmed = lambda x: F.btrim(x, F.lit(WHITE))
+    # Each line with a word, and the same without white space around it: trimmed once.
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("raw"), trimmed(x).alias("bare"))), lambda x: x["bare"] != "")
     long = lambda c, name: c.cast("long").alias(name)
 
     def counts(t: Column, w: Column, ln: Column) -> Column:
-        trimmed = lambda x: F.regexp_replace(x, rf"^{SPACE}|{SPACE}$", "")
         return F.struct(
             F.lit(1).cast("long").alias("one"),
             long(F.size(w), "n_words"),
-            long(F.length(F.regexp_replace(t, SPACE, "")), "word_chars"),
-            long(F.length(t) - F.length(F.translate(t, SYMBOLS, "")), "n_symbols"),
+            long(F.length(F.array_join(w, "")), "word_chars"),
+            long(F.regexp_count(t, F.lit(f"[{SYMBOLS}]")), "n_symbols"),
             long(F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))), "n_stop_words"),
             long(F.size(ln), "n_lines"),
-            long(F.size(ln) - F.size(F.array_distinct(ln)), "n_dup_lines"),
-            long(F.size(F.filter(ln, lambda x: F.left(trimmed(x), F.lit(1)).isin(*BULLETS))), "n_bullet_lines"),
-            long(F.size(F.filter(ln, lambda x: trimmed(x).endswith("...") | trimmed(x).endswith("…"))), "n_ellipsis_lines"),
+            long(F.size(ln) - F.size(F.array_distinct(ln["raw"])), "n_dup_lines"),
+            long(F.size(F.filter(ln["bare"], lambda x: F.left(x, F.lit(1)).isin(*BULLETS))), "n_bullet_lines"),
+            long(F.size(F.filter(ln["bare"], lambda x: x.endswith("...") | x.endswith("…"))), "n_ellipsis_lines"),
             long(_repeat_words(w), "n_repeat_words"),
         )
 
@@ -132,9 +135,10 @@ def quality_rules(df: DataFrame, text_col: str = "text", rules=RULES) -> DataFra
 
     A null text counts as empty (not kept: fewer than 20 words). Result columns replace input columns of the
     same name. Rows are neither dropped nor reordered; an empty table stays empty. No shuffle, no Python."""
-    judged = df.withColumn("__judged", verdict(df[text_col], rules))
     names = [*COUNTS, "base_failed", "kept", "failed_rules"]
-    return judged.withColumns({c: F.col("__judged")[c] for c in names}).drop("__judged")
+    own = [df[f"`{c}`"] for c in df.columns if c not in names]
+    # The array of one is exploded, so that the verdict is worked out once and no name of df can clash with it.
+    return df.select(*own, F.inline(F.array(verdict(df[text_col], rules))))
 
 
 def passing(df: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
