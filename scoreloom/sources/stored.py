@@ -20,12 +20,18 @@ def folder(spark: SparkSession) -> str:
     return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="scoreloom-"))
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder; what is there goes when the driver's JVM ends."""
+    path = f"{folder(spark)}/step-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read back. Lost executors read it again; the files go when the
     driver's JVM ends."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/step-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
