@@ -45,6 +45,8 @@ def test_rules_keep_good_and_drop_junk(spark, docs, sf):
 def test_rules_on_no_rows_and_columns(odd_docs, no_docs):
     assert quality_rules.quality_rules(no_docs).count() == 0
     assert quality_rules.passing(odd_docs).columns == odd_docs.columns
+    clash = quality_rules.quality_rules(odd_docs.selectExpr("text", "7 AS `__judged`", "8 AS kept", "9 AS `a.b`")).collect()
+    assert all(r["__judged"] == 7 and r.kept in (True, False) and r["a.b"] == 9 for r in clash) and len(clash) == odd_docs.count()
     plan = quality_rules.quality_rules(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
