@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import bpe as op8
+from . import fim as op11
 from . import html_extract as op4
 from . import importance as op5
 from . import langid as op3
@@ -56,6 +59,12 @@ def op10_best_fit_packing(spark, sf_dir):
     return op10.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    out = op11.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = {"output_sha256": F.sha2(F.col("output").cast("binary"), 256), "restored_sha256": F.sha2(op11.restored(F.col("output"), F.col("form")).cast("binary"), 256)}
+    return out.withColumns(digests).drop("output")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -67,5 +76,6 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_media_columns": op9_media_columns,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
-ORACLES = {"op1_quality_rules": op1.oracle_sql()}
+ORACLES = {"op1_quality_rules": op1.oracle_sql(), "op11_fill_in_middle": op11.oracle_sql()}
