@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,6 +71,24 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def utf8_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and borders of an array of texts without nulls, as Arrow holds them."""
+    wide = pa.types.is_large_string(texts.type)
+    _, borders, data = texts.buffers()
+    if not len(texts):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(borders, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    held = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return held[at[0] : at[-1]], at - at[0]
+
+
+def utf8_array(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The array of texts that has these bytes and borders."""
+    if at[-1] < 1 << 31:
+        return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data))
+
+
 class Memo(dict):
     """make(key) of short strings, kept in two generations of at most `size` each: memory stays bounded, and what is
     used often survives when the older generation goes."""

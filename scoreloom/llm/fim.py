@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, utf8_array, utf8_buffers
 
 SEED = 7
 #: Of 100 texts, how many are rearranged, and how many of these have the suffix first.
@@ -84,21 +84,6 @@ def rearranged(data: np.ndarray, at: np.ndarray, draws: np.ndarray, rate: int =
     return n, form, ahead, inside, source[take], np.concatenate(([0], stops[5::6]))
 
 
-def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and borders of an array of texts without nulls, as Arrow holds them."""
-    wide = pa.types.is_large_string(texts.type)
-    _, borders, data = texts.buffers()
-    at = np.frombuffer(borders, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    held = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
-    return held[at[0] : at[-1]], at - at[0]
-
-
-def _texts(data: np.ndarray, at: np.ndarray) -> pa.Array:
-    if at[-1] < 1 << 31:
-        return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
-    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data))
-
-
 def fill_in_middle(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, rate: int = RATE, suffix_first: int = SUFFIX_FIRST) -> DataFrame:
     """(id_col, n, form, prefix_chars, middle_chars, output) for every row of df, other columns left out.
 
@@ -112,14 +97,14 @@ def fill_in_middle(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = _buffers(batch.column(1))
+            data, at = utf8_buffers(batch.column(1))
             drawn = np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(4)])
             row = 0
             while row < batch.num_rows:
                 stop = max(row + 1, int(np.searchsorted(at, at[row] + STEP, side="right")) - 1)
                 n, form, ahead, inside, out, borders = rearranged(data[at[row] : at[stop]], at[row : stop + 1] - at[row], drawn[:, row:stop], rate, suffix_first)
                 plain = form == 0
-                columns = [batch.column(0).slice(row, stop - row), pa.array(n), pa.array(FORMS[form]), pa.array(ahead, mask=plain), pa.array(inside, mask=plain), _texts(out, borders)]
+                columns = [batch.column(0).slice(row, stop - row), pa.array(n), pa.array(FORMS[form]), pa.array(ahead, mask=plain), pa.array(inside, mask=plain), utf8_array(out, borders)]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "form", "prefix_chars", "middle_chars", "output"])
                 row = stop
 

@@ -11,6 +11,7 @@ from . import importance as op5
 from . import langid as op3
 from . import media as op9
 from . import packing as op10
+from . import phrases as op12
 from . import quality_rules as op1
 from . import simhash as op7
 from . import toxicity as op2
@@ -65,6 +66,10 @@ def op11_fill_in_middle(spark, sf_dir):
     return out.withColumns(digests).drop("output")
 
 
+def op12_phrase_collocations(spark, sf_dir):
+    return op12.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -77,5 +82,6 @@ QUERIES = {
     "op9_media_columns": op9_media_columns,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
-ORACLES = {"op1_quality_rules": op1.oracle_sql(), "op11_fill_in_middle": op11.oracle_sql()}
+ORACLES = {"op1_quality_rules": op1.oracle_sql(), "op11_fill_in_middle": op11.oracle_sql(), "op12_phrase_collocations": op12.oracle_sql()}
