@@ -14,6 +14,7 @@ from . import packing as op10
 from . import phrases as op12
 from . import quality_rules as op1
 from . import simhash as op7
+from . import suffixes as op13
 from . import toxicity as op2
 from . import wordpiece as op6
 from .common import new_path, table
@@ -70,6 +71,11 @@ def op12_phrase_collocations(spark, sf_dir):
     return op12.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_array_dedup(spark, sf_dir):
+    out = op13.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -83,5 +89,6 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 ORACLES = {"op1_quality_rules": op1.oracle_sql(), "op11_fill_in_middle": op11.oracle_sql(), "op12_phrase_collocations": op12.oracle_sql()}
