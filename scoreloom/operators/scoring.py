@@ -10,8 +10,8 @@ from ..functions.text import half_even, match_score, norm, numbers_said, plain_v
 
 def set_scores(pred: Column, gold: Column) -> Column:
     """Struct precision, recall, f1 of two arrays as sets. Both empty: 1, 1, 1; only gold empty: 0, 1, 0; only pred
-    empty: 0, 0, 0."""
-    p, g = F.array_distinct(pred), F.array_distinct(gold)
+    empty: 0, 0, 0. A null array counts as an empty one."""
+    p, g = (F.coalesce(F.array_distinct(a), F.array()) for a in (pred, gold))
     hits = F.size(F.array_intersect(p, g)).cast("double")
     none_p, none_g = F.size(p) == 0, F.size(g) == 0
     precision = F.when(none_p & none_g, 1.0).when(none_p | none_g, 0.0).otherwise(hits / F.size(p))

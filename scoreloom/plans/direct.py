@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import capped_cell, half_even, safe_name
 from ..sources.answers import DIRECT_SCHEMA, fixed_columns, write_tables
+from .calls import Limits, answered, answered_once
 from .inference import direct_prompts, run_summary
 
 #: Gives a text, or a dict of the fields of REPLY.
@@ -47,27 +47,25 @@ def stripped(c: str) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
-def asked(prompts: DataFrame, client: Client) -> DataFrame:
-    """prompts with the reply's fields, status (ok, error), error_message and seconds; a failure is a row, and the rest goes on."""
-    names = prompts.columns
-    made = [*REPLY_FIELDS, "status", "error_message", "seconds"]
-
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for record in frame.to_dict("records"):
-                began = time.monotonic()
-                try:
-                    reply = client(record)
-                    reply = reply if isinstance(reply, dict) else {"answer": reply}
-                    end = ("ok", None)
-                except Exception as e:  # noqa: BLE001  any failure of a client is a failed row
-                    reply, end = {}, ("error", f"{type(e).__name__}: {e}")
-                rows.append((*[reply.get(f) for f in REPLY_FIELDS], *end, time.monotonic() - began))
-            yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(rows, columns=made, dtype=object)], axis=1)[[*names, *made]]
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
-    return prompts.mapInPandas(ask, f"{fields}, {REPLY}, status string, error_message string, seconds double")
+def asked(prompts: DataFrame, client: Client, limits: Limits = Limits(), ledger: str | None = None) -> DataFrame:
+    """prompts with the reply's fields, status (ok, error), error_message and seconds; a failure is a row, and the rest
+    goes on. With a ledger no prompt that has a good reply there is asked again."""
+
+    def ask(record: dict, begin: Callable[[], None]) -> dict:
+        began = time.monotonic()
+        try:
+            begin()
+            reply = client(record)
+            reply = {f: reply.get(f) for f in REPLY_FIELDS} if isinstance(reply, dict) else {"answer": reply}
+            end = {"status": "ok", "error_message": None}
+        except Exception as e:  # noqa: BLE001  any failure of a client is a failed row
+            reply, end = {}, {"status": "error", "error_message": f"{type(e).__name__}: {e}"}
+        return reply | end | {"seconds": time.monotonic() - began}
+
+    made = f"{REPLY}, status string, error_message string, seconds double"
+    if ledger:
+        return answered_once(prompts, ask, made, ledger, lambda reply: reply["status"] == "ok", limits)
+    return answered(prompts, ask, made, limits)
 
 
 def direct_run(

@@ -36,15 +36,18 @@ def with_answer_id(answers: DataFrame, keep=stored) -> DataFrame:
     return answers if "answer_id" in answers.columns else keep(answers.withColumn("answer_id", F.monotonically_increasing_id()))
 
 
-def gold_of(gold: DataFrame) -> DataFrame:
-    """Gold rows with all columns that scoring asks for; what gold_records has not made is made of the question."""
+def gold_of(gold: DataFrame, order: str = "gold_at") -> DataFrame:
+    """Gold rows with all columns that scoring asks for; what gold_records has not made is made of the question. Of
+    rows of one question number the last counts: by the column `order` if there is one, else as they are read."""
     q = F.col("question")
     made = {
         "question_type": question_type(q), "judge_recommended": judge_recommended(q), "requested_fields": requested_fields(q), "gold_numbers": F.array().cast("array<string>"),
         "use_case_category": F.lit(None).cast("string"),
     }
     full = gold.withColumns({c: v for c, v in made.items() if c not in gold.columns})
-    return full.select("question_number", "question_type", "judge_recommended", "use_case_category", "requested_fields", "gold_companies", "gold_counties", "gold_count", "gold_numbers")
+    names = ["question_type", "judge_recommended", "use_case_category", "requested_fields", "gold_companies", "gold_counties", "gold_count", "gold_numbers"]
+    at = F.col(order) if order in gold.columns else F.monotonically_increasing_id()
+    return full.select("question_number", F.struct(*names).alias("g"), at.alias("at")).groupBy("question_number").agg(F.max_by("g", "at").alias("g")).select("question_number", "g.*")
 
 
 def scored_answers(answers: DataFrame, gold: DataFrame, kb: DataFrame, keep=stored) -> DataFrame:

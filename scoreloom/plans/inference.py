@@ -6,13 +6,13 @@ a row; what it returns is written before it is read again, so that later steps o
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import approx_tokens, json_body, let, natural_sorted
+from .calls import Limits, answered, answered_once
 
 Client = Callable[[dict], str]
 CALL_SCHEMA = "output string, call_status string, attempts int, error string, seconds double"
@@ -21,29 +21,28 @@ REPLY = "matched_row_ids array<string>, relevant_record_ids array<string>, verif
 ROUND_CONTEXTS = (2048, 4096, 8192, 16384, 32768)
 
 
-def called(prompts: DataFrame, client: Client, retries: int = 0, wait: float = 0.0) -> DataFrame:
+def called(prompts: DataFrame, client: Client, retries: int = 0, wait: float = 0.0, limits: Limits = Limits(), ledger: str | None = None) -> DataFrame:
     """prompts with what the client made of each row: output, call_status (ok, error), attempts, error, seconds.
 
-    An exception is caught and tried again up to `retries` times; a row that fails stays, with a null output."""
-    names = prompts.columns
-
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = []
-            for record in frame.to_dict("records"):
-                began, error, output, attempt = time.monotonic(), None, None, 0
-                for attempt in range(1, retries + 2):
-                    try:
-                        output, error = client(record), None
-                        break
-                    except Exception as e:  # noqa: BLE001  any failure of a client is a failed row
-                        error = f"{type(e).__name__}: {e}"
-                        time.sleep(wait)
-                made.append((output, "ok" if error is None else "error", attempt, error, time.monotonic() - began))
-            yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(made, columns=["output", "call_status", "attempts", "error", "seconds"])], axis=1)[[*names, "output", "call_status", "attempts", "error", "seconds"]]
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
-    return prompts.mapInPandas(ask, f"{fields}, {CALL_SCHEMA}")
+    An exception is caught and tried again up to `retries` times; a row that fails stays, with a null output. With a
+    ledger (a folder) no prompt that has a good reply there is asked again, see answered_once."""
+
+    def ask(record: dict, begin: Callable[[], None]) -> dict:
+        began, error, output, attempt = time.monotonic(), None, None, 0
+        for attempt in range(1, retries + 2):
+            try:
+                begin()
+                output, error = client(record), None
+                break
+            except Exception as e:  # noqa: BLE001  any failure of a client is a failed row
+                error = f"{type(e).__name__}: {e}"
+                if attempt <= retries:
+                    time.sleep(wait)
+        return {"output": output, "call_status": "ok" if error is None else "error", "attempts": attempt, "error": error, "seconds": time.monotonic() - began}
+
+    if ledger:
+        return answered_once(prompts, ask, CALL_SCHEMA, ledger, lambda reply: reply["call_status"] == "ok", limits)
+    return answered(prompts, ask, CALL_SCHEMA, limits)
 
 
 def batches(kb: DataFrame, size: int, key: str = "Record_ID", order: str = "row_id", text: str = "line") -> DataFrame:

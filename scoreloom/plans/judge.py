@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+from .calls import Limits, answered, answered_once
+
 # The rubric's metrics and the columns that a judge sees.
 METRICS = ("factual_faithfulness", "completeness", "correctness", "evidence_grounding", "company_grounding", "usefulness")
 REASON_LENGTH = 600
 CONTEXT_FIELDS = ("row_id", "Company", "Category", "Industry Group", "Location", "Primary Facility Type", "EV Supply Chain Role", "Primary OEMs", "Supplier or Affiliation Type", "Employment", "Product / Service", "EV / Battery Relevant")
 
 
-def contexts(answers: DataFrame, keys: list[str], kb: DataFrame, max_rows: int = 45) -> DataFrame:
-    """(keys, context, context_rows, context_basis, context_truncated) of every answer.
+def contexts(answers: DataFrame, keys: list[str], kb: DataFrame, max_rows: int = 45, keep=stored) -> DataFrame:
+    """(keys, context, context_rows, context_basis, context_truncated), a row an answer.
 
     Rows that it cites and that exist, then rows of its gold companies; once each, in the order of row ids, at most
-    max_rows. answers: keys, cited (array of row ids), gold_companies."""
+    max_rows. answers: keys, cited (array of row ids), gold_companies. Keys may repeat or be null: answers are told
+    apart by a number of their own, written with them by keep."""
+    out_keys, keys = keys, ["__answer"]
+    answers = keep(answers.select(*out_keys, "cited", "gold_companies").withColumn("__answer", F.monotonically_increasing_id()))
     rows = kb.select("row_id", "Company", F.to_json(F.struct(*[c for c in CONTEXT_FIELDS if c in kb.columns])).alias("line"))
     cited = answers.select(*keys, F.explode("cited").alias("row_id")).join(rows.select("row_id"), "row_id").select(*keys, "row_id", F.lit(True).alias("by_cite"))
     owned = answers.select(*keys, F.explode("gold_companies").alias("Company")).join(rows.select("row_id", "Company"), "Company").select(*keys, "row_id", F.lit(False).alias("by_cite"))
@@ -28,43 +33,35 @@ def contexts(answers: DataFrame, keys: list[str], kb: DataFrame, max_rows: int =
     size = ids.groupBy(*keys).agg(F.count("*").alias("all_rows"), F.max("by_cite").alias("any_cited"))
     lines = numbered.filter(F.col("n") <= max_rows).join(rows.select("row_id", "line"), "row_id").groupBy(*keys)
     made = lines.agg(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "line"))), lambda s: s["line"]).alias("context"))
-    out = answers.select(*keys).join(size, keys, "left").join(made, keys, "left")
+    out = answers.select(*out_keys, *keys).join(size, keys, "left").join(made, keys, "left")
     basis = F.when(F.col("all_rows").isNull(), "none").when(F.col("any_cited"), "supporting+gold").otherwise("gold_companies")
     return out.select(
-        *keys, F.coalesce("context", F.array().cast("array<string>")).alias("context"), F.least(F.coalesce("all_rows", F.lit(0)), F.lit(max_rows)).alias("context_rows"),
+        *out_keys, F.coalesce("context", F.array().cast("array<string>")).alias("context"), F.least(F.coalesce("all_rows", F.lit(0)), F.lit(max_rows)).alias("context_rows"),
         basis.alias("context_basis"), (F.coalesce("all_rows", F.lit(0)) > max_rows).alias("context_truncated"),
     )
 
 
-def judged(cases: DataFrame, judge: Callable[[str, dict], tuple[float, str]], metrics: tuple[str, ...] = METRICS) -> DataFrame:
+def judged(cases: DataFrame, judge: Callable[[str, dict], tuple[float, str]], metrics: tuple[str, ...] = METRICS, limits: Limits = Limits(), ledger: str | None = None) -> DataFrame:
     """cases with a score and a reason of each metric, their mean over those that worked, and status.
 
     judge(metric, case) gives a score and a reason; where it raises, the score is null and status partial_error. An
     empty answer is judged as "(empty answer)"; reasons are cut to REASON_LENGTH characters."""
-    names = cases.columns
-    made = [*metrics, *[f"{m}_reason" for m in metrics], "status"]
-
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for case in frame.to_dict("records"):
-                case["response"] = case.get("response") or "(empty answer)"
-                scores, reasons, status = [], [], "ok"
-                for m in metrics:
-                    try:
-                        score, reason = judge(m, case)
-                        scores.append(float(score))
-                        reasons.append(str(reason)[:REASON_LENGTH])
-                    except Exception as e:  # noqa: BLE001  one metric's failure leaves the others
-                        scores.append(None)
-                        reasons.append(f"{type(e).__name__}: {e}"[:REASON_LENGTH])
-                        status = "partial_error"
-                rows.append((*scores, *reasons, status))
-            yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(rows, columns=made)], axis=1)[[*names, *made]]
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cases.schema)
-    kinds = ", ".join([*[f"{m} double" for m in metrics], *[f"{m}_reason string" for m in metrics], "status string"])
-    return cases.mapInPandas(ask, f"{fields}, {kinds}").withColumn("judge_mean", mean_of(list(metrics)))
+
+    def ask(case: dict, begin: Callable[[], None]) -> dict:
+        case["response"] = case.get("response") or "(empty answer)"
+        out: dict = {"status": "ok"}
+        for m in metrics:
+            try:
+                begin()
+                score, reason = judge(m, case)
+                out[m], out[f"{m}_reason"] = float(score), str(reason)[:REASON_LENGTH]
+            except Exception as e:  # noqa: BLE001  one metric's failure leaves the others
+                out |= {m: None, f"{m}_reason": f"{type(e).__name__}: {e}"[:REASON_LENGTH], "status": "partial_error"}
+        return out
+
+    made = ", ".join([*[f"`{m}` double" for m in metrics], *[f"`{m}_reason` string" for m in metrics], "status string"])
+    out = answered_once(cases, ask, made, ledger, lambda reply: reply["status"] == "ok", limits) if ledger else answered(cases, ask, made, limits)
+    return out.withColumn("judge_mean", mean_of(list(metrics)))
 
 
 def mean_of(columns: list[str]):

@@ -6,9 +6,10 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import functions as F
 
+from .functions import text as tx
 from .operators import mentions as me
 from .operators import scoring as sc
-from .plans import judge
+from .plans import evaluation, inference, judge
 from .queries import query, t
 from .sources import answers as an
 from .sources import knowledge as kn
@@ -98,7 +99,7 @@ def tables_as_csv(spark, sf_dir):
     path, names = new_path(spark), ["id", "name", "nowhere"]
     n = t(spark, sf_dir, "nation").select(F.array("n_name", F.lit("x")).alias("name"), F.col("n_nationkey").alias("id"), "n_regionkey")
     an.write_tables({"customers": an.fixed_columns(t(spark, sf_dir, "customer").withColumnsRenamed({"c_custkey": "id", "c_name": "name"}), names), "nations": an.fixed_columns(n, names)}, path)
-    read = lambda sheet: spark.read.option("header", True).option("escape", '\\').csv(f"{path}/{sheet}").select(F.lit(sheet).alias("sheet"), *names)
+    read = lambda sheet: spark.read.option("header", True).options(**kn.CSV).csv(f"{path}/{sheet}").select(F.lit(sheet).alias("sheet"), *names)
     return read("customers").unionByName(read("nations"))
 
 
@@ -154,3 +155,62 @@ def best_field_values(spark, sf_dir):
     said = F.when(F.col("k") % 3 == 0, "a gamma wheel!").when(F.col("k") % 3 == 1, "some DELTA").otherwise("nothing")
     a = s.select("k", "Company").distinct().select("k", F.array("Company").alias("gold_companies"), F.array(F.lit("Product / Service")).alias("requested_fields"), said.alias("response"))
     return sc.field_checks(a, ["k"], kb, ["Product / Service"]).select("k", "field_value_score", "field_value_present", "expected_values")
+
+
+@query("""SELECT row_number() OVER (ORDER BY s_suppkey) AS row_id, 'Firm ' || s_suppkey || chr(10) || ' "and" sons, ltd' AS Company, CASE WHEN s_suppkey % 3 = 0 THEN NULL WHEN s_suppkey % 3 = 1 THEN '"' ELSE 'a,b' || chr(10) || chr(10) || 'c\\"' END AS Category FROM supplier""")
+def csv_cells(spark, sf_dir):
+    """Cells with line breaks, quotes, commas and backslashes, written and read as RFC 4180 has them."""
+    k, path = F.col("s_suppkey"), new_path(spark)
+    firm = F.concat(F.lit("Firm "), k.cast("string"), F.lit('\n "and" sons, ltd'))
+    s = t(spark, sf_dir, "supplier").orderBy("s_suppkey").select(firm.alias(" Company "), F.when(k % 3 == 1, '"').when(k % 3 == 2, 'a,b\n\nc\\"').alias("Category"))
+    an.write_tables({"kb": s.coalesce(1)}, path)
+    return kn.read_kb(spark, f"{path}/kb")
+
+
+@query("""WITH last AS (SELECT s_suppkey // 3 AS k, max(s_suppkey) AS g FROM supplier GROUP BY 1)
+SELECT c_custkey, CAST(g AS INT) AS gold_count, CAST(c_custkey % 7 AS INT) AS pred_count FROM customer JOIN last ON k = c_custkey % 40""")
+def repeated_gold_numbers(spark, sf_dir):
+    """Of gold rows of one number the last counts, and each answer keeps one row."""
+    s, none = F.col("s_suppkey"), F.array().cast("array<string>")
+    gold = t(spark, sf_dir, "supplier").select(F.floor(s / 3).cast("int").alias("question_number"), F.lit("How many?").alias("question"), none.alias("gold_companies"), none.alias("gold_counties"), s.cast("int").alias("gold_count"), s.alias("gold_at"))
+    c = F.col("c_custkey")
+    answers = t(spark, sf_dir, "customer").select("c_custkey", (c % 40).cast("int").alias("question_number"), F.concat(F.lit("Count: "), (c % 7).cast("string")).alias("response"))
+    scored = answers.join(evaluation.gold_of(gold.repartition(5)), "question_number")
+    return scored.select("c_custkey", "gold_count", tx.extract_count(F.col("response")).alias("pred_count"))
+
+
+@query("""SELECT c_custkey, CAST(least(3, c_custkey % 5) AS INT) AS context_rows, c_custkey % 5 > 3 AS context_truncated, CASE WHEN c_custkey % 5 = 0 THEN 'none' ELSE 'supporting+gold' END AS context_basis,
+  CASE WHEN c_custkey % 5 = 0 THEN '' ELSE (SELECT string_agg(CAST(r AS VARCHAR), ',' ORDER BY r) FROM (SELECT unnest(range(1, 1 + least(3, c_custkey % 5))) AS r)) END AS ids FROM customer""")
+def contexts_of_like_keys(spark, sf_dir):
+    """Keys that are null or repeat leave each answer its own rows."""
+    c = F.col("c_custkey")
+    kb = t(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1).cast("int").alias("row_id"), F.col("s_name").alias("Company")).filter("row_id < 10")
+    cited = F.when(c % 5 > 0, F.sequence(F.lit(1), (c % 5).cast("int"))).otherwise(F.array().cast("array<int>"))
+    answers = t(spark, sf_dir, "customer").select("c_custkey", F.when(c % 2 == 0, "m").alias("arm"), F.lit(None).cast("string").alias("model_name"), cited.alias("cited"), F.array().cast("array<string>").alias("gold_companies"))
+    made = judge.contexts(answers, ["arm", "model_name", "c_custkey"], kb, max_rows=3)
+    ids = F.array_join(F.transform("context", lambda x: F.get_json_object(x, "$.row_id")), ",")
+    return made.select("c_custkey", "context_rows", "context_truncated", "context_basis", ids.alias("ids"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 5 > 0 AND (event_id % 3 <> 0 OR user_id % 2 <> 0)")
+def resume_by_null_keys(spark, sf_dir):
+    """A key that was judged with a null in it isn't asked anew."""
+    path, e = new_path(spark), F.col("event_id")
+    keyed = t(spark, sf_dir, "events").select("event_id", "user_id", F.when(e % 5 > 0, F.concat("event_type", e.cast("string"))).alias("arm"), F.when(e % 3 == 1, "m").alias("model_name"), F.when(e % 3 == 2, e.cast("int")).alias("question_number"))
+    an.append_json(keyed.filter("event_id % 5 = 0 OR (event_id % 3 = 0 AND user_id % 2 = 0)").select("arm", "model_name", "question_number"), path)
+    return an.still_to_do(keyed, an.done_keys(spark, path)).select("event_id")
+
+
+def echo_client(record: dict) -> str:
+    """Says what it was given."""
+    return f"{record['id']}|{type(record['id']).__name__}|{record['beside']}|{record['many']}"
+
+
+@query("""SELECT c_custkey, CAST(CASE WHEN c_custkey % 3 > 0 THEN 9007199254740993 + c_custkey END AS VARCHAR) AS id, coalesce(CAST(CASE WHEN c_custkey % 3 > 0 THEN 9007199254740993 + c_custkey END AS VARCHAR), 'None') || '|' || CASE WHEN c_custkey % 3 > 0 THEN 'int' ELSE 'NoneType' END || '|' || CASE WHEN c_custkey % 2 > 0 THEN CAST(c_nationkey AS VARCHAR) ELSE 'None' END || '|['
+  || c_custkey || ', ' || CASE WHEN c_custkey % 4 > 0 THEN CAST(c_custkey + 9007199254740993 AS VARCHAR) ELSE 'None' END || ']' AS output FROM customer""")
+def exact_values_of_calls(spark, sf_dir):
+    """Whole numbers beyond 2^53, nulls beside them and lists reach a client and come back as they are."""
+    c = F.col("c_custkey")
+    big = c + F.lit(9007199254740993)
+    rows = t(spark, sf_dir, "customer").select("c_custkey", F.when(c % 3 > 0, big).alias("id"), F.when(c % 2 > 0, F.col("c_nationkey")).alias("beside"), F.array(c, F.when(c % 4 > 0, big)).alias("many"))
+    return inference.called(rows, echo_client).select("c_custkey", F.col("id").cast("string").alias("id"), "output")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import capped_cell, ns_to_seconds
 
+KEYS = ("arm", "model_name", "question_number")
 ANSWER_SCHEMA = (
     "arm string, source_file string, model_name string, question_number int, question string, response string, status string, error_message string, "
     "prompt_eval_count int, eval_count int, num_ctx_requested int, runtime_seconds double, map_failed_count int, candidate_count int, verified_count int"
@@ -84,13 +85,20 @@ def narrowed(answers: DataFrame, models: list[str] | None = None, questions: lis
 
 
 def done_keys(spark: SparkSession, path: str) -> DataFrame:
-    """Keys of answers judged before; lines that are no JSON or lack a key are left out."""
-    rows = spark.read.schema("arm string, model_name string, question_number int, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return rows.select("arm", "model_name", "question_number").na.drop().distinct()
+    """Keys of answers judged before. A key that is written as null is a key; lines that are no JSON or lack one are
+    left out."""
+    fields = F.from_json("value", "map<string,string>")
+    rows = spark.read.text(path).select(fields.alias("m")).filter(" AND ".join(f"map_contains_key(m, '{k}')" for k in KEYS))
+    return rows.select(*[F.col("m")[k].alias(k) for k in KEYS[:2]], F.col("m")["question_number"].try_cast("int").alias("question_number")).distinct()
 
 
 def still_to_do(answers: DataFrame, done: DataFrame) -> DataFrame:
-    return answers.join(done, ["arm", "model_name", "question_number"], "left_anti")
+    """Answers whose key isn't among those done; a null in a key equals a null."""
+    same = None
+    for k in KEYS:
+        one = answers[k].eqNullSafe(done[k])
+        same = one if same is None else same & one
+    return answers.join(done, same, "left_anti")
 
 
 def judged(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -99,17 +107,19 @@ def judged(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "csv", mode: str = "overwrite") -> None:
-    """One folder a table, as the sheets of a workbook: CSV with a header (null as blank), Parquet or JSON."""
+    """One folder a table, as the sheets of a workbook: CSV with a header (null as blank; quotes inside a cell written
+    twice), Parquet or JSON."""
     for name, df in tables.items():
         if fmt == "csv":
             flat = {c: F.to_json(F.col(f"`{c}`")) for c, k in df.dtypes if k.startswith(("array", "struct", "map"))}
             capped = {c: capped_cell(F.col(f"`{c}`")) for c, k in df.dtypes if k == "string"}
             df = df.withColumns(flat | capped)
-        df.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "").format(fmt).save(f"{folder}/{name}")
+        df.write.mode(mode).options(header=True, nullValue="", emptyValue="", quote='"', escape='"').format(fmt).save(f"{folder}/{name}")
 
 
 def append_json(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    """Appends rows as JSON lines; nulls are written, so that a key that is null can be told from none."""
+    df.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
 def write_config(spark: SparkSession, config: dict, path: str) -> None:

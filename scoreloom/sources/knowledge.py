@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_text, natural_key, normalize_bool, number_text
 from .stored import stored
 
+#: Cells as RFC 4180 has them: quotes around what needs them, a quote inside written twice, line breaks kept.
+CSV = {"quote": '"', "escape": '"', "multiLine": True}
 # The columns of a knowledge table.
 KB_FIELDS = (
     "Company", "Category", "Industry Group", "Location", "Address", "Latitude", "Longitude", "Primary Facility Type", "EV Supply Chain Role",
@@ -21,15 +23,14 @@ def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFr
 
     Numbers are dealt by range partitions, so that no task sees all rows: a count by partition, then an offset. The
     partitions are written first: counts and numbers are taken of the same rows, whatever is planned or run again.
-    Numbers are ints, or longs where an int doesn't hold them all."""
+    Numbers are longs."""
     rows = df.na.drop(how="all")
     ordered = stored(rows.repartitionByRange(*[F.col(f"`{c}`") for c in order]).withColumn("__part", F.spark_partition_id()))
     counts = ordered.groupBy("__part").count()
-    kind = "int" if (counts.agg(F.sum("count")).first()[0] or 0) < 2**31 else "bigint"
     offsets = counts.select("__part", (F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))).alias("__before"))
     numbered = ordered.withColumn("__n", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
     joined = numbered.join(F.broadcast(offsets), "__part")  # a row a partition
-    return joined.withColumn(name, (F.coalesce("__before", F.lit(0)) + F.col("__n")).cast(kind)).drop("__part", "__before", "__n")
+    return joined.withColumn(name, (F.coalesce("__before", F.lit(0)) + F.col("__n")).cast("bigint")).drop("__part", "__before", "__n")
 
 
 def trimmed_names(df: DataFrame) -> DataFrame:
@@ -45,9 +46,10 @@ def cleaned(df: DataFrame) -> DataFrame:
 
 
 def read_kb(spark: SparkSession, path: str, fmt: str = "csv", order: list[str] | None = None) -> DataFrame:
-    """A knowledge table from CSV (with header), JSON or Parquet. order: the columns that say the rows' order; without
-    it the file's own order is kept, through the reader's row position."""
-    df = trimmed_names(spark.read.option("header", True).format(fmt).load(path))
+    """A knowledge table from CSV (with header; cells in quotes may hold line breaks, and quotes written twice), JSON,
+    Parquet or a workbook. order: the columns that say the rows' order; without it the file's own order is kept, through
+    the reader's row position."""
+    df = trimmed_names(spark.read.options(header=True, **(CSV if fmt == "csv" else {})).format(fmt).load(path))
     if order is None:
         df, order = df.withColumn("__at", F.monotonically_increasing_id()), ["__at"]
         data = [c for c in df.columns if c != "__at"]
