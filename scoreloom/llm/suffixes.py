@@ -323,6 +323,7 @@ def repeated_windows(source: DataFrame, anchors: tuple[int, ...] = ANCHORS, grou
     anchor, deeper = anchors[0], anchors[1:]
     cut = written(_cut(source, anchor), "pieces")
     met = cut.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("x"), F.max("content").alias("y")).filter("n > 1").select("key", (F.col("x") == F.col("y")).alias("alike"))
+    met = written(met, "shared-keys")  # so that both sides of the join are dealt out by it and a key of very many pieces can be split
     shared = written(cut.join(met.hint("merge"), "key"), "shared-pieces")
     alike = shared.filter("alike").select("a", "b", F.col("start").alias("lo"), (F.col("start") + F.col("windows")).alias("hi"))
     if not deeper:
