@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import capped_cell, half_even, safe_name
 from ..sources.answers import DIRECT_SCHEMA, fixed_columns, write_tables
+from ..sources.workbook import write_workbook
 from .calls import Limits, answered, answered_once
 from .inference import direct_prompts, run_summary
 
@@ -146,10 +147,11 @@ def log_lines(rows: DataFrame, preview: int = 400) -> DataFrame:
 
 
 def write_run(tables: dict[str, DataFrame], rows: DataFrame, lines: DataFrame, folder: str) -> None:
-    """What a run leaves, anew: workbook/<table>, raw_csv and raw_json by model, logs by model, and kb_full (JSON lines).
+    """What a run leaves, anew: workbook.xlsx and workbook/<table> (CSV), raw_csv and raw_json by model, logs by model, and kb_full (JSON lines).
 
     raw_json has native_thinking and can be read as direct answers; the CSV tables haven't."""
     by_model = rows.withColumn("safe_model_name", safe_name(F.col("model_name")))
+    write_workbook(tables, f"{folder}/workbook.xlsx")
     write_tables(tables, f"{folder}/workbook")
     kinds = dict(f.split()[:2] for f in DIRECT_SCHEMA.split(", "))
     raw = by_model.select("safe_model_name", *[c for c in (*ANSWER_COLUMNS, "native_thinking") if c in kinds])

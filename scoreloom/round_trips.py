@@ -13,6 +13,7 @@ from .plans import evaluation, inference, judge
 from .queries import query, t
 from .sources import answers as an
 from .sources import knowledge as kn
+from .sources import workbook as wb
 from .sources.stored import new_path
 
 
@@ -214,3 +215,27 @@ def exact_values_of_calls(spark, sf_dir):
     big = c + F.lit(9007199254740993)
     rows = t(spark, sf_dir, "customer").select("c_custkey", F.when(c % 3 > 0, big).alias("id"), F.when(c % 2 > 0, F.col("c_nationkey")).alias("beside"), F.array(c, F.when(c % 4 > 0, big)).alias("many"))
     return inference.called(rows, echo_client).select("c_custkey", F.col("id").cast("string").alias("id"), "output")
+
+
+@query("""SELECT 'customers' AS sheet, c_custkey AS id, CASE WHEN c_custkey % 4 > 0 THEN c_name || chr(10) || '"' || c_mktsegment || '", <&>' END AS said, c_acctbal AS amount, CAST(NULL AS VARCHAR) AS day FROM customer
+UNION ALL SELECT 'parts / sizes', p_partkey, repeat('x', CAST(32767 - 3 * (p_partkey % 2) AS INT)), CAST(p_size AS DOUBLE) / 8, CAST(DATE '1995-06-17' + CAST(p_partkey AS INT) AS VARCHAR) FROM part WHERE p_partkey <= 40""")
+def workbook_sheets(spark, sf_dir):
+    """Two tables as sheets of one workbook, and both read back from it, line breaks, quotes, full cells, dates and nulls included."""
+    path, c, p = f"{new_path(spark)}.xlsx", F.col("c_custkey"), F.col("p_partkey")
+    said = F.when(c % 4 > 0, F.concat(F.col("c_name"), F.lit('\n"'), F.col("c_mktsegment"), F.lit('", <&>')))
+    customers = t(spark, sf_dir, "customer").select(c.alias("id"), said.alias("said"), F.col("c_acctbal").cast("double").alias("amount"), F.lit(None).cast("date").alias("day"))
+    parts = t(spark, sf_dir, "part").filter("p_partkey <= 40").select(p.alias("id"), F.repeat(F.lit("x"), (32767 - 3 * (p % 2)).cast("int")).alias("said"), (F.col("p_size") / 8).alias("amount"), F.date_add(F.lit("1995-06-17").cast("date"), p.cast("int")).alias("day"))
+    wb.write_workbook({"customers": customers, "parts / sizes": parts}, path)
+    read = lambda sheet, name: wb.read_workbook(spark, path, sheet, "id bigint, said string, amount double, day date").select(F.lit(name).alias("sheet"), "id", "said", "amount", F.col("day").cast("string").alias("day"))
+    return read("customers", "customers").unionByName(read("parts _ sizes", "parts / sizes"))
+
+
+@query("SELECT row_number() OVER (ORDER BY s_suppkey) AS row_id, s_name || chr(10) || 'ltd' AS Company, n_name AS Location, CAST(CAST(s_acctbal AS DECIMAL(15,2)) AS VARCHAR) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def knowledge_of_a_workbook(spark, sf_dir):
+    """A knowledge table out of a spreadsheet, rows in the sheet's order, empty ones left out."""
+    path = f"{new_path(spark)}.xlsx"
+    s = t(spark, sf_dir, "supplier").join(t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = s.select("s_suppkey", F.concat(F.lit(" "), "s_name", F.lit("\nltd ")).alias(" Company "), F.col("n_name").alias("Location"), F.col("s_acctbal").cast("decimal(15,2)").cast("string").alias("balance"))
+    blank = rows.select("s_suppkey", *[F.lit(None).cast("string").alias(x) for x in rows.columns[1:]])
+    wb.write_workbook({"kb": rows.unionByName(blank).repartitionByRange(3, "s_suppkey").sortWithinPartitions("s_suppkey").drop("s_suppkey")}, path)
+    return kn.read_kb(spark, path, "workbook")

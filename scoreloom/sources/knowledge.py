@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, natural_key, normalize_bool, number_text
 from .stored import stored
+from .workbook import read_workbook
 
 #: Cells as RFC 4180 has them: quotes around what needs them, a quote inside written twice, line breaks kept.
 CSV = {"quote": '"', "escape": '"', "multiLine": True}
@@ -24,7 +25,7 @@ def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFr
     Numbers are dealt by range partitions, so that no task sees all rows: a count by partition, then an offset. The
     partitions are written first: counts and numbers are taken of the same rows, whatever is planned or run again.
     Numbers are longs."""
-    rows = df.na.drop(how="all")
+    rows = df.filter(F.exists(F.array(*[F.col(f"`{c}`").isNotNull() for c in df.columns]), lambda there: there))
     ordered = stored(rows.repartitionByRange(*[F.col(f"`{c}`") for c in order]).withColumn("__part", F.spark_partition_id()))
     counts = ordered.groupBy("__part").count()
     offsets = counts.select("__part", (F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))).alias("__before"))
@@ -49,7 +50,8 @@ def read_kb(spark: SparkSession, path: str, fmt: str = "csv", order: list[str] |
     """A knowledge table from CSV (with header; cells in quotes may hold line breaks, and quotes written twice), JSON,
     Parquet or a workbook. order: the columns that say the rows' order; without it the file's own order is kept, through
     the reader's row position."""
-    df = trimmed_names(spark.read.options(header=True, **(CSV if fmt == "csv" else {})).format(fmt).load(path))
+    raw = read_workbook(spark, path) if fmt == "workbook" else spark.read.options(header=True, **(CSV if fmt == "csv" else {})).format(fmt).load(path)
+    df = trimmed_names(raw)
     if order is None:
         df, order = df.withColumn("__at", F.monotonically_increasing_id()), ["__at"]
         data = [c for c in df.columns if c != "__at"]

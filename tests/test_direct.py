@@ -11,6 +11,7 @@ from scoreloom.plans import direct, inference
 from scoreloom.sources import services
 from scoreloom.sources.answers import direct_answers
 from scoreloom.sources.stored import stored
+from scoreloom.sources.workbook import read_workbook
 
 LONG = "vendor/a-model-with-a-very-long-name:70b"
 
@@ -51,6 +52,8 @@ def test_tables_and_files(run, spark, tmp_path):
     assert tables["m"].columns == list(direct.ANSWER_COLUMNS) and tables["m"].count() == 3
     for _ in range(2):  # anew, not appended
         direct.write_run(tables, rows, lines, str(tmp_path / "out"))
+    assert read_workbook(spark, str(tmp_path / "out" / "workbook.xlsx"), "*", "question_number int").count() == sum(df.count() for df in tables.values())
+    assert read_workbook(spark, str(tmp_path / "out" / "workbook.xlsx"), "golden_answers").columns == ["question_number", "question", "golden_answer"]
     back = direct_answers(spark, str(tmp_path / "out" / "raw_json"))
     assert back.count() == 9 and back.filter("model_name = 'm' AND status = 'ok' AND response LIKE 'Answer: x%'").count() == 2
     assert [r.value for r in spark.read.text(str(tmp_path / "out" / "kb_full")).collect()] == ["one", "two"]
