@@ -11,6 +11,7 @@ from .operators import mentions as me
 from .operators import scoring as sc
 from .plans import evaluation, inference, judge
 from .queries import query, t
+from .sources import answer_log as lg
 from .sources import answers as an
 from .sources import knowledge as kn
 from .sources import workbook as wb
@@ -239,3 +240,20 @@ def knowledge_of_a_workbook(spark, sf_dir):
     blank = rows.select("s_suppkey", *[F.lit(None).cast("string").alias(x) for x in rows.columns[1:]])
     wb.write_workbook({"kb": rows.unionByName(blank).repartitionByRange(3, "s_suppkey").sortWithinPartitions("s_suppkey").drop("s_suppkey")}, path)
     return kn.read_kb(spark, path, "workbook")
+
+
+def batch_client(record: dict) -> str:
+    """Fails on every seventh."""
+    if record["id"] % 7 == 0:
+        raise ValueError("no answer")
+    return f"{record['id']} {record['name']}"
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 7 > 0 THEN c_custkey || ' ' || CASE WHEN c_custkey % 3 > 0 THEN c_name ELSE 'None' END END AS output, CASE WHEN c_custkey % 7 > 0 THEN 'ok' ELSE 'error' END AS call_status, CASE WHEN c_custkey % 7 = 0 THEN 'ValueError: no answer' END AS error FROM customer")
+def answers_logged_by_batches(spark, sf_dir):
+    """Calls fed batch by batch into a log whose commits make each answer durable; run twice, each answer is there once."""
+    folder, c = new_path(spark), F.col("c_custkey")
+    prompts = t(spark, sf_dir, "customer").select(c.alias("id"), F.when(c % 3 > 0, F.col("c_name")).alias("name"))
+    for _ in range(2):
+        lg.feed(prompts, lambda stream: inference.called(stream, batch_client), folder, files=4, per_batch=2)
+    return lg.logged_answers(spark, f"{folder}/log", "id long, name string, output string, call_status string, error string").select("id", "output", "call_status", "error")
