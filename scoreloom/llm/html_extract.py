@@ -7,8 +7,12 @@ is the labelling of least total cost; blocks on the source's side are the main t
 
 The classifier is a logistic model over what a block is like (length, links, signs, capitals, heading, list) and what
 the class words and the headings above it say, as one bounded feature among others. Its weights are fitted on a
-bounded sample of pages that have an article or main element, with the blocks inside as content and those outside as
-boilerplate. Elements that mean content or boilerplate by themselves add a fixed amount."""
+bounded sample of pages: where they have an article or main element, the blocks inside are content and those outside
+boilerplate; the others' blocks are labelled by the cut that these weights give, and fitted once more with them.
+Elements that mean content or boilerplate by themselves add a fixed amount.
+
+A name, role or form that speaks against all it holds is believed only where the page has other text that may be its
+main text: a wrapper around the article isn't boilerplate, whatever it is called."""
 
 from __future__ import annotations
 
@@ -29,12 +33,16 @@ from .common import hash_sample, text_or_empty
 #: Most pages that the block model is fitted on: those of the smallest hash of their html.
 MAX_FIT = 500
 SCALE = 1000  # capacities are whole numbers of thousandths
-#: What an element that means content adds, one that means boilerplate unless an article lies in it, and one that does
-#: whatever lies in it; and the most that the fitted model says either way about anything but class words.
-GOOD, BAD, NEVER, MOST = 4.0, -4.0, -9.0, 3.0
+#: What an element that means content adds, one that means boilerplate unless an article lies in it, one that does
+#: whatever lies in it, and a name that does; and the most that the fitted model says either way about anything but
+#: class words.
+GOOD, BAD, NEVER, LOUD, MOST = 4.0, -4.0, -6.0, -2.0, 3.0
+#: A name is believed against an article of these words or more only if as many words, or this share of what it holds,
+#: lie elsewhere on the page.
+ARTICLE, ELSEWHERE, SHARE = 25, 12, 0.125
 #: Smoothness between neighbouring blocks of one parent; what each step apart in the tree divides it by; and how fast it
 #: fades where class words speak of one block and not of the other.
-SMOOTH, FADE = 1.5, 2.5
+SMOOTH, FADE = 1.5, 1.0
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -46,7 +54,9 @@ SILENT_TAGS = frozenset("script style noscript template title textarea select bu
 RAW_TAGS = frozenset("script style textarea title iframe noscript".split())
 GOOD_TAGS = frozenset(("article", "main"))
 NEVER_TAGS = frozenset("nav footer aside menu dialog".split())
-NEVER_ROLES = frozenset("navigation contentinfo complementary search dialog alertdialog menu menubar banner".split())
+#: Of them, those that no article lies in, however long.
+MENU_TAGS = frozenset("nav menu dialog".split())
+NEVER_ROLES = frozenset("navigation contentinfo complementary search dialog alertdialog alert status tooltip menu menubar banner".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Class words that speak against a block wherever they stand in a name, those that do as the whole name or its end, and
 #: those that speak for it.
@@ -59,10 +69,16 @@ BAD_WORDS = frozenset(
 GOOD_WORDS = frozenset("article content post entry story main body text prose".split())
 #: A name that begins so says what the page has elsewhere, not what the element is.
 ABOUT_OTHERS = frozenset("with has no not without is show hide hides include includes enable enabled".split())
-#: A heading that has one of these as its first word opens a part that is no main text; what it says of the blocks up to
-#: the end of the element around it or the next heading of its level.
-HEADING_WORDS = frozenset("comments comment kommentare commentaires comentarios related advertisement anzeige publicité publicidad newsletter share".split())
-AFTER_HEADING = -0.6
+#: A heading that has no words but these, at least one of the first or second sort, and numbers opens a part that is no
+#: main text: reader comments (first sort) or other things. What it says of the blocks up to the end of the element
+#: around it or the next heading of its level.
+COMMENT_WORDS = frozenset("comments comment kommentare kommentar commentaires commentaire comentarios comentario".split())
+HEADING_WORDS = frozenset("related advertisement advertisements anzeige anzeigen publicité publicidad sponsored newsletter share subscribe".split())
+FILL_WORDS = frozenset(
+    "a add all an and article articles by content from latest leave links more most news no on our page post posts read reader readers reading story stories the this to top "
+    "topics two us user view write your und zum der die das sur les des los las de".split()
+)
+AFTER_COMMENTS, AFTER_HEADING = -1.0, -0.6
 #: A new block element of these ends an open one of the same row.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = frozenset("html body article aside main section nav div td th table ul ol dl blockquote form footer header".split())
@@ -70,7 +86,7 @@ SCOPES = frozenset("html body article aside main section nav div td th table ul
 # Possessive throughout: no position is looked at twice.
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++)?+)?+|=)*+)>")
 ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))?+)?+")
-FIRST_WORD = re.compile(r"\w*")
+WORD = re.compile(r"[^\W\d]+")
 CAPITALS = re.compile("[A-ZÀ-ÖØ-Þ]")
 STOPS = re.compile("[.,;:!?]")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -87,6 +103,8 @@ class Block:
     element: float  # what elements say by themselves
     words: float  # what class words and headings say, -1 to 1
     tag: str
+    named: int  # as in _Element
+    menu: bool  # whether it lies in an element that holds no article
 
 
 @dataclass(slots=True)
@@ -101,6 +119,8 @@ class _Element:
     words: float
     tag: str
     scope: dict[str, int]  # elements open since the last scope element, by name
+    named: int  # number of the innermost element around it that a name speaks against, -1 if there is none
+    menu: bool = False  # in an element that holds no article
     section: tuple[int, float] | None = None  # level of the last heading right in it, and what it says
 
 
@@ -122,9 +142,19 @@ def class_words(value: str) -> float:
     return good - bad if bad else good
 
 
+def heading_says(text: str) -> float:
+    """What a heading says of the blocks below it."""
+    words = WORD.findall(text.lower())
+    if not words or len(words) > 6 or not all(w in COMMENT_WORDS or w in HEADING_WORDS or w in FILL_WORDS for w in words):
+        return 0.0
+    return AFTER_COMMENTS if any(w in COMMENT_WORDS for w in words) else AFTER_HEADING if any(w in HEADING_WORDS for w in words) else 0.0
+
+
 @dataclass(slots=True)
 class _Parser:
-    stack: list[_Element] = field(default_factory=lambda: [_Element("", 0, 0, 0, False, False, 0.0, 0.0, "", {})])
+    void: frozenset[int] = frozenset()  # numbers of the named elements that aren't believed
+    stack: list[_Element] = field(default_factory=lambda: [_Element("", 0, 0, 0, False, False, 0.0, 0.0, "", {}, -1)])
+    around: list[int] = field(default_factory=list)  # for each element that a name speaks against, the next one around it
     opened: dict[str, int] = field(default_factory=dict)
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
@@ -150,16 +180,19 @@ class _Parser:
         text = " ".join("".join(self.parts).split())
         e = self.at
         if text:
-            said = min(e.words, e.section[1]) if e.section else e.words
+            said, element = (min(e.words, e.section[1]) if e.section else e.words), e.element
+            if e.section and e.section[1] <= AFTER_COMMENTS:
+                element = min(element, LOUD)
             if e.tag in HEADINGS:
                 holder = next((x for x in reversed(self.stack) if x.tag not in HEADINGS), self.stack[0])
                 level = int(e.tag[1])
-                if FIRST_WORD.match(text.lower())[0] in HEADING_WORDS:
-                    holder.section = (level, AFTER_HEADING)
-                    said = min(said, AFTER_HEADING)
+                if says := heading_says(text):
+                    holder.section = (level, says)
+                    said = min(said, says)
+                    element = min(element, LOUD) if says <= AFTER_COMMENTS else element
                 elif holder.section and level <= holder.section[0]:
                     holder.section = None
-            self.blocks.append(Block(text, min(self.links, len(text)), e.node, e.parent, e.depth, min(self.low, e.depth), e.element, said, e.tag))
+            self.blocks.append(Block(text, min(self.links, len(text)), e.node, e.parent, e.depth, min(self.low, e.depth), element, said, e.tag, e.named, e.menu))
             self.low = e.depth
         self.parts, self.links = [], 0
 
@@ -196,16 +229,23 @@ class _Parser:
         if block:
             self.count += 1
             node, parent, depth = self.count, up.node, up.depth + 1
-        element, words, hidden = self._says(name, attributes, up)
+        element, words, hidden, against = self._says(name, attributes, up)
+        named = up.named
+        if against:
+            self.around.append(named)
+            named = len(self.around) - 1
         if up.section and not (name in HEADINGS and int(name[1]) <= up.section[0]):
             words = min(words, up.section[1])
+            if up.section[1] <= AFTER_COMMENTS:
+                element = min(element, LOUD)
         up.scope[name] = up.scope.get(name, 0) + 1
         self.opened[name] = self.opened.get(name, 0) + 1
         scope = {} if name in SCOPES else up.scope
-        self.stack.append(_Element(name, node, parent, depth, up.silent or hidden or name in SILENT_TAGS, up.linked or name == "a", element, words, name if block else up.tag, scope))
+        self.stack.append(_Element(name, node, parent, depth, up.silent or hidden or name in SILENT_TAGS, up.linked or name == "a", element, words, name if block else up.tag, scope, named, up.menu or name in MENU_TAGS))
 
-    @staticmethod
-    def _says(name: str, attributes: str, up: _Element) -> tuple[float, float, bool]:
+    def _says(self, name: str, attributes: str, up: _Element) -> tuple[float, float, bool, bool]:
+        """What an element and its name say of what it holds, whether it is hidden, and whether its name, role or kind
+        speaks against what it holds."""
         element, words, said, hidden = up.element, up.words, 0.0, False
         role = ""
         if attributes and name not in ("html", "body"):
@@ -219,24 +259,27 @@ class _Parser:
                 elif key in ("class", "id"):
                     names.append(value)
             said = class_words(" ".join(names))
+        against = said < 0 or role in NEVER_ROLES or name in NEVER_TAGS and name not in MENU_TAGS or name == "form"
+        if against and len(self.around) in self.void:
+            return element, words, hidden, True
         if name in NEVER_TAGS or role in NEVER_ROLES:
             element = NEVER
         elif name in GOOD_TAGS or role in GOOD_TAGS:
-            if element > NEVER:
-                element = NEVER if said <= -1 else GOOD
+            if element > NEVER and element != LOUD:
+                element = LOUD if said <= -1 else GOOD
             if element == GOOD and words > -1:
                 words = 0.0
         elif element > NEVER and (name == "form" or name == "header" and element <= 0):
             element = BAD
         if said <= -1 and element <= 0:
-            element = min(element, NEVER)  # an article inside, as each comment may be, doesn't change it
+            element = min(element, LOUD)  # an article inside, as each comment may be, doesn't change it
         if said < 0 and not (name == "header" and up.element > 0):
             words = min(words, said)
         elif said > 0 and words >= 0:
             words = max(words, said)
         if said < 0 and element > 0 and said <= -1:
             element = 0.0
-        return element, words, hidden
+        return element, words, hidden, against
 
     def close(self, name: str) -> None:
         if name in BLOCK_TAGS:
@@ -249,10 +292,47 @@ class _Parser:
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in its order: text with references decoded and single spaces, never empty.
+    """The blocks of a page in its order: text with references decoded and single spaces, never empty. Where names
+    speak against what must be the article, the page is read once more without them."""
+    p = _read(page)
+    void = disbelieved(p.blocks, p.around)
+    return _read(page, void).blocks if void else p.blocks
+
+
+def _may_be_article(b: Block) -> int:
+    """Words of a block that may be part of an article by what it is like."""
+    words = b.text.count(" ") + 1
+    return words if not b.menu and words >= 5 and 3 * b.links < len(b.text) and (words >= 12 or STOPS.search(b.text)) else 0
 
-    One pass from left to right. A tag that isn't closed before the page's end is dropped with what follows it."""
-    p, at, n = _Parser(), 0, len(page)
+
+def disbelieved(found: list[Block], around: list[int]) -> frozenset[int]:
+    """Which of the elements that names speak against hold the page's article.
+
+    The one that holds most is looked at first. It is believed if enough text that may be the article lies elsewhere,
+    under no other such name; else it isn't, and what it holds counts from then on as such text."""
+    direct, clean = [0] * len(around), 0
+    for b in found:
+        if b.named < 0:
+            clean += _may_be_article(b)
+        else:
+            direct[b.named] += _may_be_article(b)
+    holds = list(direct)
+    for k in range(len(around) - 1, -1, -1):  # an element comes after those around it
+        if around[k] >= 0:
+            holds[around[k]] += holds[k]
+    void: set[int] = set()
+    for k in sorted((k for k in range(len(around)) if holds[k] >= ARTICLE), key=lambda k: (-holds[k], k)):
+        if around[k] >= 0 and around[k] not in void:
+            continue  # lies in one that is believed
+        if clean < max(ELSEWHERE, SHARE * holds[k]):
+            void.add(k)
+            clean += direct[k]
+    return frozenset(void)
+
+
+def _read(page: str, void: frozenset[int] = frozenset()) -> _Parser:
+    """One pass from left to right. A tag that isn't closed before the page's end is dropped with what follows it."""
+    p, at, n = _Parser(void), 0, len(page)
     while (cut := page.find("<", at)) >= 0:
         after = page[cut + 1 : cut + 2]
         if page.startswith("<!--", cut):
@@ -283,11 +363,11 @@ def blocks(page: str) -> list[Block]:
             at = cut + 1
     p.say(page[at:])
     p.flush()
-    return p.blocks
+    return p
 
 
 #: Weights of described() that the fitted ones lean on; the last is the bias.
-LEAN = np.array([0.8, -3.0, 1.0, -1.0, 0.0, -2.0, 0.3, -0.3, 8.0, -1.5])
+LEAN = np.array([0.8, -3.0, 1.0, -1.0, 0.0, -2.0, 0.3, -0.3, 6.0, -1.5])
 WORDS_AT = 8
 
 
@@ -414,27 +494,43 @@ def main_text(page: str | None, model: BlockModel = NO_MODEL) -> str:
 
 def fit(pages: DataFrame, html_col: str = "html", max_fit: int = MAX_FIT) -> BlockModel:
     """The block model, from the blocks of at most max_fit pages: content where they lie in an article or main element,
-    boilerplate where they lie outside of it on a page that has one."""
+    boilerplate where they lie outside of it on a page that has one. Pages without such elements are then labelled by
+    the cut, and fitted with the others, a block of them counting half."""
     source = hash_sample(pages.select(text_or_empty(pages, html_col).alias("html")), max_fit, "html")
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seen(batches: Iterator[pa.RecordBatch], model: BlockModel | None) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = [], []
             for page in b.column(0):
                 found = blocks(page.as_py())
-                if any(block.element > 0 for block in found):
+                told = any(block.element > 0 for block in found)
+                if told and model is None:
                     x += map(described, found)
                     y += [block.element > 0 for block in found]
+                elif not told and model is not None:
+                    x += map(described, found)
+                    y += minimum_cut(costs(found, model), smoothness(found))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.bool_())], names=["x", "y"])
 
-    sample = source.mapInArrow(seen, "x array<double>, y boolean").toPandas()
-    y = sample["y"].to_numpy(float)
+    def gathered(model: BlockModel | None) -> tuple[np.ndarray, np.ndarray]:
+        sample = source.mapInArrow(lambda batches: seen(batches, model), "x array<double>, y boolean").toPandas()
+        x = np.array(sample["x"].tolist()).reshape(len(sample), len(LEAN) - 1)
+        return np.column_stack((x, np.ones(len(x)))), sample["y"].to_numpy(float)
+
+    x, y = gathered(None)
+    told = fitted(x, y, np.ones(len(y)))
+    x2, y2 = gathered(told)
+    return fitted(np.concatenate((x, x2)), np.concatenate((y, y2)), np.repeat([1.0, 0.5], [len(y), len(y2)])) if len(y2) else told
+
+
+def fitted(x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> BlockModel:
+    """Logistic regression by Newton steps with a ridge around LEAN; both classes count alike."""
     if not len(y) or y.min() == y.max():
         return NO_MODEL
-    x = np.column_stack((np.array(sample["x"].tolist()), np.ones(len(y))))
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both classes count alike
+    good = y == 1
+    weight = np.where(good, 0.5 * counts / counts[good].sum(), 0.5 * counts / counts[~good].sum())
     w = LEAN.copy()
-    for _ in range(30):  # Newton steps with a ridge around LEAN
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (weight * (p - y)) + 1e-2 * (w - LEAN)
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
