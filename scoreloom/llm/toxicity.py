@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +23,10 @@ MAX_FIT = 2_000
 FOLDS = 4
 #: Texts whose fingerprints differ in no more bits than this are near copies, as far as folds go.
 NEAR_BITS = 6
-#: Words and beginnings of words in fewer fitted texts than this are no features, nor are those beyond MAX_WORDS.
-MIN_TEXTS, MAX_WORDS = 4, 60_000
+#: Places of the table that words and beginnings of words are hashed into: fixed, whatever words the texts have.
+PLACES = 1 << 24
 PREFIXES = (5, 7)
-#: A model uses features whose log-likelihood ratio (G squared) against its category is at least this.
+#: A model's own weights: those of features whose log-likelihood ratio (G squared) against its category is at least this.
 TELLING = 16.0
 ROUNDS, STEP, PENALTY = 150, 0.4, 1e-4
 #: Words that each Python worker keeps with their features, in each of two generations.
@@ -48,9 +49,14 @@ def features(text: str) -> set[str]:
     return {f for w in set(text.split()) for f in features_of(w)}
 
 
+def place_of(feature: str) -> int:
+    """The place of a feature in the table."""
+    return xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass")) % PLACES
+
+
 @dataclass(frozen=True)
 class Chain:
-    """names: the categories; words: feature -> number; weights: a row a category, over features, earlier categories
+    """names: the categories; words: number of each place of the table that has a weight; weights: a row a category, over features, earlier categories
     and bias; thresholds: probabilities from which a text belongs to a category."""
 
     names: tuple[str, ...]
@@ -59,7 +65,8 @@ class Chain:
     thresholds: tuple[float, ...]
 
     def numbers(self, word: str) -> tuple[int, ...]:
-        return tuple(self.words[f] for f in features_of(word) if f in self.words)
+        places = map(place_of, features_of(word))
+        return tuple(self.words[p] for p in places if p in self.words)
 
     def predict(self, text: str, numbers=None) -> list[float]:
         """Probabilities of the categories; numbers: a store of self.numbers."""
@@ -83,7 +90,7 @@ def _telling(rows: list[np.ndarray], y: np.ndarray, n_words: int) -> np.ndarray:
     g = np.zeros(n_words)
     for seen, expected in ((both, with_f * pos / n), (with_f - both, with_f * (n - pos) / n), (pos - both, (n - with_f) * pos / n), (n - pos - with_f + both, (n - with_f) * (n - pos) / n)):
         g += 2 * seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12))
-    return (g >= TELLING) & (with_f >= MIN_TEXTS)
+    return g >= TELLING
 
 
 def _train(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n_words: int, counts: np.ndarray) -> np.ndarray:
@@ -128,8 +135,8 @@ def folds_of(hashes: np.ndarray, fingerprints: np.ndarray, folds: int) -> np.nda
     return np.array([place[g] % folds for g in group.tolist()], np.int64)
 
 
-def chain_of(names: tuple[str, ...], words: list[str], rows: list[np.ndarray], ys: np.ndarray, fold: np.ndarray, counts: np.ndarray) -> Chain:
-    """The chain from rows of numbers of words; ys: a column a category."""
+def chain_of(names: tuple[str, ...], words: list[int], rows: list[np.ndarray], ys: np.ndarray, fold: np.ndarray, counts: np.ndarray) -> Chain:
+    """The chain from rows of numbers of words (the table's places in use); ys: a column a category."""
     n_words, last = len(words), ys.shape[1] - 1
     extra, weights, thresholds = np.zeros((len(rows), 0)), [], []
     for k in range(ys.shape[1]):
@@ -166,29 +173,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = hash_sample(marked, max_fit, "toxicity", by="kind").select("text", F.xxhash64("text").alias("h"), *ys, "kind")
     chosen = written(chosen.repartition(16), "toxicity-sample")
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(features(t.as_py())) for t in b.column(0)], pa.list_(pa.string()))], names=["words"])
-
-    found = chosen.select("text").mapInArrow(split, "words array<string>").select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    often = [r[0] for r in found.filter(F.col("n") >= MIN_TEXTS).orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()]
-    numbers = {w: k for k, w in enumerate(often)}
-    shared = docs.sparkSession.sparkContext.broadcast(numbers)
-
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [sorted({shared.value[f] for f in features(t.as_py()) if f in shared.value}) for t in b.column(0)]
+            lists = [sorted(set(map(place_of, features(t.as_py())))) for t in b.column(0)]
             prints = np.fromiter((fingerprint(t.as_py()) for t in b.column(0)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), pa.array(prints.view(np.int64)), *b.columns[1:]], names=["at", "print", *b.schema.names[1:]])
 
-    # Numbers of features come to the driver, at most max_fit lists of each combination; their words stay where they are.
+    # Places come to the driver, at most max_fit lists of each combination; words stay where they are.
     sample = chosen.mapInArrow(counted, "at array<int>, print long, h long, " + ", ".join(f"{y} int" for y in ys) + ", kind string").toPandas()
     sample = sample.sort_values(["h", *ys], kind="stable", ignore_index=True)
-    rows = [np.asarray(at, np.int64) for at in sample["at"]]
+    used = np.unique(np.concatenate([np.asarray(at, np.int64) for at in sample["at"]])) if len(sample) else np.empty(0, np.int64)
+    rows = [np.searchsorted(used, np.asarray(at, np.int64)) for at in sample["at"]]
     fold = folds_of(sample["h"].to_numpy(), sample["print"].to_numpy().view(np.uint64), folds) if len(rows) else np.empty(0, np.int64)
     drawn = sample["kind"].value_counts()
     counts = np.array([known[k] / drawn[k] for k in sample["kind"]], float)
-    return chain_of(names, often, rows, sample[ys].to_numpy(float).reshape(len(rows), len(ys)), fold, counts)
+    return chain_of(names, used.tolist(), rows, sample[ys].to_numpy(float).reshape(len(rows), len(ys)), fold, counts)
 
 
 def _threshold(p: np.ndarray, y: np.ndarray, counts: np.ndarray) -> float:
@@ -208,7 +207,7 @@ def predicted(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
 
     A null or empty text has the probabilities of a text without known words; texts of any length are read whole. No
     shuffle; repeated rows and null ids keep their rows; an empty table stays empty."""
-    shared = df.sparkSession.sparkContext.broadcast(chain)  # at most MAX_WORDS words
+    shared = df.sparkSession.sparkContext.broadcast(chain)  # at most PLACES places, those of the sample's words that tell
     source = df.select(df[id_col].alias("id"), text_or_empty(df, text_col).alias("text"))
     names = [f"p_{n}" for n in chain.names]
 
