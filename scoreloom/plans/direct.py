@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..functions.text import capped_cell, half_even, safe_name
 from ..sources.answers import DIRECT_SCHEMA, fixed_columns, write_tables
 from ..sources.workbook import write_workbook
 from .calls import Limits, answered, answered_once
-from .inference import direct_prompts, run_summary
+from .inference import run_summary
 
 #: Gives a text, or a dict of the fields of REPLY.
 Client = Callable[[dict], str | dict]
@@ -29,6 +30,7 @@ SUMMARY_COLUMNS = (
     "prompt_eval_count_median", "prompt_eval_count_max", "total_runtime_seconds", "average_runtime_seconds", "status", "notes",
 )
 SHEET_NAME = 31
+# Fixed value: what stands at the end of a cut cell.
 WORKBOOK_MARK = "...[TRUNCATED FOR EXCEL; see raw_json]"
 #: A knowledge table is part of every prompt, so that no larger one can be sent to any model.
 MOST_CHARACTERS = 16_000_000
@@ -48,44 +50,66 @@ def stripped(c: str) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
-def asked(prompts: DataFrame, client: Client, limits: Limits = Limits(), ledger: str | None = None) -> DataFrame:
+def asked(prompts: DataFrame, client: Client, limits: Limits = Limits(), ledger: str | None = None, prompt_of: Callable[[dict], dict] | None = None) -> DataFrame:
     """prompts with the reply's fields, status (ok, error), error_message and seconds; a failure is a row, and the rest
-    goes on. With a ledger no prompt that has a good reply there is asked again."""
+    goes on. With a ledger no prompt that has a good reply there is asked again.
+
+    prompt_of: makes prompt, prompt_hash and approx_tokens of a row where it is asked, so that no prompt is moved; the
+    last two are columns of the result then."""
 
     def ask(record: dict, begin: Callable[[], None]) -> dict:
-        began = time.monotonic()
+        began, made = time.monotonic(), prompt_of(record) if prompt_of else {}
         try:
             begin()
-            reply = client(record)
+            reply = client(record | made)
             reply = {f: reply.get(f) for f in REPLY_FIELDS} if isinstance(reply, dict) else {"answer": reply}
             end = {"status": "ok", "error_message": None}
         except Exception as e:  # noqa: BLE001  any failure of a client is a failed row
             reply, end = {}, {"status": "error", "error_message": f"{type(e).__name__}: {e}"}
-        return reply | end | {"seconds": time.monotonic() - began}
+        return reply | end | {k: v for k, v in made.items() if k != "prompt"} | {"seconds": time.monotonic() - began}
 
-    made = f"{REPLY}, status string, error_message string, seconds double"
+    made = f"{REPLY}, status string, error_message string, seconds double" + (", prompt_hash string, approx_tokens int" if prompt_of else "")
     if ledger:
         return answered_once(prompts, ask, made, ledger, lambda reply: reply["status"] == "ok", limits)
     return answered(prompts, ask, made, limits)
 
 
 def direct_run(
-    questions: DataFrame, lines: DataFrame, rules: str, models: list[str], client: Client, keep: Callable[[DataFrame, str], DataFrame], gold: DataFrame | None = None, num_ctx: int = 65536
+    questions: DataFrame, lines: DataFrame, rules: str, models: list[str], client: Client, keep: Callable[[DataFrame, str], DataFrame], gold: DataFrame | None = None, num_ctx: int = 65536,
+    limits: Limits = Limits(), ledger: str | None = None,
 ) -> DataFrame:
     """A row a model and question with ANSWER_COLUMNS, native_thinking, approx_tokens and seconds.
 
     questions: question_number, question; lines: row_id, line of the knowledge table; gold: question_number,
-    golden_answer. A prompt with its own gold answer is an error. keep(df, name) writes rows and reads them back, so
-    that no model is asked twice."""
+    golden_answer. A prompt with its own gold answer is an error. Only questions are dealt out over the tasks; each
+    prompt is made where it is asked, of the knowledge table's text that every executor has once. keep(df, name) writes
+    rows and reads them back; with a ledger no model is asked twice, whichever task or run is run again."""
+    spark = questions.sparkSession
     gold = gold if gold is not None else questions.select("question_number", F.lit("").alias("golden_answer"))
-    prompts = direct_prompts(questions, context_text(lines), rules, models, gold).withColumn("num_ctx_requested", F.lit(num_ctx))
-    raw = keep(asked(prompts.repartition("model_name", "question_number"), client).drop("prompt"), "direct_answers")
+    text = context_text(lines)
+    shared = spark.sparkContext.broadcast((rules, text))  # bounded by context_text
+    names = spark.createDataFrame([(m,) for m in models], "model_name string")
+    rows = questions.select("question_number", "question").crossJoin(F.broadcast(names))  # a few models
+    rows = rows.join(gold.select("question_number", "golden_answer"), "question_number", "left").withColumns({
+        "golden_answer": F.coalesce("golden_answer", F.lit("")), "num_ctx_requested": F.lit(num_ctx), "question_hash": F.sha2("question", 256),
+        "kb_hash": F.lit(sha256(text.encode("utf-8", "surrogatepass")).hexdigest()), "rules_hash": F.lit(sha256(rules.encode()).hexdigest()),
+    })
+
+    def prompt_of(record: dict) -> dict:
+        rules, text = shared.value
+        asks = [] if record["question"] is None else [f"Question: {record['question']}"]
+        prompt = "\n\n".join([rules, text, *asks])
+        if record["golden_answer"] and record["golden_answer"] in prompt:
+            raise ValueError(f"gold answer in the prompt of question {record['question_number']}")
+        return {"prompt": prompt, "prompt_hash": sha256(prompt.encode("utf-8", "surrogatepass")).hexdigest(), "approx_tokens": len(prompt) // 4}
+
+    raw = keep(asked(rows.repartition("model_name", "question_number"), client, limits, ledger, prompt_of), "direct_answers")
     good = F.col("status") == "ok"
     answer = F.when(good, stripped("answer")).otherwise("")
     rows = raw.withColumns({
         "model_response": answer, "native_thinking": stripped("native_thinking"), "error_message": F.coalesce("error_message", F.lit("")),
         "actual_context_observed_if_available": F.col("prompt_eval_count"), "response_char_count": F.length(answer),
-        "notes": F.when(good, "").otherwise("per-question failure; continued to next question"),
+        "notes": F.when(good, "").otherwise("this question failed, the others were asked"),
     })
     return rows.select(*ANSWER_COLUMNS, "native_thinking", "approx_tokens", "seconds")
 

@@ -17,7 +17,7 @@ from .calls import Limits, answered, answered_once
 Client = Callable[[dict], str]
 CALL_SCHEMA = "output string, call_status string, attempts int, error string, seconds double"
 REPLY = "matched_row_ids array<string>, relevant_record_ids array<string>, verified_row_ids array<string>, removed_row_ids array<string>, filter_interpretation string, verification_notes string"
-#: Prompt sizes at which a context of the same length on every question means a silent cap.
+# Prompt sizes at which a context of the same length on every question means a silent cap.
 ROUND_CONTEXTS = (2048, 4096, 8192, 16384, 32768)
 
 
@@ -61,35 +61,40 @@ def valid_ids(raw: Column, allowed: Column) -> Column:
     return let(kept, lambda k: F.struct(k.alias("ids"), (F.size(F.coalesce(raw, F.array().cast("array<string>"))) - F.size(k)).alias("dropped")))
 
 
-def map_step(questions: DataFrame, parts: DataFrame, client: Client, retries: int = 2) -> DataFrame:
-    """A row a question and batch: the ids of the batch that the client names. A failed or unreadable reply counts as
-    failed, without ids."""
+def _keys(df: DataFrame) -> list[str]:
+    """What tells the questions of a run apart: q_id, and the model where several are asked."""
+    return [c for c in ("model", "q_id") if c in df.columns]
+
+
+def map_step(questions: DataFrame, parts: DataFrame, client: Client, retries: int = 2, **how) -> DataFrame:
+    """A row a question (of each model, if there is a column model) and batch: the ids of the batch that the client
+    names. A failed or unreadable reply counts as failed, without ids. how: limits and ledger of called()."""
     prompts = questions.crossJoin(parts).withColumn("stage", F.lit("map"))  # every question is asked of every batch
-    out = called(prompts, client, retries).withColumn("reply", F.from_json(json_body(F.col("output")), REPLY))
+    out = called(prompts, client, retries, **how).withColumn("reply", F.from_json(json_body(F.col("output")), REPLY))
     ids = F.coalesce("reply.matched_row_ids", "reply.relevant_record_ids")
     ok = (F.col("call_status") == "ok") & ids.isNotNull()
     checked = valid_ids(ids, F.col("batch_ids"))
     return out.select(
-        "q_id", "question", "batch_id", F.when(ok, checked["ids"]).otherwise(F.array().cast("array<string>")).alias("matched_ids"),
+        *_keys(out), "question", "batch_id", F.when(ok, checked["ids"]).otherwise(F.array().cast("array<string>")).alias("matched_ids"),
         F.when(ok, checked["dropped"]).otherwise(F.lit(0)).alias("dropped"), F.when(ok, "ok").otherwise("failed").alias("map_status"), "attempts", "error", "seconds",
     )
 
 
 def union_step(mapped: DataFrame) -> DataFrame:
     """A row a question: ids of all batches, once, in natural order, and how the map step went."""
-    return mapped.groupBy("q_id", "question").agg(
+    return mapped.groupBy(*_keys(mapped), "question").agg(
         natural_sorted(F.array_distinct(F.flatten(F.collect_list("matched_ids")))).alias("candidate_ids"), F.count("*").alias("n_batches"),
         F.count_if(F.col("map_status") == "failed").alias("n_map_failed"), F.sum("dropped").alias("dropped"), F.sum("seconds").alias("map_seconds"),
     )
 
 
-def verify_step(union: DataFrame, lines: DataFrame, client: Client) -> DataFrame:
+def verify_step(union: DataFrame, lines: DataFrame, client: Client, **how) -> DataFrame:
     """Keeps the candidates that the client confirms; a failure keeps all of them; without candidates it isn't asked."""
-    none = F.array().cast("array<string>")
-    texts = union.select("q_id", F.posexplode("candidate_ids").alias("at", "id")).join(lines.select(F.col("Record_ID").alias("id"), "line"), "id")
-    bodies = texts.groupBy("q_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda s: s["line"]), "\n").alias("candidate_text"))
-    full = union.join(bodies, "q_id", "left")
-    asked = called(full.filter(F.size("candidate_ids") > 0).withColumn("stage", F.lit("verify")), client)
+    none, keys = F.array().cast("array<string>"), _keys(union)
+    texts = union.select(*keys, F.posexplode("candidate_ids").alias("at", "id")).join(lines.select(F.col("Record_ID").alias("id"), "line"), "id")
+    bodies = texts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda s: s["line"]), "\n").alias("candidate_text"))
+    full = union.join(bodies, keys, "left")
+    asked = called(full.filter(F.size("candidate_ids") > 0).withColumn("stage", F.lit("verify")), client, **how)
     reply = F.from_json(json_body(F.col("output")), REPLY)
     asked = asked.withColumn("reply", reply).withColumn("ok", (F.col("call_status") == "ok") & F.col("reply.verified_row_ids").isNotNull())
     kept, gone = valid_ids(F.col("reply.verified_row_ids"), F.col("candidate_ids")), valid_ids(F.col("reply.removed_row_ids"), F.col("candidate_ids"))
@@ -102,17 +107,51 @@ def verify_step(union: DataFrame, lines: DataFrame, client: Client) -> DataFrame
     return done.unionByName(idle)
 
 
-def reduce_step(verified: DataFrame, client: Client) -> DataFrame:
+def reduce_step(verified: DataFrame, client: Client, **how) -> DataFrame:
     """The answer from the verified rows; a failure is an empty answer."""
-    out = called(verified.withColumn("stage", F.lit("reduce")), client)
-    return out.select(*verified.columns, F.coalesce("output", F.lit("")).alias("reduce_answer"), F.when(F.col("call_status") == "ok", "ok").otherwise("failed").alias("reduce_status"), F.col("seconds").alias("reduce_seconds"))
+    out = called(verified.withColumn("stage", F.lit("reduce")), client, **how)
+    status = F.when(F.col("call_status") == "ok", "ok").otherwise("failed")
+    return out.select(*verified.columns, F.coalesce("output", F.lit("")).alias("reduce_answer"), status.alias("reduce_status"), F.col("seconds").alias("reduce_seconds"), F.col("error").alias("reduce_error"))
+
+
+def _steps(questions: DataFrame, kb: DataFrame, client: Client, keep: Callable[[DataFrame, str], DataFrame], size: int, retries: int, **how) -> tuple[DataFrame, DataFrame]:
+    mapped = keep(map_step(questions, batches(kb, size), client, retries, **how), "map")
+    verified = keep(verify_step(union_step(mapped), kb.select("Record_ID", "line"), client, **how), "verify")
+    return mapped, keep(reduce_step(verified, client, **how), "reduce")
+
 
+def map_verify_reduce(questions: DataFrame, kb: DataFrame, client: Client, keep: Callable[[DataFrame, str], DataFrame], size: int = 40, retries: int = 2, **how) -> DataFrame:
+    """The batched run. keep(df, name) writes a step's rows and reads them back, so that later steps don't ask anew;
+    with a ledger (in how, as of called()) no prompt is asked twice, whichever task or run is run again."""
+    return _steps(questions, kb, client, keep, size, retries, **how)[1].drop("reduce_error")
 
-def map_verify_reduce(questions: DataFrame, kb: DataFrame, client: Client, keep: Callable[[DataFrame, str], DataFrame], size: int = 40, retries: int = 2) -> DataFrame:
-    """The batched run. keep(df, name) writes a step's rows and reads them back, so that no call is made twice."""
-    mapped = keep(map_step(questions, batches(kb, size), client, retries), "map")
-    verified = keep(verify_step(union_step(mapped), kb.select("Record_ID", "line"), client), "verify")
-    return keep(reduce_step(verified, client), "reduce")
+
+def batched_run(
+    questions: DataFrame, kb: DataFrame, models: list[str], client: Client, keep: Callable[[DataFrame, str], DataFrame], size: int = 40, retries: int = 2, config: dict | None = None, **how
+) -> DataFrame:
+    """The batched run of several models, a record a model and question with the columns of stored batched answers
+    (BATCH_SCHEMA): each batch's outcome, candidates, verification, answer, diagnostics, seconds and configuration.
+
+    The client is given the model in each prompt record. questions: q_id, question; config: further values of the
+    records' configuration. Written as JSON lines, the records are what batch_answers reads."""
+    names = questions.sparkSession.createDataFrame([(m,) for m in models], "model string")
+    mapped, rows = _steps(questions.select("q_id", "question").crossJoin(F.broadcast(names)), kb, client, keep, size, retries, **how)  # a few models
+    part = F.struct(
+        "batch_id", F.col("matched_ids").alias("relevant_record_ids"), F.col("matched_ids").alias("matched_row_ids"), "map_status", "attempts", F.col("dropped").cast("int").alias("dropped_hallucinated_count"), "error"
+    )
+    parts = mapped.groupBy("model", "q_id").agg(F.array_sort(F.collect_list(part)).alias("map"))
+    picked = selection(rows.select(F.struct("model", "q_id").alias("q_id"), "verified_ids"), kb).select("q_id.*", "companies", "announced", "selection_rate")
+    verified = F.struct("verify_status", F.col("verified_ids").alias("verified_row_ids"), F.col("removed_ids").alias("removed_row_ids"))
+    told = F.struct(
+        F.col("n_batches").cast("int").alias("n_batches"), F.col("n_map_failed").cast("int").alias("n_map_failed"), F.size("verified_ids").alias("union_size"),
+        F.col("companies").cast("int").alias("union_distinct_companies"), F.col("announced").cast("int").alias("union_announced_count"), F.col("selection_rate").cast("double").alias("selection_rate"),
+    )
+    own = F.struct(F.lit(size).alias("batch_size"), *[F.lit(v).alias(k) for k, v in (config or {}).items()])
+    return rows.join(parts, ["model", "q_id"]).join(picked, ["model", "q_id"]).select(
+        "q_id", "question", "model", F.lit("batchwise_map_reduce").alias("arm"), "map", F.col("candidate_ids").alias("candidate_record_ids"), verified.alias("verification"),
+        F.col("verified_ids").alias("union_record_ids"), F.col("verified_ids").alias("verified_record_ids"), "reduce_answer", "reduce_status", "reduce_error", told.alias("diagnostics"),
+        F.struct("map_seconds", "verify_seconds", "reduce_seconds").alias("timing"), own.alias("config"),
+    )
 
 
 def selection(rows: DataFrame, kb: DataFrame, ids: str = "verified_ids") -> DataFrame:

@@ -14,9 +14,10 @@ from .operators import mentions as me
 from .operators import nearness as nn
 from .operators import scoring as sc
 from .plans import direct, evaluation, inference, judge, synth
+from .plans.calls import Limits
 from .sources import answers as an
 from .sources import knowledge as kn
-from .sources.stored import stored
+from .sources.stored import new_path, stored
 from .streaming import scores as streaming
 
 QUERIES: dict = {}
@@ -589,6 +590,13 @@ def stub_client(record: dict) -> str:
     return f"Answer: done\nCount: {len(record['verified_ids'])}"
 
 
+def stub_models(record: dict) -> str:
+    """stub_client, but for m2 on the first batch."""
+    if record["stage"] == "map" and record["model"] == "m2" and record["batch_id"] == "b001":
+        raise TimeoutError("no reply")
+    return stub_client(record)
+
+
 @query("WITH q AS (SELECT unnest([2, 3, 5, 7]) AS q_id), n AS (SELECT count(*) AS total FROM supplier), c AS (SELECT q_id, s_suppkey + 1 AS id FROM q JOIN supplier ON (s_suppkey + 1) % q_id = 0) "
        "SELECT CAST(q_id AS VARCHAR) AS q_id, count(*) AS candidates, count(*) FILTER (WHERE id % 10 <> 5) AS verified, count(*) FILTER (WHERE id % 10 = 5) AS removed, count(*) FILTER (WHERE id % 10 <> 5) AS stated, round(count(*) FILTER (WHERE id % 10 <> 5) / max(total), 4) AS selection_rate FROM c, n GROUP BY 1")
 def map_verify_reduce(spark, sf_dir):
@@ -601,6 +609,21 @@ def map_verify_reduce(spark, sf_dir):
     return out.join(picked.select("q_id", "selection_rate"), "q_id")
 
 
+@query("WITH q AS (SELECT unnest([2, 3, 5, 7]) AS q_id), m AS (SELECT unnest(['m1', 'm2']) AS model), n AS (SELECT count(*) AS total, ceil(count(*) / 40)::INT AS parts FROM supplier), "
+       "c AS (SELECT model, q_id, s_suppkey + 1 AS id FROM q, m, supplier WHERE (s_suppkey + 1) % q_id = 0 AND (model = 'm1' OR s_suppkey >= 40)) "
+       "SELECT model AS model_name, q_id::INT AS question_number, 'batchwise_map_reduce' AS arm, 'Answer: done' || chr(10) || 'Count: ' || count(*) FILTER (WHERE id % 10 <> 5) AS response, CASE WHEN model = 'm1' THEN 0 ELSE 1 END AS map_failed_count, "
+       "count(*)::INT AS candidate_count, count(*) FILTER (WHERE id % 10 <> 5)::INT AS verified_count, 'ok' AS status FROM c GROUP BY model, q_id HAVING count(*) FILTER (WHERE id % 10 <> 5) > 0")
+def batched_run_of_models(spark, sf_dir):
+    """Two models in one run, of which the second fails on the first batch; written as records and read back as answers. Calls go through a ledger, four at a time."""
+    kb = kn.keyed_kb(kn.with_row_id(t(spark, sf_dir, "supplier").withColumnRenamed("s_name", "Company"), ["s_suppkey"])).withColumn("line", F.to_json(F.struct("row_id", "Company")))
+    questions = spark.createDataFrame([("2", "a"), ("3", "b"), ("5", "c"), ("7", "d")], "q_id string, question string")
+    path = new_path(spark)
+    run = inference.batched_run(questions, kb, ["m1", "m2"], stub_models, lambda df, _: stored(df), retries=1, config={"temperature": 0.0}, limits=Limits(in_flight=4), ledger=new_path(spark))
+    an.append_json(run, path)
+    answers = an.batch_answers(spark, path).filter("verified_count > 0")
+    return answers.select("model_name", "question_number", "arm", "response", "map_failed_count", "candidate_count", "verified_count", "status")
+
+
 @query("""WITH a AS (SELECT event_type AS model_name, CASE WHEN event_id % CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 50 ELSE 1000000 END = 0 AND event_type <> 'signup' THEN 'error' ELSE 'ok' END AS status,
   CASE WHEN event_type = 'signup' THEN 2048 ELSE 1000 + event_id % 50 END AS p, value FROM events),
 g AS (SELECT model_name, count(*) AS n, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'error') AS bad, min(p) FILTER (WHERE status = 'ok') AS lo, median(p) FILTER (WHERE status = 'ok') AS mid, max(p) FILTER (WHERE status = 'ok') AS hi FROM a GROUP BY 1)
