@@ -10,12 +10,13 @@ from .functions import text as tx
 from .operators import mentions as me
 from .operators import scoring as sc
 from .plans import evaluation, inference, judge
-from .queries import query, t
+from .queries import ORACLES, query, t
 from .sources import answer_log as lg
 from .sources import answers as an
 from .sources import knowledge as kn
 from .sources import workbook as wb
 from .sources.stored import new_path
+from .streaming import runs
 
 
 @query("SELECT CAST(n AS INT) AS question_number, CAST(2 * n - 1 AS INT) AS line, question FROM (SELECT row_number() OVER (ORDER BY n_nationkey) AS n, 'Who is in ' || n_name AS question FROM nation)")
@@ -257,3 +258,27 @@ def answers_logged_by_batches(spark, sf_dir):
     for _ in range(2):
         lg.feed(prompts, lambda stream: inference.called(stream, batch_client), folder, files=4, per_batch=2)
     return lg.logged_answers(spark, f"{folder}/log", "id long, name string, output string, call_status string, error string").select("id", "output", "call_status", "error")
+
+
+@query(ORACLES["run_summary"].replace("SELECT model_name, n AS total", "SELECT coalesce(model_name, 'none') AS model_name, n AS total"))
+def runs_as_they_end(spark, sf_dir):
+    """Answers that arrive as a stream, each twice; a model's last row comes by a timer when it falls silent, and says what run_summary says of the finished log."""
+    key, path = "spark.sql.streaming.stateStore.providerClass", new_path(spark)
+    a = t(spark, sf_dir, "events").selectExpr(
+        "event_type as model_name", "cast(event_id as int) as question_number", "if(event_id % (case event_type when 'error' then 1 when 'click' then 2 when 'view' then 50 else 1000000 end) = 0 and event_type <> 'signup', 'error', 'ok') as status",
+        "if(event_type = 'signup', 2048, 1000 + event_id % 50) as prompt_eval_count", "value as runtime_seconds", "65536 as num_ctx", "1100 as approx_tokens", "cast(ts as timestamp) as ts",
+    ).withColumns({"prompt_eval_count": F.col("prompt_eval_count").cast("int")})
+    a.unionByName(a).write.parquet(f"{path}/in")
+    # The clock of the stream moves on with one answer of another model, far behind all others.
+    later = a.agg(F.max("ts").alias("ts")).selectExpr("'~' as model_name", "1 as question_number", "'ok' as status", "1 as prompt_eval_count", "1d as runtime_seconds", "1 as num_ctx", "1 as approx_tokens", "ts + interval 9 days as ts")
+    later.write.mode("append").parquet(f"{path}/in")
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        states = runs.run_states(spark.readStream.schema(a.schema).parquet(f"{path}/in"), silent="1 day")
+        kept = states.writeStream.outputMode("update").foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{path}/out"))
+        kept.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    ended = spark.read.schema(runs.STATUS_SCHEMA).parquet(f"{path}/out").filter("ended").na.fill(-1, ["prompt_min", "prompt_median", "prompt_max"])
+    return ended.select("model_name", "total_questions", "completed_answers", "error_count", "prompt_min", "prompt_median", "prompt_max", "context_status", "run_status")
