@@ -152,3 +152,26 @@ def question_summary(scores: DataFrame) -> DataFrame:
 
 def arm_summary(models: DataFrame) -> DataFrame:
     return models.groupBy("arm").agg(F.avg("research_score").alias("mean_research_score"), F.count("*").alias("models"))
+
+
+#: The grains of grain_summary: what each groups scored answers by.
+GRAINS = {"model": ["arm", "model_name"], "question": ["question_number"], "arm": ["arm"], "judged": ["judge_recommended"], "all": []}
+
+
+def grain_summary(scores: DataFrame, grains: dict[str, list[str]] = GRAINS) -> DataFrame:
+    """The same figures at every grain, in one pass over the scored answers: a row a grain and group, with the grain's
+    name and the columns that it groups by (null where it doesn't, and where they are null themselves).
+
+    Grouping sets make partial states of all grains in one scan, which meet in one exchange; medians are states too."""
+    names = list(dict.fromkeys(c for cs in grains.values() for c in cs))
+    flag = lambda c: F.avg(F.col(c).cast("double"))
+    out = scores.groupingSets([[F.col(c) for c in cs] for cs in grains.values()], *[F.col(c) for c in names]).agg(
+        F.grouping_id().alias("__grain"), F.count("*").alias("answers"), F.count_if("answered").alias("answered"), (F.count_if("answered") / F.count("*")).alias("reliability"),
+        F.avg("entity_f1").alias("mean_entity_f1"), F.count("count_correct").alias("count_questions_scored"), flag("count_correct").alias("count_accuracy_rate"),
+        F.avg("field_value_accuracy").alias("field_value_accuracy"), flag("format_core_ok").alias("format_core_ok_rate"), F.min("prompt_eval_count").alias("prompt_eval_min"),
+        F.median("prompt_eval_count").alias("prompt_eval_median"), F.max("prompt_eval_count").alias("prompt_eval_max"), F.sum("runtime_seconds").alias("total_runtime_seconds"),
+    )
+    # The number of a grouping set has a bit for each column that it leaves out, the first column's the highest.
+    numbers = {sum(1 << (len(names) - 1 - k) for k, c in enumerate(names) if c not in cs): grain for grain, cs in grains.items()}
+    grain = F.coalesce(*[F.when(F.col("__grain") == n, g) for n, g in numbers.items()])
+    return out.select(grain.alias("grain"), *names, *[c for c in out.columns if c not in names and c != "__grain"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import mentions as me
+from .operators import ranks as rk
 from .operators import scoring as sc
 from .plans import evaluation, inference, judge
 from .queries import ORACLES, query, t
@@ -282,3 +283,41 @@ def runs_as_they_end(spark, sf_dir):
         spark.conf.set(key, before)
     ended = spark.read.schema(runs.STATUS_SCHEMA).parquet(f"{path}/out").filter("ended").na.fill(-1, ["prompt_min", "prompt_median", "prompt_max"])
     return ended.select("model_name", "total_questions", "completed_answers", "error_count", "prompt_min", "prompt_median", "prompt_max", "context_status", "run_status")
+
+
+@query("""SELECT o_orderkey, rank() OVER (ORDER BY o_orderdate DESC, o_orderpriority) AS rank, dense_rank() OVER (ORDER BY o_orderdate DESC, o_orderpriority) AS dense_rank,
+  row_number() OVER (ORDER BY o_orderdate DESC, o_orderpriority, o_orderkey) AS row_number FROM orders""")
+def ranks_of_all_orders(spark, sf_dir):
+    """Ranks with ties over a whole table, no task of which sees all rows."""
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    made = rk.with_ranks(o, [(F.col("o_orderdate"), True), (F.col("o_orderpriority"), False)], [(F.col("o_orderkey"), False)])
+    return made.select("o_orderkey", "rank", "dense_rank", "row_number")
+
+
+@query("""SELECT o_orderkey, rank() OVER (ORDER BY o_orderstatus) AS rank, dense_rank() OVER (ORDER BY o_orderstatus) AS dense_rank, row_number() OVER (ORDER BY o_orderstatus, o_orderkey DESC) AS row_number FROM orders""")
+def ranks_of_few_values(spark, sf_dir):
+    """Three values in all, so that ties go on over many partitions."""
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return rk.with_ranks(o, [(F.col("o_orderstatus"), False)], [(F.col("o_orderkey"), True)]).drop("o_orderstatus")
+
+
+_GRAINS = """WITH s AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS arm, CASE WHEN o_custkey % 6 > 0 THEN 'm' || o_custkey % 6 END AS model_name, CAST(o_orderkey % 40 AS INT) AS question_number, o_orderkey % 3 = 0 AS judge_recommended,
+  o_orderkey % 7 > 0 AS answered, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 101) / 100 END AS entity_f1, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 9 > 2 END AS count_correct, CAST(o_orderkey % 11 AS DOUBLE) / 10 AS field_value_accuracy,
+  o_orderkey % 2 = 0 AS format_core_ok, CAST(o_orderkey % 1000 AS INT) AS prompt_eval_count, CAST(o_orderkey % 13 AS DOUBLE) AS runtime_seconds FROM orders)"""
+
+
+@query(f"""{_GRAINS} SELECT CASE grouping_id(arm, model_name, question_number, judge_recommended) WHEN 3 THEN 'model' WHEN 13 THEN 'question' WHEN 7 THEN 'arm' WHEN 14 THEN 'judged' ELSE 'all' END AS grain, arm, model_name, coalesce(question_number, -1) AS question_number, coalesce(CAST(judge_recommended AS VARCHAR), '-') AS judge_recommended,
+  count(*) AS answers, count(*) FILTER (WHERE answered) AS answered, count(*) FILTER (WHERE answered) / count(*) AS reliability, round(avg(entity_f1), 9) AS mean_entity_f1, count(count_correct) AS count_questions_scored, round(avg(CAST(count_correct AS INT)), 9) AS count_accuracy_rate,
+  round(avg(field_value_accuracy), 9) AS field_value_accuracy, avg(CAST(format_core_ok AS INT)) AS format_core_ok_rate, min(prompt_eval_count) AS prompt_eval_min, median(prompt_eval_count) AS prompt_eval_median, max(prompt_eval_count) AS prompt_eval_max, sum(runtime_seconds) AS total_runtime_seconds
+  FROM s GROUP BY GROUPING SETS ((arm, model_name), (question_number), (arm), (judge_recommended), ())""")
+def summary_of_all_grains(spark, sf_dir):
+    """Model, question, arm and judge split in one pass, medians included; null arms and models are groups."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    scores = t(spark, sf_dir, "orders").select(
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("arm"), F.when(c % 6 > 0, F.concat(F.lit("m"), (c % 6).cast("string"))).alias("model_name"), (o % 40).cast("int").alias("question_number"),
+        (o % 3 == 0).alias("judge_recommended"), (o % 7 > 0).alias("answered"), F.when(o % 5 > 0, (o % 101) / 100).alias("entity_f1"), F.when(o % 4 > 0, o % 9 > 2).alias("count_correct"), ((o % 11).cast("double") / 10).alias("field_value_accuracy"),
+        (o % 2 == 0).alias("format_core_ok"), (o % 1000).cast("int").alias("prompt_eval_count"), (o % 13).cast("double").alias("runtime_seconds"),
+    )
+    made = evaluation.grain_summary(scores)
+    made = made.withColumns({"question_number": F.coalesce("question_number", F.lit(-1)), "judge_recommended": F.coalesce(F.col("judge_recommended").cast("string"), F.lit("-"))})
+    return made.withColumns({c: F.round(c, 9) for c in ("mean_entity_f1", "count_accuracy_rate", "field_value_accuracy")})
