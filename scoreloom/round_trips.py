@@ -10,6 +10,7 @@ from .functions import text as tx
 from .operators import mentions as me
 from .operators import ranks as rk
 from .operators import scoring as sc
+from .operators import sublists as sl
 from .plans import evaluation, inference, judge
 from .queries import ORACLES, query, t
 from .sources import answer_log as lg
@@ -321,3 +322,16 @@ def summary_of_all_grains(spark, sf_dir):
     made = evaluation.grain_summary(scores)
     made = made.withColumns({"question_number": F.coalesce("question_number", F.lit(-1)), "judge_recommended": F.coalesce(F.col("judge_recommended").cast("string"), F.lit("-"))})
     return made.withColumns({c: F.round(c, 9) for c in ("mean_entity_f1", "count_accuracy_rate", "field_value_accuracy")})
+
+
+@query(r"""WITH d AS (SELECT DISTINCT trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS text FROM conversations WHERE text IS NOT NULL), b AS (SELECT DISTINCT trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS text FROM benchmark WHERE text IS NOT NULL),
+y AS (SELECT array_to_string(string_split(text, ' ')[1:2], ' ') AS phrase FROM d UNION SELECT array_to_string(string_split(text, ' ')[1:3], ' ') FROM b UNION SELECT array_to_string(string_split(text, ' ')[3:3], ' ') FROM d),
+p AS (SELECT text, string_split(text, ' ') AS t, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM d), g AS (SELECT text, i, array_to_string(t[i:i + k - 1], ' ') AS phrase FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(t))
+SELECT phrase, count(DISTINCT text) AS texts, count(*) AS places FROM g SEMI JOIN y USING (phrase) WHERE phrase <> '' GROUP BY 1""")
+def words_in_order(spark, sf_dir):
+    """Which lists of words follow each other in which conversations, by sorted suffixes: how they and the benchmark's items begin, and their third words."""
+    tidy = F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " "))
+    d, b = (t(spark, sf_dir, name).filter("text IS NOT NULL").select(F.split(tidy, " ").alias("w"), tidy.alias("text")) for name in ("conversations", "benchmark"))
+    begins = d.select(F.slice("w", 1, 2).alias("w")).unionByName(b.select(F.slice("w", 1, 3).alias("w"))).unionByName(d.select(F.slice("w", 3, 1).alias("w")))
+    found = sl.sublists(begins.select(F.array_join("w", " ").alias("phrase")), d.select("text"))
+    return found.groupBy("phrase").agg(F.count("*").alias("texts"), F.sum(F.size("starts")).alias("places"))
