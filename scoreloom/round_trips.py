@@ -16,6 +16,8 @@ from .queries import ORACLES, query, t
 from .sources import answer_log as lg
 from .sources import answers as an
 from .sources import knowledge as kn
+from .sources import upserts as up
+from .sources import varying as va
 from .sources import workbook as wb
 from .sources.stored import new_path
 from .streaming import runs
@@ -335,3 +337,38 @@ def words_in_order(spark, sf_dir):
     begins = d.select(F.slice("w", 1, 2).alias("w")).unionByName(b.select(F.slice("w", 1, 3).alias("w"))).unionByName(d.select(F.slice("w", 3, 1).alias("w")))
     found = sl.sublists(begins.select(F.array_join("w", " ").alias("phrase")), d.select("text"))
     return found.groupBy("phrase").agg(F.count("*").alias("texts"), F.sum(F.size("starts")).alias("places"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 > 0 THEN 'm' || o_orderkey % 5 END AS model_name, CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_custkey AS INT) END AS question_number FROM orders),
+r AS (SELECT model_name, question_number, 1 AS round, k AS value FROM o UNION ALL SELECT model_name, question_number, 2, k + 1000000 FROM o WHERE k % 3 = 0 UNION ALL SELECT model_name, question_number, 0, k + 2000000 FROM o WHERE k % 2 = 0)
+SELECT coalesce(model_name, '-') AS model_name, coalesce(question_number, -1) AS question_number, round, value FROM r QUALIFY row_number() OVER (PARTITION BY model_name, question_number ORDER BY round DESC, value DESC) = 1""")
+def answers_upserted(spark, sf_dir):
+    """Three rounds of answers put into a table by key, the last record of a key counts, null keys are keys."""
+    path, k = new_path(spark), F.col("o_orderkey")
+    o = t(spark, sf_dir, "orders").select(F.when(k % 5 > 0, F.concat(F.lit("m"), (k % 5).cast("string"))).alias("model_name"), F.when(k % 7 > 0, F.col("o_custkey").cast("int")).alias("question_number"), k.alias("value"))
+    # Of one round's records of a key the greatest value is the last one.
+    last = lambda df, at: df.groupBy("model_name", "question_number").agg(F.max("value").alias("value")).withColumn("at", F.lit(at))
+    for rows in (last(o, 1), last(o.filter("value % 3 = 0").withColumn("value", F.col("value") + 1000000), 2), last(o.filter("value % 2 = 0").withColumn("value", F.col("value") + 2000000), 0)):
+        up.upsert(rows, path, ["model_name", "question_number"], "at", buckets=16)
+    return up.upserted(spark, path).select(F.coalesce("model_name", F.lit("-")).alias("model_name"), F.coalesce("question_number", F.lit(-1)).alias("question_number"), F.col("at").alias("round"), "value")
+
+
+@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'direct_context' ELSE 'batchwise_map_reduce' END AS arm, 'm' || o_orderkey % 3 AS model_name, CAST(o_custkey AS INT) AS question_number,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE o_orderstatus END AS response, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_custkey % 100 AS INT) WHEN o_orderkey % 2 = 1 THEN 5 ELSE -1 END AS prompt_eval_count,
+  CASE WHEN o_orderkey % 2 = 0 THEN '{"deep":[' || o_orderkey || ',null]}' END AS unknown FROM orders""")
+def logs_of_two_versions(spark, sf_dir):
+    """Lines of both arms and of changing shape read as one table, written again with a field more, and read back; what no column knows is still there."""
+    first, second, k = new_path(spark), new_path(spark), F.col("o_orderkey")
+    o = t(spark, sf_dir, "orders")
+    model = F.concat(F.lit("m"), (k % 3).cast("string"))
+    direct = o.filter(k % 2 == 0).select(
+        k.alias("k"), model.alias("model_name"), F.col("o_custkey").alias("question_number"), F.col("o_orderpriority").alias("model_response"), F.when(k % 4 == 0, (F.col("o_custkey") % 100).cast("string")).otherwise("n/a").alias("prompt_eval_count"),
+        F.struct(F.array(k, F.lit(None).cast("long")).alias("deep")).alias("unknown"),
+    )
+    batch = o.filter(k % 2 == 1).select(k.alias("k"), model.alias("model"), F.col("o_custkey").cast("string").alias("q_id"), F.col("o_orderstatus").alias("reduce_answer"), F.struct(F.lit(5).alias("reduce_prompt_eval_count")).alias("ollama"))
+    an.append_json(direct, first)
+    an.append_json(batch, first)
+    read = lambda path: va.varying_answers(va.varying_log(spark, path))
+    va.write_varying(read(first).select("arm", "record"), second)
+    told = read(second).withColumns({"k": F.variant_get("record", "$.k", "bigint"), "unknown": F.to_json(F.try_variant_get("record", "$.unknown", "variant"))})
+    return told.select("k", "arm", "model_name", "question_number", "response", F.coalesce("prompt_eval_count", F.lit(-1)).alias("prompt_eval_count"), "unknown")
