@@ -49,13 +49,18 @@ def _key(tokens: Column, at: Column | int, n: int) -> list[Column]:
     return [F.xxhash64(F.lit(n), *run).alias("key"), F.hash(*run, F.lit(n)).alias("check")]
 
 
-def occurrences(texts: DataFrame, keys: list[str], text: str, aliases: DataFrame, alias: str = "alias") -> DataFrame:
+def lengths_of(aliases: DataFrame, alias: str = "alias") -> list[int]:
+    """The numbers of words that aliases have: a few."""
+    return sorted(r[0] for r in aliases.select(F.size(F.split(alias, " ")).alias("n")).distinct().collect())
+
+
+def occurrences(texts: DataFrame, keys: list[str], text: str, aliases: DataFrame, alias: str = "alias", lengths: list[int] | None = None) -> DataFrame:
     """Rows of aliases found in the texts as whole tokens: keys, start, stop and the aliases' columns.
 
-    Texts are cut into runs of as many tokens as aliases have (these few lengths are asked for once); an equality
+    Texts are cut into runs of as many tokens as aliases have (lengths: lengths_of(aliases), if it is known); an equality
     join of hashes meets them with the aliases. Spark broadcasts these only where its size check allows."""
     words = F.split(alias, " ")
-    lengths = sorted(r[0] for r in aliases.select(F.size(words).alias("n")).distinct().collect())
+    lengths = lengths_of(aliases, alias) if lengths is None else lengths
     if not lengths:
         return texts.select(*keys, F.lit(0).alias("start"), F.lit(0).alias("stop")).limit(0).join(aliases.limit(0), F.lit(False))
     none = F.array().cast("array<struct<start:int,stop:int,key:bigint,check:int>>")
@@ -90,9 +95,9 @@ def greedy(spans: Column) -> Column:
     return F.aggregate(ordered, seed, step, lambda a: a["kept"])
 
 
-def companies_in(texts: DataFrame, keys: list[str], text: str, aliases: DataFrame) -> DataFrame:
+def companies_in(texts: DataFrame, keys: list[str], text: str, aliases: DataFrame, lengths: list[int] | None = None) -> DataFrame:
     """keys and companies (sorted, distinct) for every row of texts; texts that name none have an empty array."""
-    found = occurrences(texts, keys, text, aliases).groupBy(*keys).agg(F.collect_list(F.struct("start", "stop", "kb_ord", "company")).alias("spans"))
+    found = occurrences(texts, keys, text, aliases, lengths=lengths).groupBy(*keys).agg(F.collect_list(F.struct("start", "stop", "kb_ord", "company")).alias("spans"))
     named = found.select(*keys, F.array_sort(F.array_distinct(F.transform(greedy(F.col("spans")), lambda s: s["company"]))).alias("companies"))
     return texts.select(*keys).join(named, keys, "left").withColumn("companies", F.coalesce("companies", F.array().cast("array<string>")))
 

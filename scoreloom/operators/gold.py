@@ -60,13 +60,13 @@ def gold_records(gold: DataFrame, aliases: DataFrame, counties: DataFrame) -> Da
     return out.withColumn("gold_numbers", sorted_numbers(numbers))
 
 
-def unknown_mentions(answers: DataFrame, keys: list[str], aliases: DataFrame, response: str = "response") -> DataFrame:
+def unknown_mentions(answers: DataFrame, keys: list[str], aliases: DataFrame, response: str = "response", lengths: list[int] | None = None) -> DataFrame:
     """(keys, mention): company-like phrases of a text that are no label, name no known company and are part of no alias."""
     found = F.transform(F.regexp_extract_all(F.coalesce(F.col(response), F.lit("")), F.lit(COMPANY_PHRASE), F.lit(1)), lambda x: F.regexp_replace(x, r"^[ .,:;|]+|[ .,:;|]+$", ""))
     rows = answers.select(*keys, F.explode(F.array_distinct(found)).alias("mention"))
     short = norm_company(F.col("mention"))
     rows = rows.filter((F.length(short) >= 4) & ~short.isin(*LABELS) & ~norm(F.col("mention")).isin(*LABELS))
-    texts = companies_in(rows.select("mention").distinct(), ["mention"], "mention", aliases).filter(F.size("companies") == 0).select("mention", short.alias("short"))
+    texts = companies_in(rows.select("mention").distinct(), ["mention"], "mention", aliases, lengths).filter(F.size("companies") == 0).select("mention", short.alias("short"))
     part = part_of_any(texts, "mention", "short", aliases, "alias")
     return rows.join(texts.select("mention"), "mention", "left_semi").join(part, "mention", "left_anti").select(*keys, "mention")
 

@@ -9,7 +9,7 @@ from ..functions.evidence import evidence_rows, section
 from ..functions.fuzzy import best_of, ratio
 from ..functions.text import COMPANY_LIKE, COMPANY_PHRASE, FUZZY_MIN_LENGTH, FUZZY_THRESHOLD, GENERIC_PHRASES, SECTIONS, canonical_key, let, norm, norm_company
 from ..sources.stored import stored
-from .entities import _grams, companies_in
+from .entities import _grams, companies_in, occurrences
 
 # Fields that a candidate may be a value of, and the classes.
 OTHER_FIELDS = ("Primary OEMs", "Category", "Primary Facility Type", "Supplier or Affiliation Type", "EV Supply Chain Role", "Classification Method")
@@ -17,7 +17,7 @@ CLASSES = (
     "known_kb_company", "misspelled_kb_company", "true_out_of_kb_hallucination", "industry_group_false_positive", "product_service_false_positive",
     "kb_supported_non_company_field", "not_a_company_phrase",
 )
-#: Names compared in one step of a near match.
+#: Names compared in one step of nearest_of_all.
 NAME_BLOCK = 256
 
 
@@ -40,26 +40,28 @@ def mentions(answers: DataFrame, keys: list[str], response: str = "response") ->
     )
 
 
-def _field_grams(kb: DataFrame) -> DataFrame:
-    """(phrase, rank, kind, field, value): what a candidate of two or more tokens may be part of, whole values first."""
-    parts = []
-    for rank, (field, kind) in enumerate([("Industry Group", "industry_group_false_positive"), ("Product / Service", "product_service_false_positive"), *[(f, "kb_supported_non_company_field") for f in OTHER_FIELDS]]):
-        if field in kb.columns:
-            parts.append(kb.select(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.lit(field).alias("field"), norm(F.col(f"`{field}`").cast("string")).alias("value")))
-    values = kb.sparkSession.createDataFrame([], "rank int, kind string, field string, value string")
-    for p in parts:
-        values = values.unionByName(p)
-    values = values.filter("value <> ''").distinct()
-    whole = values.select("rank", "kind", "field", "value", F.col("value").alias("phrase"), F.lit(0).alias("part"))
-    longest = values.agg(F.max(F.size(F.split("value", " ")))).first()[0] or 1
-    grams = values.select("rank", "kind", "field", "value", F.explode(_grams(F.split("value", " "), longest)).alias("g")).filter("g.stop - g.start >= 2")
-    return whole.unionByName(grams.select("rank", "kind", "field", "value", F.col("g.gram").alias("phrase"), F.lit(1).alias("part")).filter("phrase <> value")).distinct()
+def _field_hits(asked: DataFrame, kb: DataFrame) -> DataFrame:
+    """(cand_norm, rank, kind, field, value, part) of the candidates of asked (cand_norm) that are a value of a field of
+    the knowledge table, or (two words or more) follow each other in one.
 
+    Values are cut into runs of as many words as candidates have, so that a long value costs in proportion."""
+    kinds = [("Industry Group", "industry_group_false_positive"), ("Product / Service", "product_service_false_positive"), *[(f, "kb_supported_non_company_field") for f in OTHER_FIELDS]]
+    cells = [
+        F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.lit(field).alias("field"), norm(F.col(f"`{field}`").cast("string")).alias("value"))
+        for rank, (field, kind) in enumerate(kinds) if field in kb.columns
+    ]
+    none = F.array().cast("array<struct<rank:int,kind:string,field:string,value:string>>")
+    values = kb.select(F.explode(F.array(*cells) if cells else none).alias("v")).select("v.*").filter("value <> ''").distinct()
+    whole = asked.join(values, F.col("cand_norm") == F.col("value")).select("cand_norm", "rank", "kind", "field", "value", F.lit(0).alias("part"))
+    several = asked.filter(F.size(F.split("cand_norm", " ")) >= 2)
+    inside = occurrences(values, ["rank", "kind", "field", "value"], "value", several, "cand_norm").filter("cand_norm <> value")
+    return whole.unionByName(inside.select("cand_norm", "rank", "kind", "field", "value", F.lit(1).alias("part")))
 
-def classify(found: DataFrame, keys: list[str], kb: DataFrame, aliases: DataFrame, keep=stored, report_nearest: bool = False) -> DataFrame:
+
+def classify(found: DataFrame, keys: list[str], kb: DataFrame, aliases: DataFrame, keep=stored, report_nearest: bool = False, lengths: list[int] | None = None) -> DataFrame:
     """found with classification, matched_kb_company, similarity, match_kind, matched_field and matched_value.
 
-    report_nearest: made-up names carry the nearest company below the threshold too, found by nearest_of_all.
+    lengths: those of the aliases, if they are known. report_nearest: made-up names carry the nearest company below the threshold too, found by nearest_of_all.
 
     Candidates are classified once a text and source. The steps, each an equality join (n-grams of the knowledge
     table's values, not a comparison of all with all): generic phrase, known company, value of another field, near
@@ -72,12 +74,11 @@ def classify(found: DataFrame, keys: list[str], kb: DataFrame, aliases: DataFram
     generic = texts.select("cand_norm").distinct().join(labels, F.col("cand_norm") == F.col("label"), "left_semi").withColumn("is_label", F.lit(True))
     texts = texts.join(generic, "cand_norm", "left").withColumn("generic", F.coalesce("is_label", F.lit(False)) | F.col("cand_norm").isin(*GENERIC_PHRASES) | (F.col("cand_key") == "")).drop("is_label")
 
-    known = companies_in(texts.select("cand").distinct(), ["cand"], "cand", aliases).select("cand", F.get("companies", F.lit(0)).alias("known"))
+    known = companies_in(texts.select("cand").distinct(), ["cand"], "cand", aliases, lengths).select("cand", F.get("companies", F.lit(0)).alias("known"))
     texts = keep(texts.join(known, "cand", "left"))
 
-    several = F.size(F.split("cand_norm", " ")) >= 2
     field = texts.filter(~F.col("generic") & F.col("known").isNull() & (F.length("cand_norm") >= 5)).select("cand_norm").distinct()
-    hits = field.join(_field_grams(kb), F.col("cand_norm") == F.col("phrase")).filter((F.col("part") == 0) | several)
+    hits = _field_hits(field, kb)
     # Products: the longest value first; others: whole values before parts, then the smallest value.
     order = F.struct("rank", F.when(F.col("rank") == 1, F.lit(0)).otherwise(F.col("part")), F.when(F.col("rank") == 1, -F.length("value")).otherwise(F.lit(0)), "value")
     best = hits.groupBy("cand_norm").agg(F.min_by(F.struct("kind", "field", "value"), order).alias("hit"))
@@ -153,12 +154,11 @@ def nearest(keys: DataFrame, names: DataFrame, least: float = FUZZY_THRESHOLD) -
     a, b = F.length("cand_key"), F.length("kb_key")
     fits = b.between(F.ceil(low * a - 1e-9), F.floor(high * a + 1e-9)) & (F.size(F.array_intersect("__mine", "__pairs")) >= (1.5 * least - 1) * (a + b) - 1 - 1e-9)
     met = left.join(right, "__pair").filter(fits).groupBy("cand_key", "kb_key").agg(F.min("kb_ord").alias("kb_ord"), F.first("Company").alias("Company"))
-    blocks = max(1, -(-names.count() // NAME_BLOCK))
-    return _best(met.withColumn("block", F.pmod(F.xxhash64("kb_key"), F.lit(blocks))).groupBy("cand_key", "block").agg(F.array_sort(F.collect_list(F.struct("kb_ord", "kb_key", "Company"))).alias("names"))).filter(F.col("score") >= least)
+    return _best(met.groupBy("cand_key").agg(F.array_sort(F.collect_list(F.struct("kb_ord", "kb_key", "Company"))).alias("names"))).filter(F.col("score") >= least)
 
 
 def _best(asked: DataFrame) -> DataFrame:
-    """(cand_key, score, near) of rows (cand_key, block, names): the best over all blocks."""
+    """(cand_key, score, near) of rows (cand_key, names): the best over all rows of a key."""
     scored = asked.withColumn("best", best_of(F.col("cand_key"), F.transform("names", lambda s: s["kb_key"])))
     hit = F.get("names", F.col("best.at"))
     return scored.filter("best.at is not null").groupBy("cand_key").agg(
@@ -184,14 +184,14 @@ def class_counts(classified: DataFrame, answers: DataFrame, keys: list[str]) ->
     return answers.select(*keys).join(counts, keys, "left").na.fill(0, [*[f"n_{c}" for c in CLASSES], "evidence_company_mentions"])
 
 
-def row_id_checks(answers: DataFrame, keys: list[str], kb: DataFrame, aliases: DataFrame, response: str = "response", keep=stored) -> DataFrame:
+def row_id_checks(answers: DataFrame, keys: list[str], kb: DataFrame, aliases: DataFrame, response: str = "response", keep=stored, lengths: list[int] | None = None) -> DataFrame:
     """A row for each Evidence row with a row id: whether the company there is the one of the knowledge table's row.
 
     Near spellings are looked at only for rows that nothing plainer has matched."""
     rows = answers.select(*keys, F.posexplode(evidence_rows(F.col(response))).alias("ord", "e")).select(*keys, "ord", F.col("e.company").alias("claimed_company"), F.col("e.row_id").alias("cited_row_id"))
     rows = rows.filter("cited_row_id is not null")
     joined = rows.join(kb.select(F.col("row_id").alias("cited_row_id"), F.trim("Company").alias("kb_company"), F.lit(True).alias("found")), "cited_row_id", "left")
-    named = companies_in(joined.select("claimed_company").distinct(), ["claimed_company"], "claimed_company", aliases)
+    named = companies_in(joined.select("claimed_company").distinct(), ["claimed_company"], "claimed_company", aliases, lengths)
     joined = joined.join(named, "claimed_company", "left")
     c, k = F.col("claimed_company"), F.col("kb_company")
     plain = (

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import extract_count, extract_numbers, half_even, inline_thinking, judge_recommended, norm, question_type, requested_fields, section_flags, sorted_numbers, supporting_ids
-from ..operators.entities import alias_table, companies_in, counties_in
+from ..operators.entities import alias_table, companies_in, counties_in, lengths_of
 from ..operators.gold import unknown_mentions
 from ..operators.mentions import class_counts, classify, mentions, row_id_checks
 from ..operators.scoring import answered, composite, count_scores, differences, entity_basis, field_accuracy, field_checks, id_scores, numeric_recall, set_scores, valid_and_bad
@@ -62,11 +62,12 @@ def scored_answers(answers: DataFrame, gold: DataFrame, kb: DataFrame, keep=stor
     base = with_answer_id(answers.withColumns(missing | {"response": F.coalesce("response", F.lit(""))}).join(gold_of(gold), "question_number"), keep)
     kb = keep(kb)
     aliases = keep(alias_table(kb))
+    sizes = lengths_of(aliases)
     counties = kb.select(F.trim(F.regexp_extract("Location", r"(?s),(.*)$", 1)).alias("county")).filter("county <> ''").distinct().withColumn("alias", norm(F.col("county")))
     texts = base.select(*ID, "response")
     r = F.col("response")
     cited = base.select(*ID, supporting_ids(r).alias("cited"))
-    found = base.join(companies_in(texts, ID, "response", aliases), ID).join(counties_in(texts, ID, "response", counties), ID).join(valid_and_bad(cited, ID, "cited", kb), ID, "left")
+    found = base.join(companies_in(texts, ID, "response", aliases, sizes), ID).join(counties_in(texts, ID, "response", counties), ID).join(valid_and_bad(cited, ID, "cited", kb), ID, "left")
     parts = keep(found.withColumns({
         "answered": answered(F.col("status"), r), "pred_count": extract_count(r), "sections": section_flags(r), "cited": supporting_ids(r), "numbers": extract_numbers(r),
         "inline_thinking_leak": inline_thinking(r), "entity_basis": entity_basis(F.col("gold_companies"), F.col("gold_counties"), F.col("gold_count")),
@@ -89,13 +90,13 @@ def scored_answers(answers: DataFrame, gold: DataFrame, kb: DataFrame, keep=stor
         F.length(r).alias("response_char_count"), "source_file",
     )
     checks = field_accuracy(field_checks(parts, ID, kb, [f for f in FIELDS if f in kb.columns]), ID).select(*ID, half_even(F.col("field_value_accuracy"), 4).alias("field_value_accuracy"))
-    classes = class_counts(classify(mentions(texts, ID), ID, kb, aliases, keep), texts, ID)
+    classes = class_counts(classify(mentions(texts, ID), ID, kb, aliases, keep, lengths=sizes), texts, ID)
     classes = classes.withColumnsRenamed({f"n_{c}": n for c, n in COUNTERS.items()})
     status = F.col("status")
-    rows = row_id_checks(texts, ID, kb, aliases, keep=keep).groupBy(*ID).agg(
+    rows = row_id_checks(texts, ID, kb, aliases, keep=keep, lengths=sizes).groupBy(*ID).agg(
         F.count("*").alias("row_id_company_checked"), F.count_if(status == "mismatch").alias("row_id_company_mismatch_count"), F.count_if(status == "bad_row_id").alias("row_id_bad_count")
     )
-    unknown = unknown_mentions(texts, ID, aliases).groupBy(*ID).agg(F.array_sort(F.collect_set("mention")).alias("m"))
+    unknown = unknown_mentions(texts, ID, aliases, lengths=sizes).groupBy(*ID).agg(F.array_sort(F.collect_set("mention")).alias("m"))
     legacy = unknown.select(*ID, F.to_json("m").alias("legacy_unknown_company_mentions"), F.size("m").alias("legacy_unknown_company_mention_count"))
     out = flat.join(checks, ID, "left").join(classes, ID).join(rows, ID, "left").join(legacy, ID, "left")
     zeros = ["row_id_company_checked", "row_id_company_mismatch_count", "row_id_bad_count", "legacy_unknown_company_mention_count"]
