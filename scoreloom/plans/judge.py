@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +15,17 @@ from .calls import Limits, answered, answered_once
 # The rubric's metrics and the columns that a judge sees.
 METRICS = ("factual_faithfulness", "completeness", "correctness", "evidence_grounding", "company_grounding", "usefulness")
 REASON_LENGTH = 600
+
+
+@dataclass(frozen=True)
+class Rubric:
+    """What a metric asks of a judge: its steps, and the fields of a case that it is shown (empty: all of them)."""
+
+    steps: tuple[str, ...]
+    sees: tuple[str, ...] = ()
+
+
+# What a judge's context shows of a row.
 CONTEXT_FIELDS = ("row_id", "Company", "Category", "Industry Group", "Location", "Primary Facility Type", "EV Supply Chain Role", "Primary OEMs", "Supplier or Affiliation Type", "Employment", "Product / Service", "EV / Battery Relevant")
 
 
@@ -41,11 +53,23 @@ def contexts(answers: DataFrame, keys: list[str], kb: DataFrame, max_rows: int =
     )
 
 
-def judged(cases: DataFrame, judge: Callable[[str, dict], tuple[float, str]], metrics: tuple[str, ...] = METRICS, limits: Limits = Limits(), ledger: str | None = None) -> DataFrame:
+def judged(cases: DataFrame, judge: Callable[[str, dict], tuple[float, str]], metrics: tuple[str, ...] | dict[str, Rubric] = METRICS, limits: Limits = Limits(), ledger: str | None = None) -> DataFrame:
     """cases with a score and a reason of each metric, their mean over those that worked, and status.
 
     judge(metric, case) gives a score and a reason; where it raises, the score is null and status partial_error. An
-    empty answer is judged as "(empty answer)"; reasons are cut to REASON_LENGTH characters."""
+    empty answer is judged as "(empty answer)"; reasons are cut to REASON_LENGTH characters. With a Rubric for each
+    metric, a case has its steps as `steps`, and of its fields only those that the rubric shows: a metric that isn't to
+    see the gold answer can't.
+
+    limits and ledger: as of called(); a case that failed in part isn't taken from the ledger."""
+    rubrics = metrics if isinstance(metrics, dict) else {}
+    if unknown := {f for r in rubrics.values() for f in r.sees}.difference(cases.columns):
+        raise ValueError(f"rubrics show fields that cases don't have: {sorted(unknown)}")
+    metrics = tuple(metrics)
+
+    def shown(metric: str, case: dict) -> dict:
+        rubric = rubrics.get(metric)
+        return case if rubric is None else {k: v for k, v in case.items() if not rubric.sees or k in rubric.sees} | {"steps": list(rubric.steps)}
 
     def ask(case: dict, begin: Callable[[], None]) -> dict:
         case["response"] = case.get("response") or "(empty answer)"
@@ -53,7 +77,7 @@ def judged(cases: DataFrame, judge: Callable[[str, dict], tuple[float, str]], me
         for m in metrics:
             try:
                 begin()
-                score, reason = judge(m, case)
+                score, reason = judge(m, shown(m, case))
                 out[m], out[f"{m}_reason"] = float(score), str(reason)[:REASON_LENGTH]
             except Exception as e:  # noqa: BLE001  one metric's failure leaves the others
                 out |= {m: None, f"{m}_reason": f"{type(e).__name__}: {e}"[:REASON_LENGTH], "status": "partial_error"}

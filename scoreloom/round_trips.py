@@ -132,6 +132,12 @@ def stub_judge(metric: str, case: dict) -> tuple[float, str]:
     return (case["s_suppkey"] % 5) / 10 + judge.METRICS.index(metric) / 100, f"{metric} of {case['response']}"
 
 
+def stub_rubric_judge(metric: str, case: dict) -> tuple[float, str]:
+    """Scores by how an empty answer is shown; the reason tells what it was shown."""
+    score = (2 if case["response"] == "(empty answer)" else 3) + (2 if metric == "blind" else 0)
+    return score / 10, "; ".join(case["steps"]) + ": " + ",".join(sorted(k for k in case if k != "steps"))
+
+
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'partial_error' ELSE 'ok' END AS status, (s_suppkey % 5) / 10 + 0.01 AS completeness, 'completeness of ' || CASE WHEN s_suppkey % 3 = 0 THEN '(empty answer)' ELSE s_name END AS reason, "
        "CASE WHEN s_suppkey % 4 = 0 THEN 'ValueError: no score' ELSE 'usefulness of ' || CASE WHEN s_suppkey % 3 = 0 THEN '(empty answer)' ELSE s_name END END AS last_reason, round((s_suppkey % 5) / 10 + CASE WHEN s_suppkey % 4 = 0 THEN 0.02 ELSE 0.025 END, 6) AS judge_mean FROM supplier")
 def judged_answers(spark, sf_dir):
@@ -372,3 +378,18 @@ def logs_of_two_versions(spark, sf_dir):
     va.write_varying(read(first).select("arm", "record"), second)
     told = read(second).withColumns({"k": F.variant_get("record", "$.k", "bigint"), "unknown": F.to_json(F.try_variant_get("record", "$.unknown", "variant"))})
     return told.select("k", "arm", "model_name", "question_number", "response", F.coalesce("prompt_eval_count", F.lit(-1)).alias("prompt_eval_count"), "unknown")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 3 END / 10.0 AS faith, (CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 3 END + 2) / 10.0 AS blind, 'look; say: context,response' AS faith_reason, 'say: response,s_suppkey' AS blind_reason FROM supplier")
+def judged_by_rubrics(spark, sf_dir):
+    """Each metric has its steps and sees only what its rubric shows."""
+    cases = t(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 > 0, F.col("s_name")).alias("response"), F.array("s_name").alias("context"), F.lit("secret").alias("gold"))
+    rubrics = {"faith": judge.Rubric(("look", "say"), ("response", "context")), "blind": judge.Rubric(("say",), ("s_suppkey", "response"))}
+    made = judge.judged(cases, stub_rubric_judge, rubrics)
+    return made.select("s_suppkey", F.col("faith").cast("decimal(3,1)").cast("double").alias("faith"), F.col("blind").cast("decimal(3,1)").cast("double").alias("blind"), "faith_reason", "blind_reason")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def display_columns(spark, sf_dir):
+    """of the columns to show those that are there."""
+    return an.present_columns(t(spark, sf_dir, "supplier"), ["s_suppkey", "nowhere", "s_name"])

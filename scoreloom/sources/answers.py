@@ -128,6 +128,11 @@ def write_config(spark: SparkSession, config: dict, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def present_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Those of the columns named that are there, in the order named."""
+    return df.select(*[F.col(f"`{c}`") for c in columns if c in df.columns])
+
+
 def fixed_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns named, in this order; others are left out and missing ones are null."""
     return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
