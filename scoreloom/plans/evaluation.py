@@ -176,3 +176,34 @@ def grain_summary(scores: DataFrame, grains: dict[str, list[str]] = GRAINS) -> D
     numbers = {sum(1 << (len(names) - 1 - k) for k, c in enumerate(names) if c not in cs): grain for grain, cs in grains.items()}
     grain = F.coalesce(*[F.when(F.col("__grain") == n, g) for n, g in numbers.items()])
     return out.select(grain.alias("grain"), *names, *[c for c in out.columns if c not in names and c != "__grain"])
+
+
+def model_summary_v1(scores: DataFrame) -> DataFrame:
+    """The first version's summary, a row an arm and model (null keys are groups too): its columns, its score (company-like
+    phrases that no alias has count as made up), and the rank by it."""
+    c = F.col
+    mean, flag = F.avg, lambda name: F.avg(c(name).cast("double"))
+    unknown = c("legacy_unknown_company_mention_count")
+    # The table's columns.
+    grouped = scores.groupBy("arm", "model_name").agg(
+        F.count("*").alias("questions"), F.count_if("answered").alias("answered"), (F.count_if("answered") / F.count("*")).alias("reliability"), mean("entity_f1").alias("mean_entity_f1"),
+        mean("entity_precision").alias("mean_entity_precision"), mean("entity_recall").alias("mean_entity_recall"), mean(F.when(~c("judge_recommended"), c("entity_f1"))).alias("nonjudge_mean_entity_f1"),
+        mean(F.when(c("judge_recommended"), c("entity_f1"))).alias("judge_recommended_mean_entity_f1"), F.count("count_correct").alias("count_questions_scored"), flag("count_correct").alias("count_accuracy_rate"),
+        mean(F.when(c("count_correct").isNotNull(), F.abs("count_error"))).alias("mean_abs_count_error"), mean("field_value_accuracy").alias("field_value_accuracy"), flag("format_core_ok").alias("format_core_ok_rate"),
+        mean((unknown > 0).cast("double")).alias("answers_with_unknown_company_mentions_rate"), mean(unknown).alias("avg_unknown_company_mentions"), F.count_if("inline_thinking_leak").alias("inline_thinking_leak_count"),
+        mean("runtime_seconds").alias("avg_runtime_seconds"), F.sum("runtime_seconds").alias("total_runtime_seconds"), F.min("prompt_eval_count").alias("prompt_eval_min"), F.median("prompt_eval_count").alias("prompt_eval_median"),
+        F.max("prompt_eval_count").alias("prompt_eval_max"),
+    )
+    score = composite(c("mean_entity_f1"), c("count_accuracy_rate"), c("field_value_accuracy"), c("answers_with_unknown_company_mentions_rate"), c("format_core_ok_rate"), c("reliability"))
+    rounded = {n: half_even(c(n), 4) for n, k in grouped.dtypes if k == "double" and not n.startswith("prompt_")}
+    made = grouped.withColumn("research_score_deterministic", half_even(score, 4)).withColumns(rounded)
+    return ranked(made, "research_score_deterministic").orderBy("rank_by_research_score", "arm", "model_name")
+
+
+def question_summary_v1(scores: DataFrame) -> DataFrame:
+    """The first version's row a question: what all its answers share, and those of question_summary."""
+    shared = ["question_type", "judge_recommended", "gold_company_count"]
+    first = scores.groupBy("question_number").agg(*[F.first(c, ignorenulls=True).alias(c) for c in shared])
+    return first.join(question_summary(scores), "question_number").select(
+        "question_number", "question_type", "judge_recommended", "gold_count", "gold_company_count", "mean_entity_f1", "models_with_count_match", "models_scored_for_count", "best_model_by_entity_f1"
+    )

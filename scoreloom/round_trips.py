@@ -393,3 +393,24 @@ def judged_by_rubrics(spark, sf_dir):
 def display_columns(spark, sf_dir):
     """of the columns to show those that are there."""
     return an.present_columns(t(spark, sf_dir, "supplier"), ["s_suppkey", "nowhere", "s_name"])
+
+
+@query("""WITH s AS (SELECT 'a' || o_orderkey % 2 AS arm, CASE WHEN o_custkey % 6 > 0 THEN 'm' || o_custkey % 6 END AS model_name, o_orderkey % 3 = 0 AS judge, o_orderkey % 7 > 0 AS answered, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 101) / 100 END AS f1,
+  (o_orderkey % 11) / 10 AS p, (o_orderkey % 13) / 12 AS r, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 9 > 2 END AS correct, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 9 - 4 END AS err, o_orderkey % 17 / 16 AS field, o_orderkey % 2 = 0 AS ok,
+  CASE WHEN o_orderkey % 10 > 6 THEN o_orderkey % 10 - 6 ELSE 0 END AS unknown, o_orderkey % 19 = 0 AS leak, CAST(o_orderkey % 23 AS DOUBLE) AS sec, CAST(o_orderkey % 1000 AS INT) AS prompt FROM orders),
+g AS (SELECT arm, model_name, count(*) AS questions, count(*) FILTER (WHERE answered) AS answered, avg(f1) AS f1, avg(p) AS p, avg(r) AS r, avg(f1) FILTER (WHERE NOT judge) AS nf1, avg(f1) FILTER (WHERE judge) AS jf1, count(correct) AS scored, avg(CAST(correct AS INT)) AS acc,
+  avg(abs(err)) FILTER (WHERE correct IS NOT NULL) AS mae, avg(field) AS field, avg(CAST(ok AS INT)) AS fmt, avg(CAST(unknown > 0 AS INT)) AS made, avg(unknown) AS unk, count(*) FILTER (WHERE leak) AS leaks, avg(sec) AS sec, sum(sec) AS total, min(prompt) AS lo, median(prompt) AS mid, max(prompt) AS hi FROM s GROUP BY 1, 2),
+t AS (SELECT *, round_even(0.45 * coalesce(f1, 0) + 0.2 * coalesce(acc, 0) + 0.15 * coalesce(field, 0) + 0.1 * (1 - made) + 0.05 * fmt + 0.05 * answered / questions, 4) AS score FROM g)
+SELECT arm, coalesce(model_name, '-') AS model_name, questions, answered, round_even(answered / questions, 4) AS reliability, round_even(f1, 4) AS mean_entity_f1, round_even(p, 4) AS mean_entity_precision, round_even(r, 4) AS mean_entity_recall, round_even(nf1, 4) AS nonjudge_mean_entity_f1, round_even(jf1, 4) AS judge_recommended_mean_entity_f1,
+  scored AS count_questions_scored, round_even(acc, 4) AS count_accuracy_rate, round_even(mae, 4) AS mean_abs_count_error, round_even(field, 4) AS field_value_accuracy, round_even(fmt, 4) AS format_core_ok_rate, round_even(made, 4) AS answers_with_unknown_company_mentions_rate, round_even(unk, 4) AS avg_unknown_company_mentions, leaks AS inline_thinking_leak_count,
+  round_even(sec, 4) AS avg_runtime_seconds, total AS total_runtime_seconds, lo AS prompt_eval_min, mid AS prompt_eval_median, hi AS prompt_eval_max, score AS research_score_deterministic FROM t""")
+def first_version_summary(spark, sf_dir):
+    """The first version's model table, its composite included."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    scores = t(spark, sf_dir, "orders").select(
+        F.concat(F.lit("a"), (o % 2).cast("string")).alias("arm"), F.when(c % 6 > 0, F.concat(F.lit("m"), (c % 6).cast("string"))).alias("model_name"), (o % 3 == 0).alias("judge_recommended"), (o % 7 > 0).alias("answered"),
+        F.when(o % 5 > 0, (o % 101) / 100).alias("entity_f1"), ((o % 11) / 10).alias("entity_precision"), ((o % 13) / 12).alias("entity_recall"), F.when(o % 4 > 0, o % 9 > 2).alias("count_correct"), F.when(o % 4 > 0, o % 9 - 4).alias("count_error"),
+        (o % 17 / 16).alias("field_value_accuracy"), (o % 2 == 0).alias("format_core_ok"), F.greatest(o % 10 - 6, F.lit(0)).alias("legacy_unknown_company_mention_count"), (o % 19 == 0).alias("inline_thinking_leak"),
+        (o % 23).cast("double").alias("runtime_seconds"), (o % 1000).cast("int").alias("prompt_eval_count"),
+    )
+    return evaluation.model_summary_v1(scores).withColumn("model_name", F.coalesce("model_name", F.lit("-"))).drop("rank_by_research_score")
