@@ -20,6 +20,8 @@ RADIUS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: A bucket of more distinct fingerprints than this is indexed again by its other bits.
 BUCKET = 4096
+#: A second-level bucket of more is compared by pairs of blocks of about so many, each pair in a task of its own.
+BLOCK = 1 << 16
 #: Fingerprints that one step of a bucket's comparison looks at.
 STEP = 1 << 15
 
@@ -152,6 +154,19 @@ def _joined(index: DataFrame) -> DataFrame:
     return index.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(_verify, "u long, v long")
 
 
+def _in_blocks(index: DataFrame, most: int) -> DataFrame:
+    """index (key, fp), with keys of over `most` rows dealt out: their fingerprints lie in blocks, and every two blocks
+    (and each with itself) are a key of their own, so that all pairs of a bucket still meet, in tasks of bounded size."""
+    large = written(index.groupBy("key").count().filter(F.col("count") > most), "large-buckets")
+    if large.isEmpty():
+        return index
+    many = F.ceil(F.col("count") / most)
+    mine, other = F.pmod(F.xxhash64("fp"), many), F.explode(F.sequence(F.lit(0).cast("long"), many - 1))
+    dealt = index.join(large.hint("merge"), "key").select("key", "fp", mine.alias("mine"), other.alias("other"))
+    pairs = dealt.select("fp", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))
+    return index.join(large.hint("merge"), "key", "left_anti").select("fp", "key").unionByName(pairs)
+
+
 def _open(place: Column) -> Column:
     """The bits that a first-level key leaves open, by the place in it: all but its segment, and the blanked bit."""
     masks = []
@@ -188,21 +203,22 @@ def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(made, names=["fp", "key"])
 
 
-def links(distinct_fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def links(distinct_fps: DataFrame, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """(u, v): links whose components are those of all pairs of fingerprints within RADIUS bits.
 
     Every such pair shares a one-wildcard variant of some segment. A bucket of over `bucket` fingerprints is not
     compared as it is: its rows are indexed again by variants of the 43 or 44 bits that its key leaves open (again a
     pair within RADIUS shares one), which deals them out over many keys. What is in one bucket then agrees in half
-    of all bits or more; it is compared in memory that doesn't grow with it, dense groups in few steps (links_within).
-    No pair is dropped at either level."""
+    of all bits or more; it is compared in memory that doesn't grow with it, dense groups in few steps (links_within),
+    and over several tasks where it is larger than `block`. No pair is dropped at either level."""
     index = distinct_fps.select("fp", F.explode(_variants(F.col("fp"), SEGMENTS)).alias("key"))
     hot = written(index.groupBy("key").count().filter(F.col("count") > bucket).select("key"), "hot-keys")
     if hot.isEmpty():
         return _joined(index)
     cool = _joined(index.join(hot, "key", "left_anti"))
     inside = index.join(hot, "key").withColumn("open", _open(F.shiftright(F.col("key"), 22)))
-    return cool.unionByName(_joined(inside.select("fp", "key", "open").mapInArrow(_again, "fp long, key long")))
+    again = written(inside.select("fp", "key", "open").mapInArrow(_again, "fp long, key long"), "second-index")
+    return cool.unionByName(_joined(_in_blocks(again, block)))
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:

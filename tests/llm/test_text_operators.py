@@ -164,6 +164,8 @@ def test_a_bucket_of_very_many_fingerprints(spark):
     df = spark.createDataFrame(pd.DataFrame({"fp": np.concatenate((fps, planted)).view(np.int64)})).distinct()
     sample = np.concatenate((fps[:200], planted))
     labels = {r.node: r.label for r in graph.components(simhash.links(df, bucket=1000)).collect()}
+    dealt = {r.node: r.label for r in graph.components(simhash.links(df, bucket=1000, block=150)).collect()}
+    assert dealt == labels  # as well over many tasks
     every = np.concatenate((fps, planted))
     for f in sample:
         near = every[np.bitwise_count(every ^ f) <= 4].view(np.int64).tolist()
