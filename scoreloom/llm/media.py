@@ -15,6 +15,7 @@ import tarfile
 import time
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ PAD = 255
 ARCHIVE_BYTES = 128 << 20
 RANGE_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
+#: Ranges that a read is planned in at most (and one more); larger totals have larger ranges.
+MOST_RANGES = 100_000
 RETRIES = 4
 PNG = b"\x89PNG\r\n\x1a\n"
 
@@ -115,8 +118,13 @@ class _Archive:
         self.out.write(media + bytes(fill))
         self.at += 512 + len(media) + fill
 
-    def close(self, kind: pa.DataType) -> list[tuple[str, int, int, int]]:
-        """The archive's ranges: its name, number of the range, first and end byte."""
+    def drop(self) -> None:
+        """Takes away what a task that fails has begun."""
+        self.out.close()
+        self.fs.delete_file(f"{self.base}.tar")
+
+    def close(self, kind: pa.DataType) -> tuple[str, list[int]]:
+        """The archive's name, and where the parts of its index begin and the last one ends."""
         self.out.write(bytes(1024))
         self.out.close()
         keys, offsets, sizes, sums = zip(*self.rows)
@@ -124,8 +132,7 @@ class _Archive:
         with self.fs.open_output_stream(f"{self.base}.index") as out, pa.ipc.new_file(out, index.schema) as writer:
             for (_, first), (_, stop) in zip(self.cuts, [*self.cuts[1:], (0, len(self.rows))]):
                 writer.write_batch(index.slice(first, stop - first).combine_chunks().to_batches()[0])
-        stops = [*(at for at, _ in self.cuts[1:]), self.at]
-        return [(self.name, k, at, stop) for k, ((at, _), stop) in enumerate(zip(self.cuts, stops))]
+        return self.name, [*(at for at, _ in self.cuts), self.at]
 
 
 def store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -134,33 +141,40 @@ def store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, now = [], None
-        for b in batches:
-            kind = b.column(0).type
-            for key, text in zip(b.column(0), b.column(1)):
-                if now is None:
-                    now = _Archive(folder)
-                now.add(key.as_py(), to_png(padded(text.as_py().encode("utf-8", "replace"))))
-                if now.at >= ARCHIVE_BYTES:
-                    done += now.close(kind)
-                    now = None
-        if now is not None:
-            done += now.close(kind)
+        try:
+            for b in batches:
+                kind = b.column(0).type
+                for key, text in zip(b.column(0), b.column(1)):
+                    if now is None:
+                        now = _Archive(folder)
+                    now.add(key.as_py(), to_png(padded(text.as_py().encode("utf-8", "replace"))))
+                    if now.at >= ARCHIVE_BYTES:
+                        done.append(now.close(kind))
+                        now = None
+            if now is not None:
+                done.append(now.close(kind))
+                now = None
+        finally:
+            if now is not None:
+                now.drop()
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["name", "part", "low", "high"])
+            names, cuts = zip(*done)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(cuts, pa.list_(pa.int64()))], names=["name", "cuts"])
 
     spark = df.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
     manifest = f"{folder}/manifest"
-    source.mapInArrow(put, "name string, part long, low long, high long").write.parquet(manifest)
+    source.mapInArrow(put, "name string, cuts array<long>").write.parquet(manifest)
     return manifest
 
 
 class ByteRange(InputPartition):
-    """Members of an archive whose data begin at low or later and before high; part: the batch of its index."""
+    """Members of archives: of each one named those whose data begin at low or later and before high, which parts first
+    to stop (not included) of its index name."""
 
-    def __init__(self, name: str | None, part: int = 0, low: int = 0, high: int = 0):
-        self.name, self.part, self.low, self.high = name, part, low, high
+    def __init__(self, pieces: list[tuple[str, int, int, int, int]]):
+        self.pieces = pieces  # (name, first, stop, low, high)
 
 
 class MediaArchives(DataSource):
@@ -187,25 +201,39 @@ class MediaReader(DataSourceReader):
         import pyarrow.dataset as ds
 
         files, base = _opened(self.folder)
+        # A row an archive. Ranges grow with the whole, so that their number doesn't, beyond MOST_RANGES.
         manifest = ds.dataset(f"{base}/manifest", format="parquet", filesystem=files, exclude_invalid_files=False).to_table().to_pylist()
-        step = self.range_bytes
-        ranges = [ByteRange(m["name"], m["part"], low, min(low + step, m["high"])) for m in manifest for low in range(m["low"], m["high"], step)]
-        return ranges or [ByteRange(None)]
+        step = max(self.range_bytes, sum(m["cuts"][-1] for m in manifest) // MOST_RANGES)
+        out, pieces, held = [], [], 0
+        for m in manifest:
+            cuts = m["cuts"]
+            for low in range(0, cuts[-1], step):
+                high = min(low + step, cuts[-1])
+                pieces.append((m["name"], bisect_right(cuts, low) - 1, bisect_left(cuts, high), low, high))
+                held += high - low
+                if held >= step:
+                    out.append(ByteRange(pieces))
+                    pieces, held = [], 0
+        return [*out, ByteRange(pieces)]
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
-        if part.name is None:
-            return
         files, base = _opened(self.folder)
-        index = again(lambda: self.index(files, f"{base}/{part.name}.index", part.part))
-        first, stop = np.searchsorted(index.column(1).to_numpy(), (part.low, part.high))
+        for name, first, stop, low, high in part.pieces:
+            for k in range(first, stop):
+                yield from self.range(files, base, name, k, low, high)
+
+    def range(self, files, base: str, name: str, k: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
+        """Members of one part of an archive's index whose data begin from low to high."""
+        index = again(lambda: self.index(files, f"{base}/{name}.index", k))
+        first, stop = np.searchsorted(index.column(1).to_numpy(), (low, high))
         index = index.slice(first, stop - first)
         offsets, sizes, sums = (index.column(k).to_numpy() for k in (1, 2, 3))
         at = 0
         while at < len(sizes):
             n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), BATCH_BYTES, "right")))
-            media = self.members(files, f"{base}/{part.name}.tar", offsets[at : at + n].tolist(), sizes[at : at + n].tolist(), sums[at : at + n].tolist())
+            media = self.members(files, f"{base}/{name}.tar", offsets[at : at + n].tolist(), sizes[at : at + n].tolist(), sums[at : at + n].tolist())
             own = index.slice(at, n)
-            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([part.name] * n), own.column(1), pa.array(media, pa.binary())], names=["id", "archive", "offset", "media"])
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([name] * n), own.column(1), pa.array(media, pa.binary())], names=["id", "archive", "offset", "media"])
             at += n
 
     @staticmethod

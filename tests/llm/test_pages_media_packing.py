@@ -169,21 +169,21 @@ def test_archives_are_read_by_ranges_and_members_again_alone(spark, docs, monkey
             return One()
 
     files, base = media._opened(folder)
-    part = reader.partitions()[0]
+    name = reader.partitions()[0].pieces[0][0]
     import pyarrow as pa
 
-    with files.open_input_file(f"{base}/{part.name}.index") as source:
+    with files.open_input_file(f"{base}/{name}.index") as source:
         index = pa.ipc.open_file(source).read_all().to_pylist()
-    whole = media.MediaReader.members(Flaky(files), f"{base}/{part.name}.tar", *([m[c] for m in index[:9]] for c in ("offset", "size", "crc")))
+    whole = media.MediaReader.members(Flaky(files), f"{base}/{name}.tar", *([m[c] for m in index[:9]] for c in ("offset", "size", "crc")))
     assert [zlib.crc32(m) for m in whole] == [m["crc"] for m in index[:9]]
     flaky = Flaky(files)
     monkeypatch.setattr(media.time, "sleep", lambda _: None)
     for m in index[:5]:
-        data = media.MediaReader.member(flaky, f"{base}/{part.name}.tar", m["offset"], m["size"], m["crc"])
+        data = media.MediaReader.member(flaky, f"{base}/{name}.tar", m["offset"], m["size"], m["crc"])
         assert zlib.crc32(data) == m["crc"]
     assert all(n == 2 for n in flaky.seen.values())
     with pytest.raises(OSError):
-        media.MediaReader.member(files, f"{base}/{part.name}.tar", index[0]["offset"], index[0]["size"], index[0]["crc"] ^ 1)
+        media.MediaReader.member(files, f"{base}/{name}.tar", index[0]["offset"], index[0]["size"], index[0]["crc"] ^ 1)
 
 
 def test_a_range_is_one_request_and_one_part_of_the_index(spark, docs, monkeypatch):
@@ -195,13 +195,49 @@ def test_a_range_is_one_request_and_one_part_of_the_index(spark, docs, monkeypat
         archive.add(k, bytes([k % 251]) * 700)
     import pyarrow as pa
 
-    parts = archive.close(pa.int64())
-    assert len(parts) > 5 and parts[0][2] == 0 and all(a[3] == b[2] for a, b in zip(parts, parts[1:]))
+    name, cuts = archive.close(pa.int64())
+    assert len(cuts) > 6 and cuts[0] == 0 and cuts == sorted(cuts)
     reader, seen, opens = media.MediaReader(folder, 1 << 20), [], Counter()
     monkeypatch.setattr(media, "_opened", lambda _: (Counting(files, opens), base))
-    for name, k, low, high in parts:
-        seen += [i for b in reader.read(media.ByteRange(name, k, low, high)) for i in b.column(0).to_pylist()]
-    assert seen == list(range(300)) and opens[f"{base}/{parts[0][0]}.tar"] == len(parts)
+    for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        seen += [i for b in reader.read(media.ByteRange([(name, k, k + 1, low, high)])) for i in b.column(0).to_pylist()]
+    assert seen == list(range(300)) and opens[f"{base}/{name}.tar"] == len(cuts) - 1
+
+
+def test_ranges_grow_with_the_whole(spark, monkeypatch):
+    monkeypatch.setattr(media, "RANGE_BYTES", 4_000)
+    monkeypatch.setattr(media, "MOST_RANGES", 7)
+    folder = new_path(spark, "media")
+    files = media._opened(folder)[0]
+    files.create_dir(media._opened(folder)[1])
+    made, n = [], 0
+    import pyarrow as pa
+
+    for size in (5, 40, 1, 25):  # archives of different length, parts of index smaller than a range
+        archive = media._Archive(folder)
+        for _ in range(size):
+            archive.add(n, bytes([n % 251]) * 1500)
+            n += 1
+        made.append(archive.close(pa.int64()))
+    import pyarrow.parquet as pq
+
+    files.create_dir(f"{media._opened(folder)[1]}/manifest")
+    pq.write_table(pa.table({"name": [m[0] for m in made], "cuts": [m[1] for m in made]}), f"{media._opened(folder)[1]}/manifest/a.parquet")
+    reader = media.MediaReader(folder, 4_000)
+    parts = reader.partitions()
+    assert len(parts) <= 8 and sorted(i for p in parts for b in reader.read(p) for i in b.column(0).to_pylist()) == list(range(n))
+
+
+def test_a_task_that_fails_leaves_no_archive(spark):
+    folder = new_path(spark, "media")
+    files, base = media._opened(folder)
+    files.create_dir(base)
+    archive = media._Archive(folder)
+    archive.add(1, b"x")
+    archive.drop()
+    from pyarrow import fs
+
+    assert files.get_file_info(fs.FileSelector(base)) == []
 
 
 class Counting:
