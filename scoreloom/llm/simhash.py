@@ -211,7 +211,9 @@ def links(distinct_fps: DataFrame, bucket: int = BUCKET, block: int = BLOCK) ->
     pair within RADIUS shares one), which deals them out over many keys. What is in one bucket then agrees in half
     of all bits or more; it is compared in memory that doesn't grow with it, dense groups in few steps (links_within),
     and over several tasks where it is larger than `block`. No pair is dropped at either level."""
-    index = distinct_fps.select("fp", F.explode(_variants(F.col("fp"), SEGMENTS)).alias("key"))
+    # A fingerprint becomes 64 rows: what is a small table before is dealt over as many tasks as its index needs.
+    spread = distinct_fps.repartition(int(distinct_fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    index = spread.select("fp", F.explode(_variants(F.col("fp"), SEGMENTS)).alias("key"))
     hot = written(index.groupBy("key").count().filter(F.col("count") > bucket).select("key"), "hot-keys")
     if hot.isEmpty():
         return _joined(index)
