@@ -13,6 +13,7 @@ last anchor is the window itself."""
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -347,14 +348,21 @@ def repeated_windows(source: DataFrame, anchors: tuple[int, ...] = ANCHORS, grou
 
 
 def _bucketed(texts: DataFrame) -> DataFrame:
-    """texts (a, b, body) as a table of buckets of (a, b) in the shared folder: joins by them leave texts in place."""
+    """texts (a, b, body) as a table of buckets of (a, b) in the shared folder: joins by them leave texts in place. Its
+    name leaves the catalog when the driver ends, as its files leave the folder."""
     spark: SparkSession = texts.sparkSession
     name = f"scoreloom_texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts.write.bucketBy(buckets, "a", "b").sortBy("a", "b").option("path", new_path(spark, "texts")).option("compression", "zstd").format("parquet").saveAsTable(name)
+    atexit.register(_forget, spark, name)
     return spark.table(name)
 
 
+def _forget(spark: SparkSession, name: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def _left(df: DataFrame, kind: str) -> DataFrame:
     """(id, body, runs) -> (id, n_bytes, spans, kept)."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
