@@ -1,7 +1,11 @@
-"""Operator 7, SimHash near-duplicates: deletion-variant index over three segments, joined by equality and verified."""
+"""Operator 7, SimHash near-duplicates: deletion-variant index over three segments, joined by equality and verified.
+
+Wide fingerprints, for the pipeline's near copies, meet by whole segments (wide_buckets): where a seventh of all bits
+differ, blanking each bit of longer segments takes ten times as many keys for the same pairs."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +28,16 @@ BUCKET = 4096
 BLOCK = 1 << 16
 #: Fingerprints that one step of a bucket's comparison looks at.
 STEP = 1 << 15
+#: Wide fingerprints, for links beyond what 64 bits tell apart: CHECK bits are compared, WIDE of them may differ.
+CHECK, WIDE = 128, 40
+#: The greatest share of bits in which sets of a Jaccard similarity of 0.8 or more differ (all cases up to 90 shingles;
+#: 0.1515, by the angle, for many); sets of 4 and 5 shingles differ in more of them.
+APART, APART_FEW, FEW = 0.1612, 0.1875, 5
+#: A pair at that limit shares no segment with this probability.
+MISSED = 6e-5
+#: Unlike texts that meet in a segment's bucket, on average.
+MEET = 64
+_SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, 4096, np.uint64)
 
 
 def fingerprint(text: str | None) -> int:
@@ -276,3 +290,121 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     least = written(least, "least-rows")
     rest = rest.join(least.select(F.col("__stay_row").alias("__row")).distinct().hint("merge"), F.col("__stay_row") == F.col("__row"), "left_semi")
     return once.unionByName(rest.dropDuplicates(["__stay_row"]).select(df.columns))
+
+
+def segments_for(rows: int) -> tuple[int, int, int]:
+    """Bits of a segment of wide fingerprints, how many segments a text has, and how many one of FEW shingles or less.
+
+    Segments are longer where more texts would meet in a bucket by chance, and more of them are needed then."""
+    width = 14
+    while rows > MEET << width:
+        width += 2
+    many, few = (math.ceil(math.log(MISSED) / math.log1p(-((1 - p) ** width))) for p in (APART, APART_FEW))
+    return width, many, few
+
+
+def wide_bits(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The first n bits of the SimHash of a set of hashes; each 64 bits come from hashes mixed with a salt of their own."""
+    salts = _SALTS[: -(-n // 64)]
+    over = np.zeros(64 * len(salts), np.int64)
+    for at in range(0, len(hashes), 255):  # as many as a byte counts
+        x = hashes[at : at + 255, None] ^ salts
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(0xFF51AFD7ED558CCD)
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(0xC4CEB9FE1A85EC53)
+        x ^= x >> np.uint64(33)
+        over += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return (2 * over > len(hashes))[:n]
+
+
+def wide_fingerprint(hashes: np.ndarray, width: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """CHECK bits of a set, as two longs, and its segments, as whole numbers."""
+    bits = wide_bits(hashes, CHECK + width * segments)
+    return np.packbits(bits[:CHECK]).view(np.int64), bits[CHECK:].reshape(segments, width) @ (1 << np.arange(width))
+
+
+def _wide_parts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first row of each row's component in one bucket of CHECK bits (a, b), in memory that doesn't grow with it."""
+    first, rest = np.arange(len(a)), np.arange(len(a))
+    while len(rest):
+        root, front, rest = rest[0], rest[:1], rest[1:]
+        while len(front) and len(rest):
+            now, front = front[:64], front[64:]
+            stay = np.ones(len(rest), bool)
+            for at in range(0, len(rest), STEP):
+                part = rest[at : at + STEP]
+                hit = (np.bitwise_count(a[part][:, None] ^ a[now]) + np.bitwise_count(b[part][:, None] ^ b[now]) <= WIDE).any(axis=1)
+                first[part[hit]] = root
+                stay[at : at + STEP] = ~hit
+            front = np.concatenate((front, rest[~stay]))
+            rest = rest[stay]
+    return first
+
+
+def _wide_verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, a, b) sorted by key -> (node, root) for each text with another within WIDE bits in its bucket;
+    root is the smallest node of those that such steps lead to there."""
+
+    def work(k: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        sizes = np.diff(np.append(cut, len(k)))
+        first = np.arange(len(k))
+        us, vs, left = [], [], np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 128), sizes))
+        for lag in range(1, 128):
+            left = left[left + lag < len(k)]
+            left = left[k[left + lag] == k[left]]
+            if not len(left):
+                break
+            far = np.bitwise_count(a[left] ^ a[left + lag]) + np.bitwise_count(b[left] ^ b[left + lag])
+            us.append(left[far <= WIDE])
+            vs.append(us[-1] + lag)
+        if us:
+            u, v = np.concatenate(us), np.concatenate(vs)
+            while (first[u] != first[v]).any():
+                low = np.minimum(first[u], first[v])
+                np.minimum.at(first, u, low)
+                np.minimum.at(first, v, low)
+        for at, n in zip(cut[sizes > 128], sizes[sizes > 128]):
+            first[at : at + n] = at + _wide_parts(a[at : at + n], b[at : at + n])
+        low = node.copy()
+        np.minimum.at(low, first, node)
+        near = np.bincount(first, minlength=len(k))[first] > 1
+        pairs = np.unique(np.stack([node[near], low[first[near]]], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["node", "root"])
+
+    held = [np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64)]
+    for batch in batches:
+        new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        held = [np.concatenate((x, y.view(x.dtype))) for x, y in zip(held, new)]
+        whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last bucket may go on
+        if whole:
+            yield work(*(x[:whole] for x in held))
+            held = [x[whole:] for x in held]
+    if len(held[0]):
+        yield work(*held)
+
+
+def _wide_blocks(index: DataFrame, most: int) -> DataFrame:
+    """index (key, node, a, b), with the buckets of over `most` texts dealt out by pairs of blocks, as in _in_blocks.
+    Which ones are is told from every 64th text: it is no matter of the result, since all pairs meet either way."""
+    seen = index.filter(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).groupBy("key").count()
+    large = written(seen.filter(F.col("count") * 64 > most).select("key", (F.col("count") * 64).alias("count")), "large-buckets")
+    if large.isEmpty():
+        return index
+    many = F.ceil(F.col("count") / most)
+    mine, other = F.pmod(F.xxhash64("node"), many), F.explode(F.sequence(F.lit(0).cast("long"), many - 1))
+    dealt = index.join(large.hint("merge"), "key").select("key", "node", "a", "b", mine.alias("mine"), other.alias("other"))
+    pairs = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node", "a", "b")
+    return index.join(large.select("key").hint("merge"), "key", "left_anti").unionByName(pairs)
+
+
+def wide_buckets(texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """texts (node, a, b, segments) -> (node, root), written: groups of texts named by their smallest node.
+
+    Texts that agree in a segment meet by its key; those whose CHECK bits lie within WIDE of one another, or are joined
+    by such steps in the bucket, are one group. Any two within WIDE that share a segment are in a group together."""
+    keyed = texts.select("node", "a", "b", F.posexplode("segments").alias("nth", "bits"))
+    index = keyed.select((F.shiftleft(F.col("nth").cast("long"), 32) + F.col("bits")).alias("key"), "node", "a", "b")
+    met = _wide_blocks(index, block).select("key", "node", "a", "b").repartition("key").sortWithinPartitions("key")
+    return written(met.mapInArrow(_wide_verify, "node long, root long").distinct(), "near-fingerprints")
