@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ APART, APART_FEW, FEW = 0.1612, 0.1875, 5
 MISSED = 6e-5
 #: Unlike texts that meet in a segment's bucket, on average.
 MEET = 64
+#: Nearest groups that a text is named in, beside the one that holds all texts it is joined to.
+NEAREST = 8
 _SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, 4096, np.uint64)
 
 
@@ -342,9 +345,10 @@ def _wide_parts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return first
 
 
-def _wide_verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _wide_verify(batches: Iterator[pa.RecordBatch], apart: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows (key, node, a, b) sorted by key -> (node, root) for each text with another within WIDE bits in its bucket;
-    root is the smallest node of those that such steps lead to there."""
+    root is the smallest node of those that such steps lead to there. apart: a third column, the bits in which these two
+    differ."""
 
     def work(k: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
@@ -367,11 +371,17 @@ def _wide_verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.minimum.at(first, v, low)
         for at, n in zip(cut[sizes > 128], sizes[sizes > 128]):
             first[at : at + n] = at + _wide_parts(a[at : at + n], b[at : at + n])
-        low = node.copy()
-        np.minimum.at(low, first, node)
+        order = np.lexsort((node, first))
+        heads = np.flatnonzero(np.diff(first[order], prepend=-1))
+        root = np.empty(len(k), np.int64)
+        root[order] = np.repeat(order[heads], np.diff(np.append(heads, len(k))))
         near = np.bincount(first, minlength=len(k))[first] > 1
-        pairs = np.unique(np.stack([node[near], low[first[near]]], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["node", "root"])
+        mine, root = np.flatnonzero(near), root[near]
+        columns = [node[mine], node[root]]
+        if apart:
+            columns.append((np.bitwise_count(a[mine] ^ a[root]) + np.bitwise_count(b[mine] ^ b[root])).astype(np.int64))
+        pairs = np.unique(np.stack(columns, axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs.T], names=["node", "root", "apart"][: len(columns)])
 
     held = [np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64)]
     for batch in batches:
@@ -399,12 +409,28 @@ def _wide_blocks(index: DataFrame, most: int) -> DataFrame:
     return index.join(large.select("key").hint("merge"), "key", "left_anti").unionByName(pairs)
 
 
+def _few_groups(met: DataFrame) -> DataFrame:
+    """met (node, root, apart), repeats allowed -> (node, root): at most NEAREST + 2 rows a text, written.
+
+    A text of a large group meets others in most of its segments, and nearly every time under another root. So the
+    groups that meet in texts are joined (components), and a text is named in the whole that this gives: any two that
+    were in a group together are. Beside that it is named with the roots nearest to it, which it is likeliest to be a
+    copy of, and under itself where it is a root."""
+    held = met.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("apart", "root"))).alias("near"))
+    held = written(held.select("node", F.transform("near", lambda x: x["root"]).alias("roots")), "near-fingerprints")
+    low = F.array_min("roots").alias("v")
+    wholes = components(held.select(F.col("node").alias("u"), low).unionByName(held.select(F.explode("roots").alias("u"), low).distinct()))
+    others, own = F.filter("roots", lambda r: r != F.col("node")), F.filter("roots", lambda r: r == F.col("node"))
+    named = held.join(wholes.hint("merge"), "node").select("node", F.explode(F.array_distinct(F.concat(F.slice(others, 1, NEAREST), own, F.array("label")))).alias("root"))
+    return written(named, "near-groups")
+
+
 def wide_buckets(texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """texts (node, a, b, segments) -> (node, root), written: groups of texts named by their smallest node.
+    """texts (node, a, b, segments) -> (node, root), written: groups of texts, a few for each text.
 
     Texts that agree in a segment meet by its key; those whose CHECK bits lie within WIDE of one another, or are joined
     by such steps in the bucket, are one group. Any two within WIDE that share a segment are in a group together."""
     keyed = texts.select("node", "a", "b", F.posexplode("segments").alias("nth", "bits"))
     index = keyed.select((F.shiftleft(F.col("nth").cast("long"), 32) + F.col("bits")).alias("key"), "node", "a", "b")
     met = _wide_blocks(index, block).select("key", "node", "a", "b").repartition("key").sortWithinPartitions("key")
-    return written(met.mapInArrow(_wide_verify, "node long, root long").distinct(), "near-fingerprints")
+    return _few_groups(met.mapInArrow(partial(_wide_verify, apart=True), "node long, root long, apart long"))
