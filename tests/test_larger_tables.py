@@ -41,3 +41,9 @@ def test_batches_beyond_three_digits(spark, sf, tmp_path):
     """A thousand batches and more: labels of three digits are shared, as in the SQL."""
     got, want = against_sql("batches_of_rows", spark, tables(tmp_path / "t", sf, supplier=moved("s_suppkey", "range(0, 26000, 10)")))
     assert got == want
+
+
+def test_a_row_has_the_id_that_answers_make_up(spark, sf, tmp_path):
+    """Row 9999 exists: an answer that cites no row still cites none."""
+    got, want = against_sql("judge_context", spark, tables(tmp_path / "t", sf, supplier=moved("s_suppkey", "[0, 9990]")))
+    assert got == want
