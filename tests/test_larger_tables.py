@@ -47,3 +47,8 @@ def test_a_row_has_the_id_that_answers_make_up(spark, sf, tmp_path):
     """Row 9999 exists: an answer that cites no row still cites none."""
     got, want = against_sql("judge_context", spark, tables(tmp_path / "t", sf, supplier=moved("s_suppkey", "[0, 9990]")))
     assert got == want
+
+
+def test_seconds_of_events_beyond_a_million(spark, sf, tmp_path):
+    got, want = against_sql("tolerant_parsing", spark, tables(tmp_path / "t", sf, events=moved("event_id", "[0, 999500, 7000000]")))
+    assert got == want
