@@ -52,3 +52,9 @@ def test_a_row_has_the_id_that_answers_make_up(spark, sf, tmp_path):
 def test_seconds_of_events_beyond_a_million(spark, sf, tmp_path):
     got, want = against_sql("tolerant_parsing", spark, tables(tmp_path / "t", sf, events=moved("event_id", "[0, 999500, 7000000]")))
     assert got == want
+
+
+def test_row_ids_beyond_four_digits(spark, sf, tmp_path):
+    """Ids of five digits are read whole, and the row whose id answers make up counts where it is cited rightly; names repeat from key 100,000 on."""
+    got, want = against_sql("row_id_consistency", spark, tables(tmp_path / "t", sf, supplier=moved("s_suppkey", "[0, 9990, 10000, 30000, 100000]")))
+    assert got == want
