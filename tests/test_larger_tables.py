@@ -3,8 +3,10 @@
 import glob
 import importlib
 import os
+import time
 
 import duckdb
+from pyspark.sql import functions as F
 
 from .test_queries import plain
 
@@ -58,3 +60,36 @@ def test_row_ids_beyond_four_digits(spark, sf, tmp_path):
     """Ids of five digits are read whole, and the row whose id answers make up counts where it is cited rightly; names repeat from key 100,000 on."""
     got, want = against_sql("row_id_consistency", spark, tables(tmp_path / "t", sf, supplier=moved("s_suppkey", "[0, 9990, 10000, 30000, 100000]")))
     assert got == want
+
+
+def test_nearest_of_very_many_like_names(spark):
+    """Names that differ in their digits alone: misspelled ones find their own without a comparison of all with all."""
+    from scoreloom.operators import mentions as me
+
+    names = spark.range(20000).selectExpr("concat('firm', lpad(id, 5, '0'), ' technologies corp') AS kb_key", "concat('Firm', lpad(id, 5, '0')) AS Company", "cast(id AS int) AS kb_ord")
+    keys = names.filter("kb_ord % 3 = 0").selectExpr("concat(substr(kb_key, 1, 9), 'x', substr(kb_key, 10)) AS cand_key")
+    far = spark.createDataFrame([("ferm00x07 technologies corp",), ("zyqwortex brumvald",), ("firm00012 technologies corp",)], "cand_key string")
+    began = time.monotonic()
+    got = {r.cand_key: r for r in me.nearest(keys.unionByName(far), names).collect()}
+    assert time.monotonic() - began < 120
+    assert len(got) == 6667 + 2 and all(got[k].near == f"Firm{k[4:9]}" for k in got if "x " in k)
+    assert got["firm00012 technologies corp"].score == 1 and got["ferm00x07 technologies corp"].near == "Firm00007"
+    few = names.filter("kb_ord < 30")
+    some = keys.unionByName(far).filter("cand_key < 'firm00040'")
+    want = {r.cand_key: (r.near, r.score) for r in me.nearest_of_all(some, few).filter("score >= 0.82").collect()}
+    assert {r.cand_key: (r.near, r.score) for r in me.nearest(some, few).collect()} == want
+
+
+def test_field_values_that_many_companies_have(spark):
+    """Each value is looked for once in a long answer, its tokens among those of the text."""
+    from scoreloom.operators import scoring as sc
+
+    kb = spark.range(4000).selectExpr("cast(id + 1 AS int) AS row_id", "concat('c', id) AS Company", "concat('Town ', id % 50, ', Nowhere') AS Location", "id % 7 AS Employment")
+    said = " ".join(f"w{k}" for k in range(60000)) + " town 7, nowhere town 33"
+    answers = kb.groupBy().agg(F.collect_list("Company").alias("gold_companies")).select(F.lit(1).alias("k"), F.lit(said).alias("response"), "gold_companies", F.array(F.lit("Location"), F.lit("Employment")).alias("requested_fields"))
+    began = time.monotonic()
+    got = sc.field_checks(answers, ["k"], kb, ["Location", "Employment"]).groupBy("field", "expected_values").agg(F.count("*").alias("n"), F.max("field_value_score").alias("most"), F.min("field_value_score").alias("least")).collect()
+    assert time.monotonic() - began < 30
+    towns = {r.expected_values: (r.n, r.most, r.least) for r in got if r.field == "Location"}
+    assert len(towns) == 50 and towns["Town 7, Nowhere"] == (80, 1, 1) and towns["Town 8, Nowhere"] == (80, 1, 1)
+    assert sum(r.n for r in got) == 8000
