@@ -93,3 +93,16 @@ def test_field_values_that_many_companies_have(spark):
     towns = {r.expected_values: (r.n, r.most, r.least) for r in got if r.field == "Location"}
     assert len(towns) == 50 and towns["Town 7, Nowhere"] == (80, 1, 1) and towns["Town 8, Nowhere"] == (80, 1, 1)
     assert sum(r.n for r in got) == 8000
+
+
+def test_exploded_names_are_not_broadcast(spark, sf):
+    """The rows that names are exploded into are merged, whatever Spark takes their size for."""
+    text = entry.queries()["near_spelling_by_distance"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in text.splitlines() if "Join" in line and "__short" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_a_check_for_each_row_of_a_name(spark, sf, tmp_path):
+    """Names of six-digit keys repeat; every row of a nation is checked."""
+    got, want = against_sql("field_value_checks", spark, tables(tmp_path / "t", sf, supplier=moved("s_suppkey", "[0, 10000, 100000, 100005, 100020]")))
+    assert got == want
