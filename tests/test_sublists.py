@@ -46,3 +46,10 @@ def test_rows_are_one_a_word(spark):
     assert kept[0].count() == 3000
     none = sublists(spark.createDataFrame([], "phrase string"), spark.createDataFrame([(long,)], "text string"))
     assert none.count() == 0 and sublists(spark.createDataFrame([("a",)], "phrase string"), spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_suffixes_carry_no_texts(spark):
+    """What is written of the suffixes grows with the words of the texts, not with words times text."""
+    kept = []
+    found = sublists(spark.createDataFrame([("b c",)], "phrase string"), spark.createDataFrame([("a b c b c",)], "text string"), lambda df: kept.append(df.columns) or stored(df))
+    assert "key" in kept[-1] and "text" not in kept[-1] and [tuple(r) for r in found.collect()] == [("b c", "a b c b c", [1, 3])]
