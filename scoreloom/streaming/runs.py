@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -16,6 +17,23 @@ STATUS_SCHEMA = (
 )
 _TOTALS = "total bigint, ok bigint, errors bigint, seconds double, timed bigint, num_ctx int, sent int, last bigint"
 _EMPTY = (0, 0, 0, 0.0, 0, 0, 0, 0)
+#: Neighbouring question numbers that share an entry of state, as places (two bytes each) while few, else as bits; and
+#: entries held before they are written.
+SHARED, HELD = 4096, 1 << 14
+
+
+def places_of(packed: bytes) -> np.ndarray:
+    """Which of SHARED places an entry has, as flags."""
+    flags = np.zeros(SHARED, bool)
+    if len(packed) == SHARED // 8:
+        return np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+    flags[np.frombuffer(packed, "<u2")] = True
+    return flags
+
+
+def packed_places(flags: np.ndarray) -> bytes:
+    at = np.flatnonzero(flags)
+    return at.astype("<u2").tobytes() if 2 * len(at) < SHARED // 8 else np.packbits(flags).tobytes()
 
 
 def run_status_of(completed: int, errors: int, total: int) -> str:
@@ -48,28 +66,28 @@ class _Run(StatefulProcessor):
         self.handle = handle
         self.totals = handle.getValueState("totals", _TOTALS)
         self.tokens = handle.getMapState("tokens", "tokens int", "times bigint")
-        self.asked = handle.getMapState("asked", "question int", "there boolean")
+        self.asked = handle.getMapState("asked", "part long", "places binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the interface's names
         total, ok, errors, seconds, timed, num_ctx, sent, last = self.totals.get() if self.totals.exists() else _EMPTY
         times: dict[int, int] = {}
+        held: dict[int, np.ndarray] = {}
         for frame in rows:
-            for r in frame.itertuples(index=False):
-                question = (int(r.question_number),) if pd.notna(r.question_number) else (-1,)
-                if self.asked.containsKey(question):
-                    continue  # came before, or came again
-                self.asked.updateValue(question, (True,))
-                total += 1
-                last = max(last, int(r.ts.timestamp() * 1000))
-                num_ctx = max(num_ctx, int(r.num_ctx)) if pd.notna(r.num_ctx) else num_ctx
-                sent = max(sent, int(r.approx_tokens)) if pd.notna(r.approx_tokens) else sent
-                errors += r.status == "error"
-                if r.status == "ok":
-                    ok += 1
-                    if pd.notna(r.runtime_seconds):
-                        seconds, timed = seconds + float(r.runtime_seconds), timed + 1
-                    if pd.notna(r.prompt_eval_count):
-                        times[int(r.prompt_eval_count)] = times.get(int(r.prompt_eval_count), 0) + 1
+            frame = frame[self._new(frame["question_number"].fillna(-1).to_numpy(np.int64), held)]  # came for the first time
+            if not len(frame):
+                continue
+            total += len(frame)
+            last = max(last, int(frame["ts"].max().timestamp() * 1000))
+            num_ctx = max(num_ctx, int(frame["num_ctx"].fillna(0).max()))
+            sent = max(sent, int(frame["approx_tokens"].fillna(0).max()))
+            errors += int((frame["status"] == "error").sum())
+            good = frame[frame["status"] == "ok"]
+            ok += len(good)
+            taken = good["runtime_seconds"].dropna()
+            seconds, timed = seconds + float(taken.sum()), timed + len(taken)
+            for token, n in good["prompt_eval_count"].dropna().astype(int).value_counts().items():
+                times[int(token)] = times.get(int(token), 0) + int(n)
+        self._write(held)
         for token, n in times.items():
             self.tokens.updateValue((token,), ((self.tokens.getValue((token,))[0] if self.tokens.containsKey((token,)) else 0) + n,))
         self.totals.update((int(total), int(ok), int(errors), seconds, timed, num_ctx, sent, last))
@@ -78,6 +96,28 @@ class _Run(StatefulProcessor):
         self.handle.registerTimer(last + self.silent_ms)
         yield self._row(key, False)
 
+    def _new(self, questions: np.ndarray, held: dict[int, np.ndarray]) -> np.ndarray:
+        """Which of the questions come for the first time; they are noted in the entries held."""
+        first = np.zeros(len(questions), bool)
+        first[np.unique(questions, return_index=True)[1]] = True
+        parts, at = np.divmod(questions, SHARED)
+        order = np.argsort(parts, kind="stable")
+        borders = np.flatnonzero(np.diff(parts[order])) + 1
+        for rows in np.split(order, borders) if len(order) else ():
+            part = int(parts[rows[0]])
+            if part not in held:
+                if len(held) >= HELD:
+                    self._write(held)
+                held[part] = places_of(self.asked.getValue((part,))[0]) if self.asked.containsKey((part,)) else np.zeros(SHARED, bool)
+            first[rows] &= ~held[part][at[rows]]
+            held[part][at[rows]] = True
+        return first
+
+    def _write(self, held: dict[int, np.ndarray]) -> None:
+        for part, flags in held.items():
+            self.asked.updateValue((part,), (packed_places(flags),))
+        held.clear()
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """The model has been silent: its last row, and its state is given up."""
         if self.totals.exists():
@@ -103,7 +143,7 @@ def run_states(answers: DataFrame, silent: str = "30 minutes", late: str = "10 m
 
     answers: a stream of model_name, question_number, status, prompt_eval_count, runtime_seconds, num_ctx,
     approx_tokens and ts. A question's answer counts once, however often it arrives. State lasts until a model's end:
-    a row a question and one a number of tokens. Needs the RocksDB state store."""
+    some bits or two bytes a question (SHARED neighbouring numbers are one entry) and a row a number of tokens. Needs the RocksDB state store."""
     silent_ms = int(pd.Timedelta(silent).total_seconds() * 1000)
     columns = ["model_name", "question_number", "status", "prompt_eval_count", "runtime_seconds", "num_ctx", "approx_tokens", "ts"]
     timed = answers.select(*columns).withWatermark("ts", late)

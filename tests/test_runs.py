@@ -76,3 +76,29 @@ def test_scores_with_a_time_keep_bounded_state(spark, tmp_path):
     query.awaitTermination()
     assert sorted(r.question_number for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(6))
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] < 4
+
+
+def test_questions_are_told_apart_in_shared_entries():
+    """Neighbouring questions share an entry of state; each is new once, across frames, writes and entries, few or many."""
+    import numpy as np
+
+    class Asked(dict):
+        def containsKey(self, key):  # noqa: N802
+            return key in self
+
+        def getValue(self, key):  # noqa: N802
+            return self[key]
+
+        def updateValue(self, key, value):  # noqa: N802
+            self[key] = value
+
+    run, seen, rand = runs._Run(0, 0), set(), np.random.default_rng(5)
+    run.asked = Asked()
+    for most in (20, 9000, 9000, 1 << 31):
+        held = {}
+        for _ in range(3):
+            questions = rand.integers(-1, most, 3000)
+            want = [not (q in seen or seen.add(q)) for q in questions.tolist()]
+            assert run._new(questions, held).tolist() == want
+        run._write(held)
+    assert len(run.asked) < len(seen)
