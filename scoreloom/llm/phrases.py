@@ -30,6 +30,9 @@ TOP = 2000
 BLOCK = 1 << 20
 #: Bytes of text taken apart at a time.
 STEP = 1 << 22
+#: How the lists are written. A row is a block, of some megabytes, and both the writer and the reader hold a whole row
+#: group: its size is looked at after each row, not after a hundred as by default, whatever a task has read.
+ROW_GROUPS = {"parquet.block.size": 1 << 24, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 #: Parts of a language that are ranked apart before the last ranking.
 PARTS = 64
 UNKNOWN = "und"
@@ -261,7 +264,7 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     to the more frequent phrase, then to the smaller one by its bytes. Texts of any length are taken whole. An empty
     table gives an empty table. Frequencies up to 10^16 keep the products exact; beyond, the query fails rather than
     round."""
-    index = written(blocks(df, text_col, lang_col, block), "phrase-lists")
+    index = written(blocks(df, text_col, lang_col, block), "phrase-lists", **ROW_GROUPS)
     keys = None
     for length in range(2, longest if longest > 2 else 3):
         more = _reached(index, keys, length, least)
